@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowmetrics.functions.labels import ratio, significance_stars
 from flowmetrics.functions.pvalue import correlation_p_value
 from flowmetrics.functions.time import seconds_between
-from flowmetrics.operators.order_stats import average_rank, previous_row, quantiles
+from flowmetrics.operators.order_stats import HOT_GROUP_ROWS, average_rank, previous_row, quantiles
 from flowmetrics.operators.picking import client_map, line_stations_only, scan_events, station_subset
 from flowmetrics.operators.stats import bounded_metric, known_keys
 from flowmetrics.schemas import (
@@ -36,19 +36,19 @@ def _selected(events: DataFrame, stations: Iterable[str] | None) -> DataFrame:
 def _pick_order(scans: DataFrame) -> tuple[list[Column], Column]:
     """Order of the picks of a box, and the block of that order used to split very long boxes."""
     extra = [F.col(c) for c in ("time", "event_id") if c in scans.columns]
-    number = F.col("consecutivo").try_cast("long")
     if "consecutivo" in scans.columns:
+        number = F.col("consecutivo").try_cast("long")
         return [number, F.col("consecutivo"), *extra, F.col("row")], F.floor(number / SEQUENCE_BLOCK)
-    return [*extra, F.col("row")], F.to_date("time")
+    return [*extra, F.col("row")], F.floor(F.unix_seconds(F.col("time").cast("timestamp")) / 3600)
 
 
-def row_changes(scans: DataFrame) -> DataFrame:
+def row_changes(scans: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Mark each pick with ``_change`` = 1 if its shelf row differs from that of the pick before it.
 
     Two missing rows count as different; the first pick of a box is no change.
     """
     order, block = _pick_order(scans)
-    linked = previous_row(scans, BOX, order, ["row"], block, "_previous")
+    linked = previous_row(scans, BOX, order, ["row"], block, "_previous", hot_rows)
     same = F.coalesce(F.col("row") == F.col("_previous.row"), F.lit(False))
     changed = F.when(F.col("_previous").isNotNull() & ~same, 1).otherwise(0)
     return linked.withColumn("_change", changed).drop("_previous")

@@ -9,6 +9,8 @@ a group are the rows of earlier ranges plus the position inside the own range.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,29 +18,42 @@ from pyspark.sql import functions as F
 from flowmetrics.schemas import quoted
 
 RANGES_PER_E_FOLD = 128
+HOT_GROUP_ROWS = 1_000_000
+LAST_SPAN = 2**62
 
 
-def value_range(value: Column) -> Column:
+def value_range(value: str) -> Column:
     """Order-preserving range number of a double: 128 ranges per factor e, under 200,000 in all.
 
     Never NULL: a nullable join key would add a NOT NULL filter to one of two otherwise equal
     sub-plans, and their shuffle could no longer be shared.
     """
-    number = F.signum(value) * F.floor(F.log1p(F.abs(value)) * RANGES_PER_E_FOLD)
-    return F.coalesce(number.cast("long"), F.lit(0))
+    number = f"signum({value}) * floor(log1p(abs({value})) * {RANGES_PER_E_FOLD})"
+    return F.expr(f"coalesce(cast({number} as bigint), 0)")
 
 
 def present(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
-def _key(by: Sequence[str], *extra: Column) -> Column:
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _number(name: str) -> str:
+    """A column as a double; -0.0 becomes 0.0 and NaN becomes NULL."""
+    value = f"cast({_sql_name(name)} as double)"
+    return f"nullif({value} + 0.0D, double('NaN'))"
+
+
+def _key(by: Sequence[str], metric: str = "0") -> str:
     """All group columns as one struct, so that NULL keys join with each other."""
-    return F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(by)], *extra)
+    parts = [f"'k{i}', {_sql_name(c)}" for i, c in enumerate(by)]
+    return f"named_struct({', '.join([*parts, f"'m', {metric}"])}) as _k"
 
 
-def _unpack(by: Sequence[str]) -> list[Column]:
-    return [F.col(f"_k.k{i}").alias(c) for i, c in enumerate(by)]
+def _unpack(by: Sequence[str]) -> list[str]:
+    return [f"_k.k{i} as {_sql_name(c)}" for i, c in enumerate(by)]
 
 
 def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -46,55 +61,37 @@ def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str], weight:
 
     Missing values become one row of weight 0, so a group without any value is still known.
     """
-    metrics = [quoted(c).cast("double") for c in cols]
-    w = F.lit(1).cast("long") if weight is None else F.coalesce(quoted(weight), F.lit(0))
-    if len(metrics) == 1:
-        long = df.select(_key(by, F.lit(0).alias("m")).alias("_k"), metrics[0].alias("_v"), w.alias("_n"))
+    w = "1L" if weight is None else f"coalesce({_sql_name(weight)}, 0)"
+    if len(cols) == 1:
+        long = df.selectExpr(_key(by), f"{_number(cols[0])} as _v", f"{w} as _w")
     else:
-        pairs = F.array(*[F.struct(F.lit(i).alias("m"), c.alias("v")) for i, c in enumerate(metrics)])
-        keys = [quoted(c).alias(f"k{i}") for i, c in enumerate(by)]
-        long = df.select(*keys, w.alias("_n"), F.inline(pairs)).select(
-            F.struct(*[F.col(f"k{i}") for i in range(len(by))], F.col("m")).alias("_k"),
-            F.col("v").alias("_v"),
-            "_n",
-        )
-    # 0.0 + v turns -0.0 into 0.0
+        pairs = ", ".join(f"named_struct('_m', {i}, '_v', {_number(c)})" for i, c in enumerate(cols))
+        keys = [_sql_name(c) for c in by]
+        long = df.selectExpr(*keys, f"{w} as _w", f"inline(array({pairs}))").selectExpr(_key(by, "_m"), "_v", "_w")
     return (
-        long.withColumn("_v", F.when(~F.isnan("_v"), F.col("_v") + F.lit(0.0)))
-        .withColumn("_n", F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(F.lit(0)))
-        .withColumn("_b", value_range(F.col("_v")))
+        long.withColumn("_b", value_range("_v"))
         .groupBy("_k", "_b", "_v")
-        .agg(F.sum("_n").alias("_n"))
+        .agg(F.expr("sum(if(_v is null, 0, _w)) as _n"))
     )
 
 
 def range_offsets(counts: DataFrame) -> DataFrame:
     """Rows ``(_k, _b, _size, _off, _total)``: weight of each range, of the ranges before it, of the group."""
-    sizes = counts.groupBy("_k", "_b").agg(F.sum("_n").alias("_size"))
-    group = Window.partitionBy("_k")
-    earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast(sizes.schema["_size"].dataType)
-    return sizes.withColumns({
-        "_off": F.coalesce(F.sum("_size").over(earlier), zero),
-        "_total": F.sum("_size").over(group),
-    })
+    sizes = counts.groupBy("_k", "_b").agg(F.expr("sum(_n) as _size"))
+    earlier = "sum(_size) over (partition by _k order by _b rows between unbounded preceding and 1 preceding)"
+    return sizes.selectExpr(
+        "_k", "_b", "_size", f"coalesce({earlier}, 0) as _off", "sum(_size) over (partition by _k) as _total"
+    )
 
 
 def positions(counts: DataFrame, offsets: DataFrame) -> DataFrame:
     """Add ``_before`` (weight of smaller values in the group) and ``_total`` to value counts."""
-    inside = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counts.join(offsets, ["_k", "_b"])
-        .withColumn("_before", F.col("_off") + F.sum("_n").over(inside) - F.col("_n"))
+    inside = "sum(_n) over (partition by _k, _b order by _v rows between unbounded preceding and current row)"
+    return counts.join(offsets, ["_k", "_b"]).selectExpr(
+        "_k", "_b", "_v", "_n", "_off", "_size", "_total", f"_off + {inside} - _n as _before"
     )
 
 
-def _target(p: float) -> tuple[Column, Column, Column]:
-    """Position of quantile ``p`` among ``_total`` values: lower index, upper index, fraction."""
-    at = F.lit(p) * (F.col("_total") - 1)
-    return F.floor(at), F.ceil(at), at - F.floor(at)
-
-
 def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
@@ -104,65 +101,45 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str,
     cols = list(dict.fromkeys(c for c, _ in wanted.values()))
     probs = sorted({p for _, p in wanted.values()})
     counts = value_counts(df, by, cols)
-    offsets = range_offsets(counts)
 
-    # only the ranges that hold a wanted position go on
-    hits = F.col("_total") == 0
-    for p in probs:
-        low, high, _ = _target(p)
-        for at in (low, high):
-            hits = hits | ((F.col("_off") <= at) & (at < F.col("_off") + F.col("_size")))
-    placed = positions(counts, offsets.where(hits))
+    # 0-based positions around p*(n-1); only the ranges that hold one of them go on
+    at = {p: f"({p!r}D * (_total - 1))" for p in probs}
+    ends = [f"{side}({at[p]})" for p in probs for side in ("floor", "ceil")]
+    hits = " or ".join(["_total = 0", *[f"({e} >= _off and {e} < _off + _size)" for e in ends]])
+    placed = positions(counts, range_offsets(counts).where(hits))
 
     picked = []
     for i, p in enumerate(probs):
-        low, high, fraction = _target(p)
-        holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
-        picked += [
-            F.max(F.when(holds(low), F.col("_v"))).alias(f"low{i}"),
-            F.max(F.when(holds(high), F.col("_v"))).alias(f"high{i}"),
-            F.max(fraction).alias(f"fraction{i}"),
-        ]
+        for side in ("floor", "ceil"):
+            e = f"{side}({at[p]})"
+            picked.append(F.expr(f"max(if({e} >= _before and {e} < _before + _n, _v, null)) as {side}{i}"))
+        picked.append(F.expr(f"max({at[p]} - floor({at[p]})) as fraction{i}"))
     per_metric = placed.groupBy("_k").agg(*picked)
-    values = {
-        p: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * F.col(f"fraction{i}")
-        for i, p in enumerate(probs)
-    }
+    value = {p: f"floor{i} + (ceil{i} - floor{i}) * fraction{i}" for i, p in enumerate(probs)}
     if len(cols) == 1:
-        return per_metric.select(*_unpack(by), *[values[p].alias(name) for name, (_, p) in wanted.items()])
+        return per_metric.selectExpr(*_unpack(by), *[f"{value[p]} as {_sql_name(n)}" for n, (_, p) in wanted.items()])
     wide = [
-        F.max(F.when(F.col("_k.m") == cols.index(c), values[p])).alias(name) for name, (c, p) in wanted.items()
+        F.expr(f"max(if(_k.m = {cols.index(c)}, {value[p]}, null)) as {_sql_name(n)}") for n, (c, p) in wanted.items()
     ]
-    if not by:
-        return per_metric.agg(*wide)
-    return per_metric.groupBy(*_unpack(by)).agg(*wide)
+    return per_metric.groupBy(*[F.expr(e) for e in _unpack(by)]).agg(*wide)
 
 
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
     """Smallest value whose share of the cumulated weight reaches one half."""
     counts = value_counts(df, by, [value], weight)
-    offsets = range_offsets(counts)
-    crossing = (F.col("_off") + F.col("_size")) * 2 >= F.col("_total")
-    placed = positions(counts, offsets.where(crossing))
-    reached = (F.col("_before") + F.col("_n")) * 2 >= F.col("_total")
-    return (
-        placed.where(reached).groupBy("_k").agg(F.min("_v").alias(out)).select(*_unpack(by), out)
-    )
+    placed = positions(counts, range_offsets(counts).where("(_off + _size) * 2 >= _total"))
+    reached = placed.where("(_before + _n) * 2 >= _total")
+    return reached.groupBy("_k").agg(F.min("_v").alias(out)).selectExpr(*_unpack(by), _sql_name(out))
 
 
 def average_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str]) -> DataFrame:
     """Add tie-averaged ranks within the group; ``cols`` maps value columns to rank columns."""
     for value, out in cols.items():
         counts = value_counts(df, by, [value])
-        ranked = positions(counts, range_offsets(counts)).select(
-            F.col("_k"),
-            F.col("_v"),
-            (F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(out),
+        ranked = positions(counts, range_offsets(counts)).selectExpr(
+            "_k", "_v", f"_before + (_n + 1) / 2.0D as {_sql_name(out)}"
         )
-        keyed = df.withColumns({
-            "_k": _key(by, F.lit(0).alias("m")),
-            "_v": quoted(value).cast("double") + F.lit(0.0),
-        })
+        keyed = df.selectExpr("*", _key(by), f"{_number(value)} as _v")
         df = keyed.join(ranked, ["_k", "_v"], "left").drop("_k", "_v")
     return df
 
@@ -178,7 +155,7 @@ def row_positions(df: DataFrame, value: str, ties: Sequence[str], out: str) -> D
         F.col("_v"), F.col("_before"), F.col("_total").alias("_rows")
     )
     digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(quoted(c).cast("string"), F.lit("\u0000")) for c in ties]))
-    rows = df.withColumns({"_v": quoted(value).cast("double") + F.lit(0.0), "_h": digest}).withColumn(
+    rows = df.withColumns({"_v": F.expr(_number(value)), "_h": digest}).withColumn(
         "_s", F.substring("_h", 1, 3)
     )
     slices = rows.where(present(F.col("_v"))).groupBy("_v", "_s").agg(F.count("*").alias("_size"))
@@ -204,41 +181,41 @@ def previous_row(
     carry: Sequence[str],
     span: Column,
     out: str,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``out``: the ``carry`` columns of the row before this one in its group, as a struct.
 
-    ``span`` must not decrease along ``order`` (a day, a block of numbers); NULL spans come last. Rows are
-    sorted within (group, span) only; the first row of a span takes the last row of the span before it,
-    from a table with one row per (group, span). The first row of a group, and rows with a NULL key,
-    get NULL.
+    Missing values come last in ``order``. The first row of a group, and rows with a NULL key, get NULL.
+
+    A group of more than ``hot_rows`` rows is cut by ``span``, a whole number that must not decrease along
+    ``order`` (an hour, a block of numbers; NULL comes last). Each span is sorted on its own, and its
+    first row takes the last row of the span before it from a table with one row per span. There are fewer
+    hot groups than rows / ``hot_rows``, so their keys may be broadcast.
     """
-    position = F.struct(*[F.struct(c.isNull().alias("n"), c.alias("v")) for c in order])
+    names = [quoted(k) for k in keys]
+    usable = reduce(and_, [k.isNotNull() for k in names])
+    hot = (
+        df.where(usable).groupBy(*names).agg(F.count("*").alias("_rows_in_group"))
+        .where(F.col("_rows_in_group") > hot_rows)
+        .select(*[k.alias(f"_h{i}") for i, k in enumerate(names)], F.lit(True).alias("_hot"))
+    )
+    is_hot = reduce(and_, [k == F.col(f"_h{i}") for i, k in enumerate(names)])
+    marked = df.join(F.broadcast(hot), is_hot, "left").withColumn(
+        "_span", F.when(F.col("_hot"), F.coalesce(span.cast("long"), F.lit(LAST_SPAN))).otherwise(F.lit(0))
+    )
     carried = F.struct(*[quoted(c) for c in carry])
-    usable = F.lit(True)
-    for k in keys:
-        usable = usable & quoted(k).isNotNull()
-    spanned = df.withColumn("_span", F.struct(span.isNull().alias("n"), span.alias("v")))
+    inside = Window.partitionBy(*names, F.col("_span")).orderBy(*[c.asc_nulls_last() for c in order])
+    lagged = marked.withColumn("_lag", F.lag(carried).over(inside))
 
-    inside = Window.partitionBy(*[quoted(k) for k in keys], F.col("_span")).orderBy(position)
-    lagged = spanned.withColumns({"_lag": F.lag(carried).over(inside), "_first": F.row_number().over(inside) == 1})
-
-    last = spanned.where(usable).groupBy(*[quoted(k) for k in keys], F.col("_span")).agg(
-        F.max_by(carried, position).alias("_last")
-    )
-    along = Window.partitionBy(*[quoted(k) for k in keys]).orderBy("_span")
+    position = F.struct(*[part for c in order for part in (c.isNull(), c)])
+    last = marked.where(F.col("_hot")).groupBy(*names, F.col("_span")).agg(F.max_by(carried, position).alias("_last"))
+    along = Window.partitionBy(*names).orderBy("_span")
     edges = last.select(
-        F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_edge"),
-        "_span",
-        F.lag("_last").over(along).alias("_carried"),
-    ).where(F.col("_carried").isNotNull()).select(
-        *[F.col(f"_edge.k{i}").alias(f"_e{i}") for i in range(len(keys))],
+        *[k.alias(f"_e{i}") for i, k in enumerate(names)],
         F.col("_span").alias("_espan"),
-        "_carried",
-    )
-    on = F.col("_span") == F.col("_espan")
-    for i, k in enumerate(keys):
-        on = on & (quoted(k) == F.col(f"_e{i}"))
+        F.lag("_last").over(along).alias("_carried"),
+    ).where(F.col("_carried").isNotNull())
+    on = reduce(and_, [k == F.col(f"_e{i}") for i, k in enumerate(names)]) & (F.col("_span") == F.col("_espan"))
     joined = lagged.join(edges, on, "left")
-    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))
-    helper = ["_span", "_lag", "_first", "_carried", "_espan", *[f"_e{i}" for i in range(len(keys))]]
-    return joined.withColumn(out, F.when(usable, before)).drop(*helper)
+    before = F.when(usable, F.coalesce(F.col("_lag"), F.col("_carried")))
+    return joined.select(*[quoted(c) for c in df.columns], before.alias(out))

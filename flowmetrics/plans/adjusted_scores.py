@@ -9,17 +9,18 @@ from flowmetrics.operators.difficulty import box_difficulty, campaign_complexity
 from flowmetrics.operators.picking import campaign_station_median
 from flowmetrics.operators.stats import contextual_zscore
 from flowmetrics.schemas import LINE_STATIONS
+from flowmetrics.session import settle
 
 
 def campaign_reference(clean: DataFrame) -> DataFrame:
     """Median seconds per pick of each campaign and its score within the client."""
-    medians = campaign_station_median(clean, ["campana", "cliente"]).withColumnRenamed("mediana_tpp", "mediana_seg_pick")
+    medians = settle(campaign_station_median(clean, ["campana", "cliente"])).withColumnRenamed("mediana_tpp", "mediana_seg_pick")
     return contextual_zscore(medians, ["cliente"], "mediana_seg_pick").drop("categoria", "categoria_orden")
 
 
 def station_reference(clean: DataFrame) -> DataFrame:
     """Median seconds per pick of each campaign and station and its score within client and station."""
-    medians = campaign_station_median(clean, ["campana", "cliente", "tipo_estacion"])
+    medians = settle(campaign_station_median(clean, ["campana", "cliente", "tipo_estacion"]))
     return contextual_zscore(medians).drop("categoria", "categoria_orden")
 
 

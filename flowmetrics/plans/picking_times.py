@@ -24,6 +24,7 @@ from flowmetrics.operators.picking import (
     positive_picks,
 )
 from flowmetrics.operators.stats import contextual_zscore, iqr_filter
+from flowmetrics.session import settle
 
 
 @dataclass
@@ -46,18 +47,23 @@ def clean_operations(ops: DataFrame, excluded: DataFrame | None = None, k: float
 
 
 def station_scores(clean: DataFrame) -> DataFrame:
-    """Campaign and station medians, scored against the campaigns of the same client and station."""
-    return contextual_zscore(campaign_station_median(clean))
+    """Campaign and station medians, scored against the campaigns of the same client and station.
 
+    The medians, one row per campaign, station, client and year, are settled: four steps read them.
+    """
+    return contextual_zscore(settle(campaign_station_median(clean)))
 
-def picking_tables(events: DataFrame, excluded: DataFrame | None = None) -> PickingTables:
-    """All tables of the picking flow from raw events.
 
-    ``clean`` feeds every other table: write it, or persist it, before writing more than one of them.
-    """
-    clean = clean_operations(build_operations(events), excluded)
-    gaps = annotate_gaps(clean)
-    transitions = transition_summary(gaps)
+def station_transitions(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settled operations with gaps and reasons, and the settled transition table built from them."""
+    gaps = settle(annotate_gaps(ops))
+    return gaps, settle(transition_summary(gaps))
+
+
+def picking_tables(events: DataFrame, excluded: DataFrame | None = None) -> PickingTables:
+    """All tables of the picking flow from raw events; the tables that feed others are settled."""
+    clean = settle(clean_operations(settle(build_operations(events)), excluded))
+    gaps, transitions = station_transitions(clean)
     return PickingTables(
         clean=clean,
         campaigns=campaign_summary(clean),

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table held by fewer files than there are cores; a large table is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < min(cores, 64) else df
+
+
 def _plus_seconds(instant, seconds):
     return instant + F.expr("interval '1' second") * seconds
 
@@ -30,6 +36,7 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q")
     )
+    lines = spread(lines, "l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(

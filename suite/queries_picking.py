@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from flowmetrics.functions.labels import client_from_campaign, station_type
 from flowmetrics.operators import deadtime, difficulty, order_stats, picking, stats
-from flowmetrics.plans.picking_times import clean_operations, station_scores
+from flowmetrics.plans.picking_times import clean_operations, station_scores, station_transitions
 from flowmetrics.schemas import LINE_STATIONS, station_dimension
+from flowmetrics.session import settle
 from suite import adapters as A
 from suite import sql as S
 from suite.registry import query
@@ -276,7 +277,7 @@ A9 = S.TRANSITIONS + f""" select campana, cliente, "año", po tipo_estacion_orig
 
 @query("a9_transition_summary", A9)
 def _(spark, d):
-    return deadtime.transition_summary(deadtime.annotate_gaps(base(spark, d)))
+    return station_transitions(base(spark, d))[1]
 
 
 @query("a9_transition_summary_two_tables", A9)
@@ -293,8 +294,7 @@ def _(spark, d):
     {r('m0 / 60','mediana_tiempo_muerto_min_anterior')}, {r('prom / 60','promedio_tiempo_muerto_min')},
     {r('p0 / 60','promedio_tiempo_muerto_min_anterior')}, {r('(med - m0) / 60','delta_tiempo_muerto_min')} from p""")
 def _(spark, d):
-    transitions = deadtime.transition_summary(deadtime.annotate_gaps(base(spark, d)))
-    return deadtime.dead_time_delta(transitions).drop(
+    return deadtime.dead_time_delta(station_transitions(base(spark, d))[1]).drop(
         "cliente", "fecha_inicio", "mediana_tiempo_muerto_seg", "promedio_tiempo_muerto_seg", "n_transiciones_validas", "n_transiciones_total"
     )
 
@@ -304,7 +304,7 @@ def _(spark, d):
     {r('coalesce(sum(med * n), 0) / greatest(sum(n), 1)','mediana_tiempo_muerto_seg')},
     {r('coalesce(sum(prom * n), 0) / greatest(sum(n), 1)','promedio_tiempo_muerto_seg')} from trans group by campana, cliente, "año", trans.fecha_inicio, tipo_estacion""")
 def _(spark, d):
-    return deadtime.dead_time_by_destination(deadtime.transition_summary(deadtime.annotate_gaps(base(spark, d))))
+    return deadtime.dead_time_by_destination(station_transitions(base(spark, d))[1])
 
 
 # ------------------------------------------------------------------ scores
@@ -325,7 +325,7 @@ def _(spark, d):
   g as (select cliente, count(mediana_tpp) n, median(mediana_tpp) mu, stddev_samp(mediana_tpp) sd from med group by 1)
   select campana, tipo_estacion, {r('case when n >= 2 and sd <> 0 then (mediana_tpp - mu) / sd end','z_residuo')} from med join g using (cliente)""")
 def _(spark, d):
-    medians = picking.campaign_station_median(clean(spark, d))
+    medians = settle(picking.campaign_station_median(clean(spark, d)))
     return stats.residual_zscore(medians, ["cliente"], "mediana_tpp", "z_residuo").select("campana", "tipo_estacion", "z_residuo")
 
 
@@ -412,7 +412,7 @@ def _(spark, d):
     return difficulty.genuine_time_per_pick(base(spark, d), clean(spark, d))
 
 
-@query("a17_box_time_per_pick", S.BOX_PACE + f" select campana, box_id, {r('tiempo_por_pick','tiempo_por_pick')}, {r('seg_caja','seg_caja')}, n_picks from pace")
+@query("a17_box_time_per_pick", S.BOX_PACE + f" select campana, box_id, {r('tiempo_por_pick','tiempo_por_pick',6)}, {r('seg_caja','seg_caja',6)}, n_picks from pace", digits=6)
 def _(spark, d):
     return difficulty.box_time_per_pick(A.events(spark, d))
 
