@@ -23,6 +23,7 @@ from flowmetrics.schemas import (
     quoted,
     with_optional,
 )
+from flowmetrics.session import settle
 
 BOX = ["campana", "box_id"]
 DIFFICULTY_FEATURES = ("n_skus_en_caja", "n_categorias_en_caja", "cambios_de_row", "n_filas_distintas")
@@ -205,7 +206,8 @@ def difficulty_correlation(
     """Rank correlation of each difficulty feature with the seconds per pick of the box.
 
     One row per feature for all boxes (``scope`` = global) and per client: r, p value, stars and n.
-    Boxes are matched by ``box_id`` alone.
+    Boxes are matched by ``box_id`` alone. The matched boxes, far fewer than the events, are settled, as
+    the ranks read them five times.
     """
     pace = box_time_per_pick(events).select("box_id", "tiempo_por_pick")
     boxes = bounded_metric(difficulty.join(pace, "box_id"), "tiempo_por_pick", tpp_max)
@@ -214,8 +216,9 @@ def difficulty_correlation(
         boxes = boxes.join(client_map(events).select("campana", "cliente"), "campana", "left")
         scopes = F.array_compact(F.array(F.lit("global"), F.col("cliente")))
     features = [c for c in DIFFICULTY_FEATURES if c in difficulty.columns]
+    boxes = settle(boxes.select("tiempo_por_pick", scopes.alias("_scopes"), *features))
     values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("valor")) for c in features])
-    long = boxes.select("tiempo_por_pick", F.explode(scopes).alias("scope"), values.alias("_values")).select(
+    long = boxes.select("tiempo_por_pick", F.explode("_scopes").alias("scope"), values.alias("_values")).select(
         "tiempo_por_pick", "scope", F.inline("_values")
     )
     found = rank_correlation(long, ["scope", "feature"], "valor", "tiempo_por_pick")

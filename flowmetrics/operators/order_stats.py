@@ -134,14 +134,15 @@ def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, o
 
 def average_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str]) -> DataFrame:
     """Add tie-averaged ranks within the group; ``cols`` maps value columns to rank columns."""
+    ranked = df
     for value, out in cols.items():
         counts = value_counts(df, by, [value])
-        ranked = positions(counts, range_offsets(counts)).selectExpr(
+        ranks = positions(counts, range_offsets(counts)).selectExpr(
             "_k", "_v", f"_before + (_n + 1) / 2.0D as {_sql_name(out)}"
         )
-        keyed = df.selectExpr("*", _key(by), f"{_number(value)} as _v")
-        df = keyed.join(ranked, ["_k", "_v"], "left").drop("_k", "_v")
-    return df
+        keyed = ranked.selectExpr("*", _key(by), f"{_number(value)} as _v")
+        ranked = keyed.join(ranks, ["_k", "_v"], "left").drop("_k", "_v")
+    return ranked
 
 
 def row_positions(df: DataFrame, value: str, ties: Sequence[str], out: str) -> DataFrame:

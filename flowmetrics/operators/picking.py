@@ -152,33 +152,56 @@ def efficiency_metrics(ops: DataFrame, overwrite_client: bool = False) -> DataFr
 def campaign_summary(ops: DataFrame) -> DataFrame:
     """One row per campaign: dates, picks, operations, station shares, pace, hours and working days.
 
-    ``cliente`` and ``año`` are the first known ones by first scan, box and station.
+    ``cliente`` and ``año`` are the known ones of the first scan, the smaller one in a tie.
+
+    The rows are added up per campaign, client and year first, with numbers and dates only, so that this
+    runs as a hash aggregation; the few rows that remain per campaign are then merged.
     """
     known = known_keys(ops, ["campana"])
-    order = F.struct("init_scan", "box_id", "tipo_estacion")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    share = lambda name, out: F.avg(F.when(F.col("tipo_estacion") == name, 1.0).otherwise(0.0)).alias(out)
-    totals = known.groupBy("campana").agg(
-        F.min("init_scan").alias("inicio"),
-        F.max("last_scan").alias("fin"),
-        F.coalesce(F.sum("picks"), F.lit(0)).alias("picks_total"),
-        F.max("picks").alias("picks_max_op"),
-        F.count("picks").alias("ops_total"),
+    at = lambda name: F.sum(F.when(F.col("tipo_estacion") == name, 1).otherwise(0))
+    pace = F.col("picks_por_min")
+    parts = known.groupBy("campana", "cliente", "año").agg(
+        F.min("init_scan").alias("_start"),
+        F.max("last_scan").alias("_end"),
+        F.sum("picks").alias("_picks"),
+        F.max("picks").alias("_max"),
+        F.count("picks").alias("_ops"),
+        F.count("*").alias("_rows"),
+        at("Morado").alias("_morado"),
+        at("Calidad").alias("_calidad"),
+        at("Pre-Calidad").alias("_pc"),
+        F.count(pace).alias("_n"),
+        F.avg(pace).alias("_mean"),
+        F.var_pop(pace).alias("_var"),
+        F.sum("tiempo_total_seg").alias("_seconds"),
+    )
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_start", c))).alias(c)
+    share = lambda part, out: (F.sum(part) / F.sum("_rows")).alias(out)
+    n, mean = F.sum("_n"), F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")
+    squares = F.sum(F.col("_n") * (F.col("_var") + F.col("_mean") * F.col("_mean")))
+    totals = parts.groupBy("campana").agg(
+        F.min("_start").alias("inicio"),
+        F.max("_end").alias("fin"),
+        F.coalesce(F.sum("_picks"), F.lit(0)).alias("picks_total"),
+        F.max("_max").alias("picks_max_op"),
+        F.sum("_ops").alias("ops_total"),
         first("cliente"),
         first("año"),
-        F.month(F.min("init_scan")).alias("mes_inicio"),
-        # 24 distinct hours at most, so the plain aggregate holds a bounded state
-        F.percentile(F.hour("init_scan"), 0.5).alias("hora_inicio_mediana"),
-        share("Morado", "pct_estacion_morado"),
-        share("Calidad", "pct_estacion_calidad"),
-        share("Pre-Calidad", "pct_estacion_pc"),
-        F.stddev_samp("picks_por_min").alias("picks_por_min_std"),
-        (F.coalesce(F.sum("tiempo_total_seg"), F.lit(0.0)) / 3600).alias("tiempo_total_horas"),
+        F.month(F.min("_start")).alias("mes_inicio"),
+        share("_morado", "pct_estacion_morado"),
+        share("_calidad", "pct_estacion_calidad"),
+        share("_pc", "pct_estacion_pc"),
+        F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares - n * mean * mean) / (n - 1))).alias("picks_por_min_std"),
+        (F.coalesce(F.sum("_seconds"), F.lit(0.0)) / 3600).alias("tiempo_total_horas"),
     )
     medians = quantiles(
-        known,
+        known.withColumn("_hour", F.hour("init_scan")),
         ["campana"],
-        {"picks_por_op_mediana": ("picks", 0.5), "picks_por_min_mediana": ("picks_por_min", 0.5)},
+        {
+            "picks_por_op_mediana": ("picks", 0.5),
+            "picks_por_min_mediana": ("picks_por_min", 0.5),
+            "hora_inicio_mediana": ("_hour", 0.5),
+        },
     )
     return (
         totals.join(medians, "campana", "left")

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from flowmetrics.operators.deadtime import (
-    annotate_gaps,
     dead_time_by_destination,
     dead_time_delta,
+    judge_gaps,
+    link_operations,
     transition_outliers,
     transition_summary,
 )
@@ -55,8 +56,12 @@ def station_scores(clean: DataFrame) -> DataFrame:
 
 
 def station_transitions(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Settled operations with gaps and reasons, and the settled transition table built from them."""
-    gaps = settle(annotate_gaps(ops))
+    """Operations with gaps and reasons, and the settled transition table built from them.
+
+    The link to the previous operation needs the one shuffle of all rows, so it is settled: the
+    percentiles, the gaps and the sums then read only the columns they need.
+    """
+    gaps = judge_gaps(settle(link_operations(ops)))
     return gaps, settle(transition_summary(gaps))
 
 

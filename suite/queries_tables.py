@@ -424,7 +424,7 @@ def _(spark, d):
 @query("m3_adjusted_zscore_campaign")
 def _(spark, d):
     complexity, reference = _campaign_models(spark, d)
-    return adjust.adjusted_zscore_campaign(complexity, reference)[0]
+    return adjust.adjusted_zscore_campaign(complexity, reference, folds=3)[0]
 
 
 @query("m3_model_table")
@@ -437,4 +437,4 @@ def _(spark, d):
 @query("m4_adjusted_zscore_station")
 def _(spark, d):
     features, reference = _station_models(spark, d)
-    return adjust.adjusted_zscore_station(features, reference, models=("Ridge", "RandomForest"))[0]
+    return adjust.adjusted_zscore_station(features, reference, models=("Ridge", "RandomForest"), folds=3)[0]
