@@ -171,14 +171,20 @@ def genuine_time_per_pick(base: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def box_time_per_pick(events: DataFrame) -> DataFrame:
-    """Per box opened and closed: seconds open, picks and seconds per pick; its first known campaign."""
+    """Per box opened and closed: seconds open, picks and seconds per pick, and its campaign: that of its
+    first event that has one, the smaller name in a tie."""
     at, kind = F.col("time"), F.col("type")
-    order = F.struct(at, *[F.col(c) for c in ("event_id",) if c in events.columns], F.col("campana"))
-    boxes = known_keys(events, ["box_id"]).groupBy("box_id").agg(
-        F.min_by("campana", F.when(F.col("campana").isNotNull(), order)).alias("campana"),
-        F.min(F.when(kind == "box_open", at)).alias("t_open"),
-        F.max(F.when(kind == "box_close", at)).alias("t_close"),
-        F.count(F.when(kind.isin(*SCAN_TYPES), 1)).alias("n_picks"),
+    parts = known_keys(events, ["box_id"]).groupBy("box_id", "campana").agg(
+        F.min(at).alias("_start"),
+        F.min(F.when(kind == "box_open", at)).alias("_open"),
+        F.max(F.when(kind == "box_close", at)).alias("_close"),
+        F.count(F.when(kind.isin(*SCAN_TYPES), 1)).alias("_picks"),
+    )
+    boxes = parts.groupBy("box_id").agg(
+        F.min_by("campana", F.when(F.col("campana").isNotNull(), F.struct("_start", "campana"))).alias("campana"),
+        F.min("_open").alias("t_open"),
+        F.max("_close").alias("t_close"),
+        F.sum("_picks").alias("n_picks"),
     ).where(F.col("t_open").isNotNull() & F.col("t_close").isNotNull())
     timed = boxes.withColumn("seg_caja", seconds_between("t_open", "t_close"))
     usable = (F.col("n_picks") > 0) & (F.col("seg_caja") > 0)

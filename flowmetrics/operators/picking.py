@@ -91,12 +91,14 @@ def client_map(events: DataFrame) -> DataFrame:
     A campaign recorded with several clients gets the first in alphabetical order and is counted in
     ``clientes_distintos``.
     """
+    known = known_keys(events, ["campana"])
     if "cliente_db" in events.columns:
-        return known_keys(events, ["campana"]).groupBy("campana").agg(
-            F.min("cliente_db").alias("cliente"), F.count_distinct("cliente_db").alias("clientes_distintos")
-        )
-    return known_keys(events, ["campana"]).select("campana").distinct().select(
-        "campana", client_from_campaign(F.col("campana")).alias("cliente"), F.lit(1).cast("long").alias("clientes_distintos")
+        # the distinct pairs are few; the text minimum is taken over them, not over the events
+        pairs = known.select("campana", F.col("cliente_db").alias("cliente")).distinct()
+    else:
+        pairs = known.select("campana").distinct().withColumn("cliente", client_from_campaign(F.col("campana")))
+    return pairs.groupBy("campana").agg(
+        F.min("cliente").alias("cliente"), F.count("cliente").alias("clientes_distintos")
     )
 
 

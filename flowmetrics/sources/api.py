@@ -152,13 +152,11 @@ def read_landed_pages(
     inner = F.get_json_object("value", f"$.{records_key}") if records_key else F.col("value")
     is_list = F.ltrim(inner).startswith("[")
     records = pages.select("_page", F.when(is_list, many).otherwise(F.array(one)).alias("_records"))
-    if fetch_all and limit is not None:
-        short = records.where(F.size("_records") < limit).agg(F.min("_page").alias("_last"))
-    else:
-        short = records.agg(F.min("_page").alias("_last"))
-    # a one-row table; without a short page all pages count
-    bounded = records.join(F.broadcast(short), F.col("_last").isNull() | (F.col("_page") <= F.col("_last")))
-    return bounded.select(F.inline("_records"))
+    ends = records.where(F.size("_records") < limit) if fetch_all and limit is not None else records
+    last = ends.agg(F.min("_page")).first()[0]
+    if last is not None:
+        records = records.where(F.col("_page") <= last)
+    return records.select(F.inline("_records"))
 
 
 def read_api_records(
