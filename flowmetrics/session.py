@@ -26,7 +26,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
-    if named and not current:
+    if named and named not in (current or ""):
         context.setCheckpointDir(named)
     elif not current:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="flowmetrics-checkpoint-"))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowmetrics.operators import deadtime, difficulty, picking
-from flowmetrics.plans.picking_times import clean_operations, picking_tables
-from flowmetrics.schemas import STATION_ORDER, empty
+from flowmetrics.plans.picking_times import picking_tables
+from flowmetrics.schemas import STATION_ORDER
 
 EVENTS = "event_id bigint, type string, box_id string, estacion string, campana string, id_campana string, time timestamp_ntz, scan string, cliente_db string"
 
