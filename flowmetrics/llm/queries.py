@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmetrics.llm.common import shared_folder, table
+from flowmetrics.llm import language, quality
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
 from flowmetrics.llm.token_files import read_token_files, write_token_files
@@ -23,6 +24,19 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def remainder(key: str, of: int):
+    """crc32 of the key as text, modulo ``of``: the folds of the contracts."""
+    return F.crc32(F.col(key).cast("string")) % of
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull()), "doc_id", "text", "lang")
+    found = language.predict(docs, "doc_id", "text", model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
@@ -30,6 +44,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, "doc_id")
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(remainder("doc_id", 5) != 0), "doc_id", "text", "quality")
+    found = quality.score(docs, "doc_id", "text", model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "tokens")
