@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmetrics.llm import fingerprints, language, quality
 from flowmetrics.llm.common import shared_folder, table
-from flowmetrics.llm import language, quality
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
 from flowmetrics.llm.token_files import read_token_files, write_token_files
@@ -64,3 +64,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edit_and_next(table(spark, sf_dir, "documents"), "doc_id", "text")
