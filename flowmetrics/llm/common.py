@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowmetrics.session import checkpoint_dir, configure
 
@@ -54,3 +55,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHAR
         for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
             if end > begin:
                 yield batch.slice(begin, end - begin), texts.slice(begin, end - begin)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: a table of checked size."""
+    return F.broadcast(df) if df.count() <= rows else df

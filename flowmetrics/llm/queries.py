@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmetrics.llm import fingerprints, language, quality
+from flowmetrics.llm import fingerprints, language, lines, quality
 from flowmetrics.llm.common import shared_folder, table
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
@@ -24,6 +24,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return kept.select("doc_id", F.col("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
+
+
+ORACLES["op2_line_dedup"] = lines.ORACLE_SQL
+
+
 def remainder(key: str, of: int):
     """crc32 of the key as text, modulo ``of``: the folds of the contracts."""
     return F.crc32(F.col(key).cast("string")) % of
