@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmetrics.llm import fingerprints, language, lines, quality
+from flowmetrics.llm import decontamination, fingerprints, language, lines, quality
 from flowmetrics.llm.common import shared_folder, table
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
@@ -24,6 +24,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
