@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmetrics.llm import decontamination, fingerprints, language, lines, quality
+from flowmetrics.llm import decontamination, fingerprints, language, lines, quality, similarity_join
 from flowmetrics.llm.common import shared_folder, table
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
@@ -58,6 +58,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, "doc_id")
 
 
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
