@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmetrics.llm import decontamination, fingerprints, language, lines, quality, similarity_join
+from flowmetrics.llm import decontamination, fingerprints, language, lines, pii, quality, similarity_join
 from flowmetrics.llm.common import shared_folder, table
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
@@ -79,6 +79,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, "doc_id", "text", pii.fit(docs, "doc_id", "text"))
+    counts = [F.regexp_count("spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
