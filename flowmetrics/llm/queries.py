@@ -67,7 +67,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(remainder("doc_id", 5) != 0), "doc_id", "text", "quality")
-    found = quality.score(docs, "doc_id", "text", model)
+    found = quality.score(docs.select("doc_id", "text"), "text", model)
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
