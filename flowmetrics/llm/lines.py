@@ -29,7 +29,13 @@ SMALL_ROWS = 500_000
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+    return F.filter(F.when(odd, F.split(line, r"\s")).otherwise(F.split(line, " ")), lambda w: w != "")
+
+
+def _held(value: Column, name: str) -> Column:
+    """``value`` as the output of a generator, so that later expressions read it instead of computing it again."""
+    return F.explode(F.array(value)).alias(name)
 
 
 def lines_of(text: Column, max_words: int) -> Column:
@@ -39,18 +45,29 @@ def lines_of(text: Column, max_words: int) -> Column:
     return F.flatten(F.transform(whole, lambda l: F.when(F.length(l) <= 2 * max_words, F.array(l)).when(F.size(F.split(l, r"\s+")) <= max_words, F.array(l)).otherwise(F.regexp_extract_all(l, pieces, F.lit(0)))))
 
 
-def _numbered(docs: DataFrame, key: str, text: str, max_words: int) -> DataFrame:
-    """``id`` (key and text hash), ``place``, ``words`` of every line with words."""
-    rows = docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.hash(f"`{text}`").alias("th")).alias("id"), F.posexplode(lines_of(F.col(f"`{text}`"), max_words)).alias("place", "line"))
-    return rows.select("id", "place", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+def _id(key: str, text: str) -> Column:
+    return F.struct(F.col(f"`{key}`").alias("key"), F.hash(f"`{text}`").alias("th"))
+
+
+def _numbered(docs: DataFrame, key: str, text: str, max_words: int, of_word) -> DataFrame:
+    """``id`` (key and text hash), ``place``, ``words`` (each through ``of_word``) of every line with words."""
+    line_words = F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda l: F.transform(_words(l), of_word))
+
+    def cut(ws: Column) -> Column:
+        last = F.floor((F.size(ws) - 1) / max_words).cast("int")
+        return F.when(F.size(ws) <= max_words, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(ws, j * max_words + 1, F.lit(max_words))))
+
+    rows = docs.select(_id(key, text).alias("id"), F.posexplode(F.flatten(F.transform(line_words, cut))).alias("place", "words"))
+    return rows.where(F.size("words") > 0)
 
 
 def _halves(words: Column, min_words: int) -> Column:
+    """Hashes of the first and the last half, as a shorter or equal line and as a longer or equal line of a pair."""
     n = F.size(words)
 
     def half(q: Column) -> list[Column]:
         p = F.greatest(F.lit(1), F.floor((q - 2) / 2).cast("int"))
-        return [F.hash(F.lit("first"), q, F.slice(words, F.lit(1), p)), F.hash(F.lit("last"), q, F.slice(words, n - p + 1, p))]
+        return [F.hash(F.lit(0), q, F.slice(words, F.lit(1), p)), F.hash(F.lit(1), q, F.slice(words, n - p + 1, p))]
 
     return F.when(n >= min_words, F.array(*half(n), *half(n + 1)))
 
@@ -71,24 +88,27 @@ def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
     ``classes``: distinct lines ``h1, h2, first, halves``; ``lines``: all lines ``id, place, words``.
     """
-    spark = lines.sparkSession
-    halves = classes.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
+    halves = classes.where("halves is not null").select("h1", "h2", F.posexplode("halves").alias("side", "half"))
     shared = settle(halves.select("half").groupBy("half").count().where("count > 1").select("half"))
-    able = settle(halves.join(small(shared, SMALL_ROWS), "half", "left_semi").select("h1", "h2").distinct())
-    firsts = classes.join(small(able, SMALL_ROWS), ["h1", "h2"], "left_semi").select("h1", "h2", "first")
-    spelt = lines.select("id", "place", "words", F.xxhash64("words").alias("h1")).join(small(settle(firsts), SMALL_ROWS), "h1")
-    spelt = spelt.where(F.struct("id", "place") == F.col("first")).groupBy("h1", "h2", "first").agg(F.first("words").alias("words"))
-    count = parts_for(spark, 1, 1)
-    spelt = settle(spelt.repartitionByRange(count, "first").sortWithinPartitions("first").select("h1", "h2", F.monotonically_increasing_id().alias("at"), "words"))
-
-    n, words = F.size("words"), F.col("words")
-
-    def variant(i: Column) -> Column:
-        rest = F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, n))
-        return F.array(F.struct(F.xxhash64(F.lit("s"), n, i, rest).alias("k"), F.lit(2).alias("side")), F.struct(F.xxhash64(F.lit("d"), rest).alias("k"), F.lit(1).alias("side")))
-
-    whole = F.array(F.struct(F.xxhash64(F.lit("d"), words).alias("k"), F.lit(0).alias("side")))
-    keys = spelt.select("at", F.explode(F.concat(whole, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), variant)))).alias("v")).select("at", "v.k", "v.side")
+    able = halves.join(small(shared, SMALL_ROWS), "half", "left_semi").groupBy("h1", "h2")
+    able = settle(able.agg(F.max((F.col("side") % 2).cast("int")).alias("last"), F.min((F.col("side") % 2).cast("int")).alias("not_first")))
+    firsts = classes.select("h1", "h2", "first").join(small(able, SMALL_ROWS), ["h1", "h2"])
+    spelt = lines.select("id", "place", "words", F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("h1")).join(small(settle(firsts), SMALL_ROWS), "h1")
+    spelt = spelt.where(F.struct("id", "place") == F.col("first")).groupBy("h1", "h2", "first", "last", "not_first").agg(F.first("words").alias("words"))
+    count = parts_for(lines.sparkSession, 1, 1)
+    ordered = spelt.repartitionByRange(count, "first").sortWithinPartitions("first")
+    spelt = settle(ordered.select("h1", "h2", "last", "not_first", F.monotonically_increasing_id().alias("at"), "words"))
+
+    n, half = F.size("hw"), F.floor((F.size("hw") - 2) / 2).cast("int")
+    # A line that shares its first half is edited behind it, one that shares its last half before that.
+    low = F.when(F.col("last") == 1, F.lit(0)).otherwise(half)
+    high = F.when(F.col("not_first") == 0, n - 1).otherwise(n - half - 1)
+    keys = spelt.select("at", "last", "not_first", _held(F.transform("words", lambda w: F.xxhash64(w)), "hw"))
+    rests = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("hw", F.lit(1), i), F.slice("hw", i + 2, n)).alias("rest")))
+    keys = keys.select("at", n.alias("n"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64("hw").alias("rest"))), rests)).alias("v"))
+    left_out = F.array(F.struct(F.xxhash64(F.lit("s"), "n", "v.i", "v.rest").alias("k"), F.lit(2).alias("side")), F.struct(F.col("v.rest").alias("k"), F.lit(1).alias("side")))
+    whole = F.array(F.struct(F.col("v.rest").alias("k"), F.lit(0).alias("side")))
+    keys = settle(keys.select("at", F.explode(F.when(F.col("v.i") < 0, whole).otherwise(left_out)).alias("w")).select("at", "w.k", F.col("w.side").cast("byte").alias("side")))
     least = [F.min(F.when(F.col("side") == s, F.col("at"))).alias(f"m{s}") for s in range(3)]
     groups = keys.groupBy("k").agg(*least, F.count("*").alias("rows")).where("rows > 1").drop("rows")
     other = F.when(F.col("side") == 0, F.col("m1")).when(F.col("side") == 1, F.col("m0")).otherwise(F.col("m2"))
@@ -99,11 +119,11 @@ def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_words: int = 512) -> DataFrame:
     """``id, gone``: for every document that loses lines their places, ascending."""
-    lines = _numbered(docs, key, text, max_words)
-    hashed = settle(lines.select("id", "place", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), _halves(F.col("words"), min_words).alias("halves")))
+    hashed = _numbered(docs, key, text, max_words, lambda w: F.xxhash64(w))
+    hashed = settle(hashed.select("id", "place", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), _halves(F.col("words"), min_words).alias("halves")))
     place = F.struct("id", "place")
     classes = settle(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies")))
-    near = settle(near_lines(lines, classes))
+    near = settle(near_lines(_numbered(docs, key, text, max_words, lambda w: w), classes))
     verdict = classes.where("copies > 1").select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full")
     gone = hashed.select("id", "place", "h1", "h2").join(small(settle(verdict), SMALL_ROWS), ["h1", "h2"]).where(F.col("near") | (place != F.col("first")))
     return gone.select("id", "place").distinct().groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("gone"))
@@ -112,16 +132,14 @@ def dropped_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_
 def dedup_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_words: int = 512) -> DataFrame:
     """``docs`` with the kept lines as text, and two more columns: ``lines`` (all) and ``gone`` (places of removed ones)."""
     gone = dropped_lines(docs, key, text, min_words, max_words)
-    own, lines, left = (free_name(docs.columns, n) for n in ("id", "lines", "gone"))
-    marked = docs.withColumn(own, F.struct(F.col(f"`{key}`").alias("key"), F.hash(f"`{text}`").alias("th")))
-    joined = marked.join(gone.select(F.col("id").alias(own), F.col("gone").alias(left)), own, "left")
-    split = lines_of(F.col(f"`{text}`"), max_words)
-    joined = joined.withColumn(lines, F.coalesce(F.size(split), F.lit(0))).withColumn(left, F.coalesce(left, F.array().cast("array<int>")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.col(lines) - 1), F.col(left)), lambda i: F.get(split, i))
+    own, lines, left, parts = (free_name(docs.columns, n) for n in ("id", "lines", "gone", "parts"))
+    joined = docs.withColumn(own, _id(key, text)).join(gone.select(F.col("id").alias(own), F.col("gone").alias(left)), own, "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(left, F.array().cast("array<int>")).alias(left), _held(lines_of(F.coalesce(F.col(f"`{text}`"), F.lit("")), max_words), parts))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(left)), lambda i: F.get(parts, i))
     new = F.array_join(kept, "")
     new = F.when(new.endswith("\n") & ~F.col(f"`{text}`").endswith("\n"), F.regexp_replace(new, r"\n$", "")).otherwise(new)
     changed = F.when(F.size(left) == 0, F.col(f"`{text}`")).otherwise(new)
-    return joined.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], lines, left)
+    return joined.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.size(parts).alias(lines), left)
 
 
 ORACLE_SQL = """
