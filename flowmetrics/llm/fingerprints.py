@@ -20,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmetrics.llm.common import parts_for
+from flowmetrics.llm.common import parts_for, small
 from flowmetrics.session import settle
 
 UNIT = 48
 #: A paragraph: up to UNIT characters of a line, then on to the end of a sentence, a line, or UNIT more characters.
 PARAGRAPH = rf"(?=[\s\S])[^\n]{{0,{UNIT}}}[^\n.!?]{{0,{UNIT}}}[.!?]*\n*"
 SHOWN = 4
+SMALL_ROWS = 200_000
 
 
 def digests(text: Column) -> Column:
@@ -43,13 +44,13 @@ def fingerprint(text: Column, held: Column) -> Column:
 
     def shown(i: int) -> Column:
         own = F.filter(held, lambda d: _cell(d, i // SHOWN, F.lit(SHOWN), 0) == i)
-        both = F.aggregate(own, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(d)), F.aggregate(own, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(F.xxhash64(d)))
+        both = F.aggregate(own, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(d)), F.aggregate(own, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(F.hash(d).cast("long")))
         return F.concat_ws(".", F.hex(F.size(own)), F.hex(both[0]), F.hex(both[1]))
 
     return F.concat_ws("-", F.hex(F.xxhash64(text)), *[shown(i) for i in range(3 * SHOWN)])
 
 
-def differing(pairs: DataFrame, by: list[str], left: str, right: str, growth: int = 1, steps: int = 9) -> DataFrame:
+def differing(pairs: DataFrame, by: list[str], left: str, right: str, growth: int = 1, steps: int = 12) -> DataFrame:
     """Per pair ``by``: ``held`` (digests of both arrays), ``recovered`` (differing ones), ``whole`` (nothing is left).
 
     Each step peels one table, in which a digest has one cell only, and adds the take-outs as rows, so a step is one
@@ -148,9 +149,9 @@ def compare_with_edit_and_next(docs: DataFrame, key: str, text: str) -> DataFram
     while not open_rows.isEmpty():
         growth *= 2
         owners = open_rows.select(F.col("k").alias("owner")).distinct()
-        needed = links.join(owners, "owner", "left_semi")
-        keys = needed.select(F.explode(F.array("owner", "next")).alias("k")).distinct()
-        again = likeness(pairs(source.join(keys, "k", "left_semi"), needed), growth)
+        needed = settle(links.join(owners, "owner", "left_semi"))
+        keys = settle(needed.select(F.explode(F.array("owner", "next")).alias("k")).distinct())
+        again = likeness(pairs(source.join(small(keys, SMALL_ROWS), "k", "left_semi"), needed), growth)
         retried = settle(open_rows.drop("near_edited", "near_next", "whole").join(again, ["k", "copy"]))
         result, open_rows = result.unionByName(retried.where("whole")), retried.where("not whole")
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_units"]

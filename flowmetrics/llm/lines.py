@@ -137,7 +137,7 @@ def dedup_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_wo
     joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(left, F.array().cast("array<int>")).alias(left), _held(lines_of(F.coalesce(F.col(f"`{text}`"), F.lit("")), max_words), parts))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(left)), lambda i: F.get(parts, i))
     new = F.array_join(kept, "")
-    new = F.when(new.endswith("\n") & ~F.col(f"`{text}`").endswith("\n"), F.regexp_replace(new, r"\n$", "")).otherwise(new)
+    new = F.when(new.endswith("\n") & ~F.col(f"`{text}`").endswith("\n"), F.regexp_replace(new, r"\n\z", "")).otherwise(new)
     changed = F.when(F.size(left) == 0, F.col(f"`{text}`")).otherwise(new)
     return joined.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.size(parts).alias(lines), left)
 

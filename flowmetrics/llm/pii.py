@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from flowmetrics.llm.common import slices
 
 KINDS = ("email", "ip", "card", "phone")
-SURE = 0.9
+SURE = 0.5
 ROUNDS = 10
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
