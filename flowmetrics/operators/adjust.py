@@ -11,7 +11,7 @@ k folds over a hash of the campaign.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -42,12 +42,13 @@ def encoding_weight(n: Column) -> Column:
     return 1 / (1 + F.exp(-(n - ENCODING_LEAF) / ENCODING_SMOOTHING))
 
 
-def feature_frame(
-    train: DataFrame, rows: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], target: str
-) -> DataFrame:
-    """Add model inputs to ``rows``, fitted on ``train``: ``num_i`` (median imputed, standardised by the
-    population deviation) and ``cat_i`` (target encoded)."""
+def fitted_features(
+    train: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], target: str
+) -> Callable[[DataFrame], DataFrame] | None:
+    """Fit :func:`feature_frame` on ``train``; the result adds the model inputs to any rows. None without training rows."""
     one = quantiles(train, [], {f"m{i}": (c, 0.5) for i, c in enumerate(num_cols)}).first()
+    if one is None:
+        return None
     middle = [one[f"m{i}"] for i in range(len(num_cols))]
     filled = [F.coalesce(quoted(c).cast("double"), F.lit(m)) for c, m in zip(num_cols, middle)]
     fit = train.agg(
@@ -55,17 +56,35 @@ def feature_frame(
         *[F.avg(v).alias(f"a{i}") for i, v in enumerate(filled)],
         *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled)],
     ).first()
-    out = rows.withColumns({
-        f"num_{i}": (v - F.lit(fit[f"a{i}"])) / F.lit(fit[f"s{i}"] or 1.0) for i, v in enumerate(filled)
-    })
+    tables = []
     for i, c in enumerate(cat_cols):
         w = encoding_weight(F.count("*").cast("double"))
-        table = train.groupBy(quoted(c).alias(f"_c{i}")).agg(
+        tables.append(train.groupBy(quoted(c).alias(f"_c{i}")).agg(
             (w * F.avg(target) + (1 - w) * F.lit(fit["prior"])).alias(f"cat_{i}")
-        )
-        out = out.join(table, quoted(c).eqNullSafe(F.col(f"_c{i}")), "left").drop(f"_c{i}")
-        out = out.withColumn(f"cat_{i}", F.coalesce(F.col(f"cat_{i}"), F.lit(fit["prior"])))
-    return out
+        ))
+
+    def apply(rows: DataFrame) -> DataFrame:
+        out = rows.withColumns({
+            f"num_{i}": (v - F.lit(fit[f"a{i}"])) / F.lit(fit[f"s{i}"] or 1.0) for i, v in enumerate(filled)
+        })
+        for i, c in enumerate(cat_cols):
+            out = out.join(tables[i], quoted(c).eqNullSafe(F.col(f"_c{i}")), "left").drop(f"_c{i}")
+            out = out.withColumn(f"cat_{i}", F.coalesce(F.col(f"cat_{i}"), F.lit(fit["prior"])))
+        return out
+
+    return apply
+
+
+def feature_frame(
+    train: DataFrame, rows: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], target: str
+) -> DataFrame:
+    """Add model inputs to ``rows``, fitted on ``train``: ``num_i`` (median imputed, standardised by the
+    population deviation) and ``cat_i`` (target encoded); all NULL without training rows."""
+    apply = fitted_features(train, num_cols, cat_cols, target)
+    if apply is None:
+        inputs = [f"num_{i}" for i in range(len(num_cols))] + [f"cat_{i}" for i in range(len(cat_cols))]
+        return rows.withColumns({c: F.lit(None).cast("double") for c in inputs})
+    return apply(rows)
 
 
 # ---------------------------------------------------------------- ridge, exact leave-one-out
@@ -243,15 +262,14 @@ def tree_cross_predict(
 
     def one(k: int) -> DataFrame:
         train, test = folded.where(F.col("_fold") != k), folded.where(F.col("_fold") == k)
-        shape = lambda rows: assembler.transform(feature_frame(train, rows, num_cols, cat_cols, target))
-        labelled = shape(train).select("_features", quoted(target).cast("double").alias("_label"))
-        if labelled.isEmpty():
-            return df.where(F.lit(False)).withColumn(PREDICTION, F.lit(None).cast("double"))
-        ready = labelled.persist()
-        try:
-            model = _estimator(name, rounds).setFeaturesCol("_features").setLabelCol("_label").fit(ready)
-        finally:
-            ready.unpersist()
+        apply = fitted_features(train, num_cols, cat_cols, target)
+        if apply is None:
+            return test.select(*[quoted(c) for c in df.columns], F.lit(None).cast("double").alias(PREDICTION))
+        shape = lambda rows: assembler.transform(apply(rows))
+        # written once per fold: the fit reads it again for every round
+        ready = settle(apply(train).select(*inputs, quoted(target).cast("double").alias("_label")))
+        labelled = assembler.transform(ready).select("_features", "_label")
+        model = _estimator(name, rounds).setFeaturesCol("_features").setLabelCol("_label").fit(labelled)
         return model.transform(shape(test)).select(*[quoted(c) for c in df.columns], PREDICTION)
 
     with ThreadPoolExecutor(max_workers=folds) as pool:
@@ -280,7 +298,7 @@ def cross_evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions of the best model, and the table of all models.
 
-    The table has ``modelo, r2, mae, cv_scheme, ganador``; the winner has the highest rounded R², the
+    The table has ``modelo, r2, mae, cv_scheme, ganador, features_usados``; the winner has the highest rounded R², the
     first listed among equals.
     """
     settled = settle(df)
@@ -297,10 +315,10 @@ def cross_evaluate(
         results = dict(zip(models, pool.map(evaluate, models)))
     best = max(models, key=lambda m: (results[m][1]["r2"] is not None, results[m][1]["r2"] or 0.0))
     table = [
-        (m, results[m][1]["r2"], results[m][1]["mae"], "leave-one-out" if m == "Ridge" else f"{folds}-fold", m == best)
+        (m, results[m][1]["r2"], results[m][1]["mae"], "leave-one-out" if m == "Ridge" else f"{folds}-fold", m == best, [*num_cols, *cat_cols])
         for m in models
     ]
-    schema = "modelo string, r2 double, mae double, cv_scheme string, ganador boolean"
+    schema = "modelo string, r2 double, mae double, cv_scheme string, ganador boolean, features_usados array<string>"
     return results[best][0], df.sparkSession.createDataFrame(table, schema)
 
 

@@ -28,11 +28,29 @@ def is_nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
 
+def maps_to_structs(df: DataFrame, most: int = 1000) -> DataFrame:
+    """Replace each map column with text keys by a struct with one field per key, in key order.
+
+    The keys are read from the data, one pass over all maps; more than ``most`` of them are an error.
+    """
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType) and isinstance(f.dataType.keyType, T.StringType)]
+    if not maps:
+        return df
+    entries = F.array(*[F.struct(F.lit(c).alias("c"), F.map_keys(quoted(c)).alias("k")) for c in maps])
+    found = df.select(F.inline(entries)).select("c", F.explode("k").alias("k")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} keys in the map columns {maps}")
+    keys = {c: sorted(r["k"] for r in found if r["c"] == c) for c in maps}
+    fields = {c: F.struct(*[F.try_element_at(quoted(c), F.lit(k)).alias(k) for k in keys[c]]) for c in maps if keys[c]}
+    return df.withColumns(fields)
+
+
 def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
-    """Replace each struct column by its leaves ``column<sep>field``, at the end; lists become JSON text.
+    """Replace each struct or map column by its leaves ``column<sep>field``, at the end; lists become JSON text.
 
     Lists inside a struct keep their type, as only the table's own list columns are turned to text.
     """
+    df = maps_to_structs(df)
     kept, added = [], []
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StructType):
@@ -64,7 +82,7 @@ def foreign_key_map(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Distinct values of every struct leaf whose name contains ``id``: ``(tabla, fk, valor)``."""
     parts = []
     for name, df in tables.items():
-        found = []
+        df, found = maps_to_structs(df), []
         for field in df.schema.fields:
             if isinstance(field.dataType, T.StructType):
                 for path, _, value in _leaves(field.dataType, quoted(field.name), field.name, "."):

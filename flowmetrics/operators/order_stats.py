@@ -127,7 +127,7 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str,
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
     """Smallest value whose share of the cumulated weight reaches one half."""
     counts = value_counts(df, by, [value], weight)
-    placed = positions(counts, range_offsets(counts).where("(_off + _size) * 2 >= _total"))
+    placed = positions(counts, range_offsets(counts).where("(_off + _size) * 2 >= _total and (_off * 2 < _total or _total = 0)"))
     reached = placed.where("(_before + _n) * 2 >= _total")
     return reached.groupBy("_k").agg(F.min("_v").alias(out)).selectExpr(*_unpack(by), _sql_name(out))
 

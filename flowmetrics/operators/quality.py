@@ -13,9 +13,25 @@ from flowmetrics.operators.nested import is_nested
 from flowmetrics.schemas import quoted
 
 
-def _row_digest(df: DataFrame) -> Column:
-    """SHA-256 of the whole row as JSON: rows of any width are compared, and shuffled, as 64 characters."""
-    return F.sha2(F.to_json(F.struct(*[quoted(c) for c in df.columns])), 256)
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def _comparable(name: str, kind: T.DataType) -> Column:
+    """The value itself, so that equal means equal to the microsecond; maps as sorted entries, deeper maps as text."""
+    if isinstance(kind, T.MapType) and not _has_map(kind.keyType) and not _has_map(kind.valueType):
+        return F.array_sort(F.map_entries(quoted(name)))
+    return F.to_json(quoted(name)) if _has_map(kind) else quoted(name)
+
+
+def _copies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row ``d``: rows that repeat an earlier one in ``columns``."""
+    keys = [_comparable(c, df.schema[c].dataType).alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = df.select(*keys)
+    groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
+    return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("d"))
 
 
 def _missing(name: str, kind: T.DataType) -> Column:
@@ -30,11 +46,10 @@ def table_quality(name: str, df: DataFrame) -> DataFrame:
     flat = [f for f in df.schema.fields if not is_nested(f.dataType)]
     nested = [f.name for f in df.schema.fields if is_nested(f.dataType)]
 
-    # the counts come from one pass without any shuffle of size; the duplicates from digests
+    # the counts come from one pass without any shuffle of size; the duplicates from grouping by the values
     shares = [F.avg(F.when(_missing(f.name, f.dataType), 100.0).otherwise(0.0)).alias(f"s{i}") for i, f in enumerate(flat)]
     counts = df.agg(F.count("*").alias("n"), *shares)
-    rows = df.select(_row_digest(df).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("_copies"))
-    copies = rows.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("d"))
+    copies = _copies(df, df.columns)
 
     entry = lambda metric, column, value: F.struct(
         F.lit(name).alias("tabla"),
@@ -51,12 +66,7 @@ def table_quality(name: str, df: DataFrame) -> DataFrame:
     ))).where((F.col("metrica") != "pct_nulos") | (F.col("valor") > 0))
     parts = [first, copies.select(F.inline(F.array(entry("duplicados_fila", None, F.col("d")))))]
     if "id" in df.columns:
-        ids = df.select(F.to_json(F.struct("id")).alias("_id")).groupBy("_id").agg(F.count("*").alias("_copies"))
-        parts.append(
-            ids.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("d")).select(
-                F.inline(F.array(entry("duplicados_id", None, F.col("d"))))
-            )
-        )
+        parts.append(_copies(df, ["id"]).select(F.inline(F.array(entry("duplicados_id", None, F.col("d"))))))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,12 +22,12 @@ def page_records(page: object, records_key: str | None) -> list:
     return records if isinstance(records, list) else [records]
 
 
-class Page(InputPartition):
-    """Pages from ``offset`` on: one page, or all up to the first short one if ``to_end``."""
+class Pages(InputPartition):
+    """Pages at ``offset``, ``offset + step``, … up to the first short one; a single page without ``step``."""
 
-    def __init__(self, offset: int, to_end: bool):
+    def __init__(self, offset: int, step: int | None):
         super().__init__(offset)
-        self.offset, self.to_end = offset, to_end
+        self.offset, self.step = offset, step
 
 
 class PagedRecordsReader(DataSourceReader):
@@ -35,40 +35,39 @@ class PagedRecordsReader(DataSourceReader):
         self.fetch: Fetcher = cloudpickle.loads(bytes.fromhex(options["fetcher"]))
         self.records_key = options.get("records_key")
         self.limit = int(options["limit"]) if "limit" in options else None
-        self.total = int(options["total"]) if "total" in options else None
+        self.readers = int(options["readers"])
         self.fetch_all = options.get("fetch_all", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
         if not self.fetch_all or self.limit is None:
-            return [Page(0, False)]
-        if self.total is None:
-            return [Page(0, True)]
-        return [Page(at, False) for at in range(0, max(self.total, 1), self.limit)]
+            return [Pages(0, None)]
+        return [Pages(k * self.limit, self.readers * self.limit) for k in range(self.readers)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         offset = partition.offset
         while True:
             try:
                 records = page_records(self.fetch(offset, self.limit), self.records_key)
             except Exception as problem:  # noqa: BLE001 - reported as a row, see load errors
-                yield None, offset, f"{type(problem).__name__}: {problem}"
+                yield None, offset, f"{type(problem).__name__}: {problem}", None
                 return
             for record in records:
-                yield json.dumps(record), offset, None
-            if not partition.to_end or len(records) < self.limit:
+                yield json.dumps(record), offset, None, None
+            yield None, offset, None, len(records)
+            if partition.step is None or len(records) < self.limit:
                 return
-            offset += self.limit
+            offset += partition.step
 
 
 class PagedRecords(DataSource):
-    """Rows ``(registro, offset, error)``: a record as JSON text, or the error of a page."""
+    """Rows ``(registro, offset, error, n_pagina)``: a record as JSON text, the error of a page, or a page's size."""
 
     @classmethod
     def name(cls) -> str:
         return "paged_records"
 
     def schema(self) -> str:
-        return "registro string, offset bigint, error string"
+        return "registro string, offset bigint, error string, n_pagina int"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return PagedRecordsReader(dict(self.options))
@@ -81,14 +80,18 @@ def fetch_pages(
     limit: int | None = None,
     fetch_all: bool = False,
     total: int | None = None,
+    readers: int | None = None,
 ) -> DataFrame:
-    """Raw pages of a fetcher as ``(registro, offset, error)``.
+    """Raw pages of a fetcher as ``(registro, offset, error, n_pagina)``.
 
-    With ``total`` every page is a partition of its own and pages are fetched in parallel; without it the
-    end is only known by a short page, so one task follows the offsets.
+    ``readers`` tasks (by default the session's parallelism) share the offsets in turns, each up to its own first short
+    page, so the end needs no known total and no page is left out. ``total`` only tells how many tasks are worth it.
     """
     import sys
 
+    readers = readers or spark.sparkContext.defaultParallelism
+    if total is not None and limit:
+        readers = min(readers, -(-total // limit))
     module = sys.modules[__name__]
     cloudpickle.register_pickle_by_value(module)
     try:
@@ -99,14 +102,25 @@ def fetch_pages(
         "fetcher": cloudpickle.dumps(fetcher).hex(),
         "records_key": records_key,
         "limit": limit,
-        "total": total,
+        "readers": max(1, readers),
         "fetch_all": str(fetch_all).lower(),
     }
     return spark.read.format("paged_records").options(**{k: v for k, v in options.items() if v is not None}).load()
 
 
-def records_of(pages: DataFrame, schema: T.StructType | str, offset_col: str = "offset") -> DataFrame:
+def within_end(pages: DataFrame, limit: int | None) -> DataFrame:
+    """Rows of pages up to the first short one: what lies behind the end of a source is not part of it."""
+    if limit is None:
+        return pages
+    end = pages.where(F.col("n_pagina") < limit).agg(F.min("offset").alias("_end"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    inside = F.col("_end").isNull() | (F.col("offset") <= F.col("_end"))
+    return one(pages).join(F.broadcast(one(end)), "_one").where(inside).drop("_end", "_one")
+
+
+def records_of(pages: DataFrame, schema: T.StructType | str, limit: int | None = None) -> DataFrame:
     """Typed records of :func:`fetch_pages`; if any page failed, no record at all, as for an empty source."""
+    pages = within_end(pages, limit)
     failed = pages.where(F.col("error").isNotNull()).select(F.lit(1).alias("_failed")).limit(1)
     good = pages.where(F.col("registro").isNotNull()).select(
         F.from_json("registro", schema).alias("_r"), F.lit(1).alias("_failed")
@@ -116,7 +130,7 @@ def records_of(pages: DataFrame, schema: T.StructType | str, offset_col: str = "
 
 def read_status(pages: DataFrame, name: str, limit: int | None = None, fetch_all: bool = False) -> DataFrame:
     """One row ``(fuente, n_registros, estado, aviso)``; ``aviso`` tells of an error or of unread pages."""
-    row = pages.agg(F.count("registro").alias("_n"), F.max("error").alias("_error"))
+    row = within_end(pages, limit).agg(F.count("registro").alias("_n"), F.max("error").alias("_error"))
     full = F.lit(False) if limit is None or fetch_all else F.col("_n") >= limit
     n = F.when(F.col("_error").isNull(), F.col("_n")).otherwise(F.lit(0))
     return row.select(
@@ -127,21 +141,31 @@ def read_status(pages: DataFrame, name: str, limit: int | None = None, fetch_all
     )
 
 
+def page_number(path: Column) -> Column:
+    """The last number in a file's name, for ``page_2`` to come before ``page_10``; 0 where there is none."""
+    return F.coalesce(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d+)\D*$", 1).try_cast("long"), F.lit(0))
+
+
 def read_landed_pages(
     spark: SparkSession,
     path: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     records_key: str | None = None,
-    limit: int | None = None,
-    fetch_all: bool = False,
+    first_only: bool = False,
+    number: Callable[[Column], Column] = page_number,
 ) -> DataFrame:
-    """Records of page files (one JSON document each) whose names sort by page.
+    """Records of a folder of page files (one JSON document each): every page, whole, in any order of names.
 
-    The first page only, unless ``fetch_all`` with a ``limit``; then all pages up to and including the
-    first one with fewer than ``limit`` records. ``schema`` is that of one record.
+    ``first_only`` mirrors a single request: only the pages with the smallest ``number`` of their path. ``schema`` is
+    that of one record.
     """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     array = T.ArrayType(schema)
-    pages = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_page"), "value")
+    pages = spark.read.text(path, wholetext=True).select(number(F.input_file_name()).alias("_page"), "value")
+    if first_only:
+        first = pages.agg(F.min("_page").alias("_page"))
+        pages = pages.join(F.broadcast(first), "_page")
     if records_key:
         body = T.StructType([T.StructField(records_key, array)])
         single = T.StructType([T.StructField(records_key, schema)])
@@ -151,27 +175,22 @@ def read_landed_pages(
         many, one = F.from_json("value", array), F.from_json("value", schema)
     inner = F.get_json_object("value", f"$.{records_key}") if records_key else F.col("value")
     is_list = F.ltrim(inner).startswith("[")
-    records = pages.select("_page", F.when(is_list, many).otherwise(F.array(one)).alias("_records"))
-    ends = records.where(F.size("_records") < limit) if fetch_all and limit is not None else records
-    last = ends.agg(F.min("_page")).first()[0]
-    if last is not None:
-        records = records.where(F.col("_page") <= last)
-    return records.select(F.inline("_records"))
+    return pages.select(F.inline(F.when(is_list, many).otherwise(F.array(one))))
 
 
 def read_api_records(
     spark: SparkSession,
     source: str | Fetcher,
-    schema: T.StructType,
+    schema: T.StructType | str,
     records_key: str | None = None,
     limit: int | None = None,
     fetch_all: bool = False,
     total: int | None = None,
 ) -> DataFrame:
-    """Records from landed page files (a path) or from a fetcher; an error gives an empty table.
+    """Records from landed page files (a path: all of them) or from a fetcher; an error gives an empty table.
 
     Fetched pages are written to the checkpoint folder first, so each page is asked for once.
     """
     if isinstance(source, str):
-        return read_landed_pages(spark, source, schema, records_key, limit, fetch_all)
-    return records_of(settle(fetch_pages(spark, source, records_key, limit, fetch_all, total)), schema)
+        return read_landed_pages(spark, source, schema, records_key)
+    return records_of(settle(fetch_pages(spark, source, records_key, limit, fetch_all, total)), schema, limit if fetch_all else None)

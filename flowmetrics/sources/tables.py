@@ -7,25 +7,47 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowmetrics.operators.lifecycle import join_key
 
 
+class Sources(dict):
+    """Opened sources by name; ``errors`` tells why a source could not be opened (it is an empty table then)."""
+
+    def __init__(self):
+        super().__init__()
+        self.errors: dict[str, str] = {}
+
+
 def read_sources(
-    mapping: Mapping[str, str | Callable[[], DataFrame]], reader: Callable[[str], DataFrame] | None = None
-) -> dict[str, DataFrame]:
-    """Open many named sources; each value is a function that gives a DataFrame, or a path for ``reader``."""
-    return {name: (source() if callable(source) else reader(source)) for name, source in mapping.items()}
+    mapping: Mapping[str, str | Callable[[], DataFrame]], reader: Callable[[str], DataFrame] | None = None, schema: str = ""
+) -> Sources:
+    """Open many named sources; each value is a function that gives a DataFrame, or a path for ``reader``.
+
+    A source that cannot be opened does not stop the others: it becomes an empty table of ``schema``.
+    """
+    opened = Sources()
+    for name, source in mapping.items():
+        try:
+            opened[name] = source() if callable(source) else reader(source)
+        except Exception as problem:  # noqa: BLE001 - reported in the status
+            opened[name] = SparkSession.active().createDataFrame([], schema or T.StructType())
+            opened.errors[name] = f"{type(problem).__name__}: {problem}".splitlines()[0]
+    return opened
 
 
 def load_status(sources: Mapping[str, DataFrame]) -> DataFrame:
-    """``(fuente, n_registros, estado)`` per source; no rows means ``ERROR``."""
+    """``(fuente, n_registros, estado, aviso)`` per source; no rows means ``ERROR``, ``aviso`` tells of a failed opening."""
+    errors = getattr(sources, "errors", {})
     counts = [
-        df.agg(F.count("*").alias("n_registros")).select(F.lit(name).alias("fuente"), "n_registros")
+        df.agg(F.count("*").alias("n_registros")).select(F.lit(name).alias("fuente"), "n_registros", F.lit(errors.get(name)).cast("string").alias("aviso"))
         for name, df in sources.items()
     ]
+    if not counts:
+        return SparkSession.active().createDataFrame([], "fuente string, n_registros bigint, estado string, aviso string")
     state = F.when(F.col("n_registros") > 0, "OK").otherwise("ERROR")
-    return reduce(DataFrame.unionByName, counts).withColumn("estado", state)
+    return reduce(DataFrame.unionByName, counts).select("fuente", "n_registros", state.alias("estado"), "aviso")
 
 
 def normalise_classification(sheet: DataFrame) -> DataFrame:

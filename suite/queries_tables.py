@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flowmetrics.functions import time as X
 from flowmetrics.operators import adjust, difficulty, lifecycle, nested, picking, quality, stats
 from flowmetrics.plans.adjusted_scores import campaign_reference, station_reference
 from flowmetrics.plans.picking_times import clean_operations
-from flowmetrics.session import settle
+from flowmetrics.session import checkpoint_dir, settle
 from flowmetrics.sources import api, tables
 from suite import adapters as A
 from suite import sql as S
@@ -16,7 +18,7 @@ from suite.registry import query
 from suite.sql import r, ts
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-YEARS = (1995, 1996)
+YEARS = range(1992, 1999)
 
 
 def cleaned(spark, d):
@@ -32,29 +34,41 @@ def clients(spark, d):
 
 
 def by_source(spark, d):
+    """Every client and year as a source of its own: a folder that holds that part only; one source has no folder."""
+    folder = f"{checkpoint_dir(spark)}/sources-{uuid.uuid4().hex}"
     rows = A.strategies(spark, d)
-    found = {
-        f"{segment.lower()}_{year}": rows.where((F.col("Cliente") == segment) & (F.col("Año") == year)).drop("Cliente", "Año")
-        for segment in SEGMENTS for year in YEARS
-    }
-    return found | {"nadie_2030": rows.where(F.col("Cliente") == "NADIE").drop("Cliente", "Año")}
+    rows.write.partitionBy("Cliente", "Año").parquet(folder)
+    schema = rows.drop("Cliente", "Año").schema
+    opened = lambda segment, year: lambda: spark.read.schema(schema).parquet(f"{folder}/Cliente={segment}/Año={year}")
+    paths = {f"{segment.lower()}_{year}": opened(segment, year) for segment in SEGMENTS for year in YEARS}
+    return tables.read_sources(paths | {"nadie_2030": opened("NADIE", 2030)}, schema=schema)
 
 
 # ------------------------------------------------------------------ sources and sinks
 
 def label_pages(d: str, records_key: str):
     """A fetcher over the given ``labels`` table: one page is a slice of its rows."""
-    path = f"{d}/labels.parquet"
+    path, held = f"{d}/labels.parquet", []
 
     def fetch(offset, limit):
         import pyarrow.parquet as pq
 
-        rows = pq.read_table(path).slice(offset, limit).to_pylist()
-        return {records_key: rows}
+        if not held:  # once per task, not once per page
+            held.append(pq.read_table(path))
+        return {records_key: held[0].slice(offset, limit).to_pylist()}
 
     return fetch
 
 
+@query("s1_landed_pages", "select doc_id, quality, toxic from labels")
+def _(spark, d):
+    rows = A.table(spark, d, "labels").withColumn("page", F.floor(F.col("doc_id") / 37))
+    folder = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    body = F.to_json(F.struct(F.collect_list(F.struct("doc_id", "quality", "toxic")).alias("data")))
+    rows.groupBy("page").agg(body.alias("value")).write.partitionBy("page").text(folder)
+    return api.read_api_records(spark, folder, "doc_id bigint, quality int, toxic int", "data")
+
+
 @query("s1_read_api_records", "select doc_id, quality, toxic from labels")
 def _(spark, d):
     total = A.table(spark, d, "labels").count()
@@ -69,13 +83,12 @@ def _(spark, d):
     return api.read_status(pages, "labels", 150, True).drop("aviso")
 
 
-@query("s2_read_sources", S.STRATEGIES + """, k as (select s, y from (values ('AUTOMOBILE'),('BUILDING'),('FURNITURE'),('HOUSEHOLD'),('MACHINERY')) a(s), (values (1995),(1996)) b(y)
+@query("s2_read_sources", S.STRATEGIES + """, k as (select s, y from (values ('AUTOMOBILE'),('BUILDING'),('FURNITURE'),('HOUSEHOLD'),('MACHINERY')) a(s), (values (1992),(1993),(1994),(1995),(1996),(1997),(1998)) b(y)
     union all select 'NADIE', 2030)
   select lower(s) || '_' || y fuente, count("Folio") n_registros, case when count("Folio") > 0 then 'OK' else 'ERROR' end estado
   from k left join st on "Cliente" = s and "Año" = y group by 1""")
 def _(spark, d):
-    frames = by_source(spark, d)
-    return tables.load_status(tables.read_sources({name: (lambda df=df: df) for name, df in frames.items()}))
+    return tables.load_status(by_source(spark, d)).drop("aviso")
 
 
 @query("s3_read_classification", S.CLASSES + ' select upper(trim("Cliente")) _join_cliente, upper(trim("Campaña")) _join_campana, tradicional from clas')
@@ -131,8 +144,7 @@ def _(spark, d):
     return X.auto_parse_dates(A.strategies(spark, d)).drop("Cliente", "Año", "Campaña")
 
 
-@query("c4_build_strategies", S.STRATEGIES + """ select "Folio", "Cliente", "Año", "Campaña" from st
-  where "Año" in (1995, 1996) and "Cliente" in ('AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY')""")
+@query("c4_build_strategies", S.STRATEGIES + """ select "Folio", "Cliente", "Año", "Campaña" from st""")
 def _(spark, d):
     return lifecycle.build_strategies(by_source(spark, d)).select("Folio", "Cliente", "Año", "Campaña")
 
@@ -424,17 +436,16 @@ def _(spark, d):
 @query("m3_adjusted_zscore_campaign")
 def _(spark, d):
     complexity, reference = _campaign_models(spark, d)
-    return adjust.adjusted_zscore_campaign(complexity, reference, folds=3)[0]
+    return adjust.adjusted_zscore_campaign(complexity, reference)[0]
 
 
 @query("m3_model_table")
 def _(spark, d):
     complexity, reference = _campaign_models(spark, d)
-    _, table = adjust.adjusted_zscore_campaign(complexity, reference, models=("Ridge", "RandomForest"), folds=2)
-    return table
+    return adjust.adjusted_zscore_campaign(complexity, reference)[1]
 
 
 @query("m4_adjusted_zscore_station")
 def _(spark, d):
     features, reference = _station_models(spark, d)
-    return adjust.adjusted_zscore_station(features, reference, models=("Ridge", "RandomForest"), folds=3)[0]
+    return adjust.adjusted_zscore_station(features, reference)[0]

@@ -84,6 +84,13 @@ def test_cross_evaluate_covers_every_row_once(frame, pdf):
     assert rows["Ridge"].mae == pytest.approx(np.abs(pdf.y - pred).mean(), abs=0.0006)
 
 
+def test_one_campaign_keeps_its_rows_without_a_prediction(frame):
+    one = frame.where("campana = 'c1'")
+    for name in ("RandomForest", "GradientBoosting"):
+        got = adjust.tree_cross_predict(one, name, ["x0"], ["cliente"], "y", folds=2, rounds=2).collect()
+        assert len(got) == one.count() and all(r.y_pred is None for r in got)
+
+
 def test_adjusted_scores(spark, frame):
     complexity = frame.selectExpr("campana", "x0 as entropia_sku", "x1 as skus_por_caja_mediana", "x1 as n_categorias_distintas")
     summary = frame.selectExpr("campana", "cliente", "y as mediana_seg_pick", "0.5D as z_score")

@@ -165,6 +165,38 @@ def test_quality_report(records, spark):
     assert got[("p", "pct_nulos", "x")] == 50.0 and got[("p", "pct_nulos", "y")] == 50.0 and got[("p", "duplicados_fila", None)] == 1
 
 
+def test_duplicates_are_exact(spark):
+    rows = [(1, "2025-01-01 00:00:00.000001", 0.0, None), (2, "2025-01-01 00:00:00.000002", -0.0, {"a": 1}), (2, "2025-01-01 00:00:00.000002", 0.0, {"a": 1}), (3, None, float("nan"), None), (3, None, float("nan"), None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "n int, t string, v double, m map<string,int>").withColumn("id", F.to_timestamp("t")).drop("t")
+    got = {r.metrica: r.valor for r in quality.table_quality("t", df).collect() if r.columna is None}
+    assert (got["duplicados_fila"], got["duplicados_id"]) == (2, 3)
+
+
+def test_failing_source_does_not_stop_the_others(spark):
+    opened = tables.read_sources({"dq_2025": lambda: spark.createDataFrame(strategy_rows(), STRATEGIES), "mal_2025": "/no/such/folder"}, spark.read.parquet)
+    status = {r.fuente: r for r in tables.load_status(opened).collect()}
+    assert status["dq_2025"].estado == "OK" and status["mal_2025"].estado == "ERROR" and "Exception" in status["mal_2025"].aviso
+    assert tables.load_status({}).count() == 0
+
+
+def test_dates_in_given_formats(spark):
+    rows = [("1", "a", "E", "05/01/2026", "20260105", "Jan 5 2026", "nada")]
+    df = spark.createDataFrame(rows, STRATEGIES)
+    formats = ("dd/MM/yyyy", "yyyyMMdd", "MMM d yyyy")
+    got = lifecycle.clean_strategies(df, formats).first()
+    assert got.fecha_arte == got.fecha_preproyecto == got.fecha_aprobacion == dt.datetime(2026, 1, 5)
+    lost = {r.columna: r.ilegibles for r in lifecycle.unreadable_dates(df, formats).collect()}
+    assert sum(lost.values()) == 1 and lost["fecha_aprobado_ODT"] == 1
+
+
+def test_maps_become_columns(spark):
+    df = spark.createDataFrame([(1, {"b": "x", "a": "y"}), (2, {"a": "z"}), (3, None)], "id int, m map<string,string>")
+    flat = nested.flatten_structs(df)
+    assert flat.columns == ["id", "m.a", "m.b"] and sorted(tuple(r) for r in flat.collect())[1] == (2, "z", None)
+    with pytest.raises(ValueError):
+        nested.maps_to_structs(df, most=1)
+
+
 # ------------------------------------------------------------------ API records
 
 def numbers(n, calls=None):
@@ -176,7 +208,7 @@ def numbers(n, calls=None):
 
 
 @pytest.mark.parametrize("limit,fetch_all,total,count", [
-    (None, False, None, 25), (None, True, None, 25), (10, False, None, 10), (10, True, None, 25), (10, True, 25, 25), (5, True, None, 25), (5, True, 25, 25),
+    (None, False, None, 25), (None, True, None, 25), (10, False, None, 10), (10, True, None, 25), (10, True, 25, 25), (5, True, None, 25), (5, True, 25, 25), (5, True, 12, 25), (5, True, 99, 25), (5, True, 0, 25),
 ])
 def test_paged_records(spark, limit, fetch_all, total, count):
     got = api.read_api_records(spark, numbers(25), RECORD, "data", limit, fetch_all, total)
@@ -204,6 +236,12 @@ def test_landed_pages(spark, tmp_path):
         (tmp_path / f"page-{i:03}.json").write_text(json.dumps({"data": [{"id": x, "name": "n"} for x in page]}), encoding="utf8")
     schema = spark.createDataFrame([], RECORD).schema
     ids = lambda **options: sorted(r.id for r in api.read_api_records(spark, str(tmp_path), schema, "data", **options).collect())
-    assert ids() == ids(limit=2) == [1, 2]
-    assert ids(limit=2, fetch_all=True) == [1, 2, 3, 4, 5]
-    assert ids(limit=1, fetch_all=True) == [1, 2, 3, 4, 5, 6, 7]
+    assert ids() == ids(limit=2) == ids(limit=2, fetch_all=True) == [1, 2, 3, 4, 5, 6, 7]
+    for i in range(1, 12):
+        folder = tmp_path / "unpadded"
+        folder.mkdir(exist_ok=True)
+        (folder / f"page_{i}.json").write_text(json.dumps({"data": [{"id": 3 * i + k, "name": "n"} for k in range(3 if i < 11 else 1)]}), encoding="utf8")
+    every = api.read_landed_pages(spark, str(tmp_path / "unpadded"), schema, "data")
+    assert sorted(r.id for r in every.collect()) == list(range(3, 34))
+    first = api.read_landed_pages(spark, str(tmp_path / "unpadded"), schema, "data", first_only=True)
+    assert sorted(r.id for r in first.collect()) == [3, 4, 5]
