@@ -18,7 +18,7 @@ from suite.registry import query
 from suite.sql import r, ts
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-YEARS = range(1992, 1999)
+YEARS = range(1995, 2002)
 
 
 def cleaned(spark, d):
@@ -83,7 +83,7 @@ def _(spark, d):
     return api.read_status(pages, "labels", 150, True).drop("aviso")
 
 
-@query("s2_read_sources", S.STRATEGIES + """, k as (select s, y from (values ('AUTOMOBILE'),('BUILDING'),('FURNITURE'),('HOUSEHOLD'),('MACHINERY')) a(s), (values (1992),(1993),(1994),(1995),(1996),(1997),(1998)) b(y)
+@query("s2_read_sources", S.STRATEGIES + """, k as (select s, y from (values ('AUTOMOBILE'),('BUILDING'),('FURNITURE'),('HOUSEHOLD'),('MACHINERY')) a(s), range(1995, 2002) b(y)
     union all select 'NADIE', 2030)
   select lower(s) || '_' || y fuente, count("Folio") n_registros, case when count("Folio") > 0 then 'OK' else 'ERROR' end estado
   from k left join st on "Cliente" = s and "Año" = y group by 1""")
