@@ -7,6 +7,6 @@ operators   DataFrame -> DataFrame operations
 sources     readers and sinks
 plans       the composed flows (picking times, campaign life cycle, adjusted scores)
 
-Every function takes and returns lazy DataFrames; missing values are NULL, never NaN.
+Functions take and return DataFrames; shared intermediate tables are written while a plan is built (:func:`session.settle`). Missing values are NULL, never NaN.
 Timestamps are compared in UTC: call :func:`flowmetrics.session.configure` once per session.
 """
