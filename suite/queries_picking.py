@@ -423,20 +423,29 @@ def _correlation(spark, d):
     return difficulty.difficulty_correlation(difficulty.box_difficulty(events), events, tpp_max=600_000.0)
 
 
-@query("a18_difficulty_correlation", S.BOX_PACE + """,
+RANKS = S.BOX_PACE + """,
   j as (select dif.*, tiempo_por_pick t, split_part(dif.campana, ' ', 1) cliente from dif join pace using (box_id) where tiempo_por_pick between 0 and 600000),
   l as (select 'global' "scope", * from j union all select cliente, * from j),
   u as (unpivot (select "scope", t, cast(n_skus_en_caja as double) n_skus_en_caja, cast(n_categorias_en_caja as double) n_categorias_en_caja,
       cast(cambios_de_row as double) cambios_de_row, cast(n_filas_distintas as double) n_filas_distintas from l)
     on n_skus_en_caja, n_categorias_en_caja, cambios_de_row, n_filas_distintas into name feature value v),
   k as (select "scope", feature, rank() over (partition by "scope", feature order by v) + (count(*) over (partition by "scope", feature, v) - 1) / 2.0e0 a,
-    rank() over (partition by "scope", feature order by t) + (count(*) over (partition by "scope", feature, t) - 1) / 2.0e0 b from u)
+    rank() over (partition by "scope", feature order by t) + (count(*) over (partition by "scope", feature, t) - 1) / 2.0e0 b from u)"""
+
+
+@query("a18_difficulty_correlation", RANKS + """
   select feature, "scope", round_even(corr(a, b), 3) + 0.0e0 r, count(*) n from k group by 1, 2 having count(*) >= 10""")
 def _(spark, d):
     return _correlation(spark, d).select("feature", "scope", "r", "n")
 
 
-@query("x7_significance_stars")
+# the p value by Simpson's rule over the density of Student's t, with t / sqrt(n - 2) = tan(angle)
+@query("x7_significance_stars", RANKS + """,
+  c as (select feature, "scope", corr(a, b) r0, count(*) n from k group by 1, 2 having count(*) >= 10),
+  g as (select *, n - 2 nu, asin(abs(r0)) lo, (pi() / 2 - asin(abs(r0))) / 4000 h, unnest(range(0, 4001)) i from c),
+  w as (select feature, "scope", r0, n, 2 * exp(lgamma((nu + 1) / 2.0e0) - lgamma(nu / 2.0e0)) / sqrt(pi()) * h / 3
+      * sum((case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(greatest(cos(lo + i * h), 0), nu - 1)) p from g group by feature, "scope", r0, n, nu, h)
+  select feature, "scope", round_even(r0, 3) + 0.0e0 r, round_even(p, 4) + 0.0e0 p_value, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end sig, n from w""")
 def _(spark, d):
     return _correlation(spark, d)
 

@@ -420,7 +420,16 @@ def _station_models(spark, d):
     return difficulty.station_features(boxes, ops), station_reference(clean_operations(A.ops(spark, d)))
 
 
-@query("m1_feature_frame", digits=4)
+@query("m1_feature_frame", S.CLEAN + f""",
+  m as (select campana, cliente, median(tiempo_por_pick) mediana_seg_pick from clean group by 1, 2),
+  ctx as (select cliente, count(*) n, median(mediana_seg_pick) mu, stddev_samp(mediana_seg_pick) sd from m group by 1),
+  ref as (select m.*, case when n >= 2 and sd <> 0 then (mediana_seg_pick - mu) / sd end z_score from m join ctx using (cliente)),
+  whole as (select median(z_score) middle, avg(mediana_seg_pick) prior from ref),
+  filled as (select ref.*, coalesce(z_score, middle) v, prior from ref, whole),
+  scale as (select avg(v) a, stddev_pop(v) s from filled),
+  enc as (select cliente, avg(mediana_seg_pick) mean, 1 / (1 + exp(-(count(*) - 20) / 10.0e0)) w from ref group by 1)
+  select campana, cliente, {r('mediana_seg_pick','mediana_seg_pick')}, {r('z_score','z_score')}, {r('(v - a) / s','num_0')}, {r('w * mean + (1 - w) * prior','cat_0')}
+  from filled join enc using (cliente), scale""")
 def _(spark, d):
     rows = settle(stats.complete_cases(_campaign_models(spark, d)[1], ["mediana_seg_pick"]))
     return adjust.feature_frame(rows, rows, ["z_score"], ["cliente"], "mediana_seg_pick")
