@@ -101,11 +101,11 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ filters
 
-@query("f1_exclude_campaigns", S.OPS + " select campana, count(*) n from ops where right(campana, 2) <> '03' group by 1")
+@query("f1_exclude_campaigns", S.OPS + " select box_id, campana, tipo_estacion, picks from ops where right(campana, 2) <> '03'")
 def _(spark, d):
     ops = A.ops(spark, d)
     excluded = ops.where(F.col("campana").endswith("03")).select("campana")
-    return picking.exclude_campaigns(ops, excluded).groupBy("campana").agg(F.count("*").alias("n"))
+    return picking.exclude_campaigns(ops, excluded).select("box_id", "campana", "tipo_estacion", "picks")
 
 
 @query("f2_iqr_filter", S.CLEAN + f" select box_id, campana, tipo_estacion, picks, {r('tiempo_total_seg','tiempo_total_seg')} from clean")
@@ -115,15 +115,15 @@ def _(spark, d):
     )
 
 
-@query("f3_complete_operations", S.PAIRED + " select campana, count(*) n, cast(sum(picks) as bigint) picks from paired group by 1")
+@query("f3_complete_operations", S.PAIRED + " select box_id, estacion, campana, cast(picks as bigint) picks from paired")
 def _(spark, d):
     paired = picking.pair_operations(A.events(spark, d), CUTOFF)
-    return paired.groupBy("campana").agg(F.count("*").alias("n"), F.sum("picks").alias("picks"))
+    return paired.select("box_id", "estacion", "campana", F.col("picks").cast("long").alias("picks"))
 
 
-@query("f4_scan_events", S.EVENTS + """ select campana, "type", count(*) n from evs where "type" in ('scan','pick_ok') group by 1, 2""")
+@query("f4_scan_events", S.EVENTS + """ select event_id, campana, "type" from evs where "type" in ('scan','pick_ok')""")
 def _(spark, d):
-    return picking.scan_events(A.events(spark, d)).groupBy("campana", "type").agg(F.count("*").alias("n"))
+    return picking.scan_events(A.events(spark, d)).select("event_id", "campana", "type")
 
 
 @query("f5_station_subset", NUMBERED + f" select estacion, count(*) n from num where {S.station('estacion')} in {S.LINES} group by 1")
@@ -131,9 +131,9 @@ def _(spark, d):
     return picking.station_subset(_numbered(spark, d), LINE_STATIONS).groupBy("estacion").agg(F.count("*").alias("n"))
 
 
-@query("f6_line_stations_only", S.OPS + f" select tipo_estacion, campana, count(*) n from ops where tipo_estacion in {S.LINES} group by 1, 2")
+@query("f6_line_stations_only", S.OPS + f" select box_id, campana, tipo_estacion, picks from ops where tipo_estacion in {S.LINES}")
 def _(spark, d):
-    return picking.line_stations_only(A.ops(spark, d)).groupBy("tipo_estacion", "campana").agg(F.count("*").alias("n"))
+    return picking.line_stations_only(A.ops(spark, d)).select("box_id", "campana", "tipo_estacion", "picks")
 
 
 @query("f7_bounded_metric", S.CLEAN + f" select box_id, campana, {r('tiempo_por_pick','tiempo_por_pick')} from clean where tiempo_por_pick between 0 and 150")
@@ -141,18 +141,18 @@ def _(spark, d):
     return stats.bounded_metric(clean(spark, d), "tiempo_por_pick", 150).select("box_id", "campana", "tiempo_por_pick")
 
 
-@query("f8_complete_cases", S.OPS + """ select tipo_estacion, count(*) n from ops
-  where nullif(picks, 0) is not null and nullif(cliente, 'BUILDING') is not null group by 1""")
+@query("f8_complete_cases", S.OPS + """ select box_id, campana, tipo_estacion, picks from ops
+  where nullif(picks, 0) is not null and nullif(cliente, 'BUILDING') is not null""")
 def _(spark, d):
     ops = A.ops(spark, d).withColumns({
         "picks": F.nullif(F.col("picks"), F.lit(0)), "cliente": F.nullif(F.col("cliente"), F.lit("BUILDING"))
     })
-    return stats.complete_cases(ops, ["picks", "cliente"]).groupBy("tipo_estacion").agg(F.count("*").alias("n"))
+    return stats.complete_cases(ops, ["picks", "cliente"]).select("box_id", "campana", "tipo_estacion", "picks")
 
 
-@query("f9_positive_picks", S.OPS + " select campana, count(*) n from ops where picks > 0 group by 1")
+@query("f9_positive_picks", S.OPS + " select box_id, campana, tipo_estacion, picks from ops where picks > 0")
 def _(spark, d):
-    return picking.positive_picks(A.ops(spark, d)).groupBy("campana").agg(F.count("*").alias("n"))
+    return picking.positive_picks(A.ops(spark, d)).select("box_id", "campana", "tipo_estacion", "picks")
 
 
 # ------------------------------------------------------------------ operations and campaigns
