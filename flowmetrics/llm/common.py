@@ -18,9 +18,10 @@ SLICE_CHARS = 2_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session options of these operators: UTC, adaptive plans, and small Arrow batches since texts can be long."""
+    """Session options of these operators: UTC, adaptive plans, and Arrow batches of bounded size since texts can be long."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark
 
 

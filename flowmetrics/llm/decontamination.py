@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowmetrics.llm.common import slices
+from flowmetrics.llm.common import free_name, slices
 
 LEAST = 4
 BLOCK_CHARS = 20_000_000
@@ -182,7 +182,7 @@ def search(texts: list[str], index: Index) -> Iterator[tuple[int, int, int, int,
 
 
 def matches(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, q: int = 8, rate: float = 0.1) -> DataFrame:
-    """``key, item_key, start, end, edits``: every region of a document that holds an item.
+    """``key, item_key, start, end, edits`` (a leading underscore per name clash): every region that holds an item.
 
     Items are sent to the executors in blocks of bounded size, chosen by a hash; each block is searched in all documents.
     """
@@ -192,7 +192,10 @@ def matches(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     blocks = max(1, -(-size // BLOCK_CHARS))
     chosen = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     types = chosen.schema["key"].dataType, asked.schema["key"].dataType
-    schema = T.StructType([T.StructField(key, types[0]), T.StructField(item_key, types[1]), *[T.StructField(n, T.LongType()) for n in ("start", "end", "edits")]])
+    names = [key]
+    for name in (item_key, "start", "end", "edits"):
+        names.append(free_name(names, name))
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*types, *[T.LongType()] * 3], strict=True)])
 
     kind = to_arrow_type(types[1])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmetrics.llm.common import slices
+from flowmetrics.llm.common import free_name, slices
 from flowmetrics.llm.encoding import encoder
 
 
@@ -78,17 +78,18 @@ def token_pieces(docs: DataFrame, key: str, text: str, path: str, capacity: int
 
 
 def pack(pieces: DataFrame, key: str, capacity: int = 1024, group_pieces: int = 2048, seed: int = 0) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with ``start`` and ``length``.
+    """Add ``sequence_id`` and ``offset`` to pieces with ``start`` and ``length`` (a leading underscore per name clash).
 
     Counts the pieces first, so pass a table, not a costly plan. About ``group_pieces`` pieces form a group.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    names = [free_name(pieces.columns, n) for n in ("sequence_id", "offset")]
+    schema = T.StructType([*pieces.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def place(of: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", key, "start"], ascending=[False, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(int(of[0]) << 32) + bins, offset=offsets)
+        return group.assign(**{names[0]: (int(of[0]) << 32) + bins, names[1]: offsets})
 
     number = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col("start"), F.lit(seed)), F.lit(groups))
     return pieces.groupBy(number).applyInPandas(place, schema)

@@ -168,6 +168,7 @@ def test_fingerprints(spark):
         like = lambda x, y: 1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1.0
         assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.near_edited, r.near_next) == pytest.approx((like(a, b), like(a, c)))
+    assert fingerprints.compare_with_edit_and_next(df.limit(0), "doc_id", "text").count() == 0
     shown = {r.doc_id: r.fingerprint for r in got}
     assert shown[43] == shown[44] and len({shown[k] for k in range(30)}) == len({text[k] for k in range(30)})
 
