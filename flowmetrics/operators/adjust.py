@@ -315,10 +315,10 @@ def cross_evaluate(
         results = dict(zip(models, pool.map(evaluate, models)))
     best = max(models, key=lambda m: (results[m][1]["r2"] is not None, results[m][1]["r2"] or 0.0))
     table = [
-        (m, results[m][1]["r2"], results[m][1]["mae"], "leave-one-out" if m == "Ridge" else f"{folds}-fold", m == best, [*num_cols, *cat_cols])
+        (m, results[m][1]["r2"], results[m][1]["mae"], "leave-one-out" if m == "Ridge" else f"{folds}-fold", m == best, ", ".join([*num_cols, *cat_cols]))
         for m in models
     ]
-    schema = "modelo string, r2 double, mae double, cv_scheme string, ganador boolean, features_usados array<string>"
+    schema = "modelo string, r2 double, mae double, cv_scheme string, ganador boolean, features_usados string"
     return results[best][0], df.sparkSession.createDataFrame(table, schema)
 
 

@@ -78,6 +78,7 @@ def test_cross_evaluate_covers_every_row_once(frame, pdf):
     assert sorted(r.campana for r in best.collect()) == sorted(pdf.campana)
     rows = {r.modelo: r for r in table.collect()}
     assert set(rows) == set(adjust.MODELS) and sum(r.ganador for r in rows.values()) == 1
+    assert rows["Ridge"].features_usados == "x0, x1, cliente"
     assert rows["Ridge"].cv_scheme == "leave-one-out" and rows["RandomForest"].cv_scheme == "2-fold"
     pred = np.array(refit(pdf, ["x0", "x1"], ["cliente"]))
     assert rows["Ridge"].r2 == pytest.approx(1 - ((pdf.y - pred) ** 2).sum() / ((pdf.y - pdf.y.mean()) ** 2).sum(), abs=0.0006)
