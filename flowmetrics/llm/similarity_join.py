@@ -12,7 +12,8 @@
 
 Result: one row per document with its class (the smallest key of a connected group) and its number of links, copies
 included. Null texts count as empty; empty texts are copies of each other. A null key can't name a class: the smallest
-other key does, or null. Rows that repeat a key and text count as copies. Only key and text are read.
+other key does, or null. Rows that repeat a key and text count as copies. Only key and text are read. Rows are told
+apart by a number of their own, settled with them; keys may be null or repeat.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmetrics.llm.common import parts_for, slices, small
+from flowmetrics.llm.common import free_name, slices, small
 from flowmetrics.llm.components import components
 from flowmetrics.session import settle
 
@@ -240,11 +241,17 @@ def _exact(value: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: flo
     return common >= threshold * (size[a] + size[b] - common) - 1e-9
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """``key, class_id, n_links`` of every document."""
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number of each row as ``row``, settled, so that every later read sees the same numbers."""
+    return settle(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
+def _classes(rows: DataFrame, key: str, text: str, row: str, threshold: float, words: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From settled rows with a number each: all rows ``key, digest, row, node``, the nodes ``node, rep, copies``, the
+    links ``node, links`` and the classes ``node, component`` of linked nodes."""
     if threshold < THRESHOLD:
         raise ValueError(f"the bands find pairs from {THRESHOLD} on")
-    chosen = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    chosen = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("digest"), F.col(f"`{row}`").alias("row"))
     kind = chosen.schema["key"].dataType
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,32 +266,30 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = THR
             node = [xxhash.xxh3_64_intdigest(value[i:j].tobytes()) - (1 << 63) for i, j in zip(begins, ends.tolist(), strict=True)]
             low = (sig & 0xFF).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())],
-                ["key", "node", "size", "bands", "sig"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(node, pa.int64()), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())],
+                ["key", "digest", "row", "node", "size", "bands", "sig"],
             )
 
-    schema = T.StructType([T.StructField("key", kind), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([T.StructField("key", kind), T.StructField("digest", T.LongType()), T.StructField("row", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     described = settle(chosen.mapInArrow(describe, schema))
-    texts = described.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    texts = described.groupBy("node").agg(F.min("key").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = settle(texts)
     linked = components(_candidate_links(texts.where("size > 0")))
-    sizes = linked.join(texts.select("node", "copies", "size", "sig", "rep"), "node")
+    sizes = linked.join(texts.select("node", "copies", "size", "sig", "row"), "node")
     sizes = settle(sizes)
     chunks = sizes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_SHINGLES)).alias("chunks"))
-    wanted = settle(sizes.join(chunks, "component").select("rep", "node", "component", "copies", "sig", "chunks"))
-    spelt = chosen.join(small(wanted, SMALL_ROWS), F.col("key").eqNullSafe(F.col("rep")))
+    wanted = settle(sizes.join(chunks, "component").select("row", "node", "component", "copies", "sig", "chunks"))
+    spelt = chosen.select("row", "text").join(small(wanted, SMALL_ROWS), "row")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in slices(batches, "text"):
             value, ends = shingles(found, words)
             begins = np.concatenate([[0], ends[:-1]]).tolist()
-            parts = [value[i:j] for i, j in zip(begins, ends.tolist(), strict=True)]
-            own = np.array([xxhash.xxh3_64_intdigest(p.tobytes()) - (1 << 63) for p in parts], np.int64) == batch.column(1).to_numpy()
-            data = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([p.tobytes() for p in parts], pa.binary())], ["node", "component", "copies", "sig", "chunks", "value"])
-            yield data.filter(pa.array(own))
+            parts = [value[i:j].tobytes() for i, j in zip(begins, ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(parts, pa.binary())], ["node", "component", "copies", "sig", "chunks", "value"])
 
     spelt = spelt.select("text", "node", "component", "copies", "sig", "chunks").mapInArrow(spell, "node long, component long, copies long, sig binary, chunks long, value binary")
-    spelt = settle(spelt.dropDuplicates(["node"]))
+    spelt = settle(spelt)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["tile", "component"]):
@@ -306,8 +311,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = THR
     counted = settle(_tiled(spelt, "component", "chunks").mapInArrow(count, "node long, links long, label long"))
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(counted.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return described.select("key", "digest", "row", "node"), texts.select("node", "rep", "copies"), links, classes
+
+
+def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """``key, class_id, n_links`` of every document."""
+    row = free_name([key, text], "row")
+    rows = numbered(docs.select(f"`{key}`", f"`{text}`"), row)
+    described, texts, links, classes = _classes(rows, key, text, row, threshold, words)
     named = classes.join(texts.select("node", "rep"), "node")
     names = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    verdict = texts.select("node", "rep", "copies").join(links, "node", "left").join(classes.join(names, "component").select("node", "class_id"), "node", "left")
+    verdict = texts.join(links, "node", "left").join(classes.join(names, "component").select("node", "class_id"), "node", "left")
     verdict = verdict.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return described.select(F.col("key").alias(key), "node").join(verdict, "node").drop("node")

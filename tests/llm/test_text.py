@@ -108,6 +108,27 @@ def test_near_duplicates(spark, monkeypatch, tile):
     assert similarity_join.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_each_linked_text_is_fetched_once(spark, monkeypatch):
+    fetched = spark.sparkContext.accumulator(0)
+    plain = similarity_join.slices
+
+    def counted(batches, text):
+        for batch, texts in plain(batches, text):
+            if "component" in batch.schema.names:
+                fetched.add(len(texts))
+            yield batch, texts
+
+    monkeypatch.setattr(similarity_join, "slices", counted)
+    rows = []
+    for i in range(40):
+        words = [f"t{i}w{j}" for j in range(50)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words[:-1], "x"])), (1, " ".join([*words[:-1], "y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similarity_join.near_duplicates(df, "doc_id", "text").collect()
+    assert len(got) == 120 and {(r.class_id, r.n_links) for r in got} == {(1, 2)}
+    assert fetched.value == 120
+
+
 def test_posterior_bound():
     least = similarity_join.least_matches()
     assert list(least) == list(range(16, 129, 16)) and all(0 <= m <= 0.8 * n for n, m in least.items()) and sorted(least.values()) == list(least.values())
