@@ -3,8 +3,9 @@
 ``run`` applies them to the documents of a folder; each stage also stands alone as ``(spark, docs, sf_dir)``. All but the
 last return the columns of their input. A stage's decision takes effect on the rows or texts it returns: documents of
 low quality go, repeated and near-equal lines leave their texts, one document of each near-duplicate class stays, and
-documents that hold a benchmark item go. Rows with a null key are kept like others; a document that loses all its lines
-stays as an empty text until the near-duplicate stage, which keeps one of them.
+documents that hold a benchmark item go. Decisions are made per row, so rows with a null or repeated key are kept or
+dropped by their own text like others; a document that loses all its lines stays as an empty text until the
+near-duplicate stage, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmetrics.llm import decontamination, lines, quality, similarity_join
-from flowmetrics.llm.common import prepare, small, table
+from flowmetrics.llm.common import free_name, prepare, small, table
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.session import settle
 
@@ -40,16 +41,22 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    classes = similarity_join.near_duplicates(docs, KEY, TEXT)
-    gone = settle(classes.where(~F.col(KEY).eqNullSafe(F.col("class_id"))).select(F.col(KEY).alias("gone")).distinct())
-    return docs.join(small(gone, SMALL_ROWS), F.col(KEY).eqNullSafe(F.col("gone")), "left_anti")
+    row = free_name(docs.columns, "row")
+    rows = similarity_join.numbered(docs, row)
+    kept = similarity_join.one_per_class(rows, KEY, TEXT, row)
+    gone = settle(rows.select(row).join(kept, row, "left_anti"))
+    return rows.join(small(gone, SMALL_ROWS), row, "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = decontamination.matches(docs, KEY, TEXT, table(spark, sf_dir, "benchmark"), "item_id", "text")
-    gone = settle(found.select(F.col(KEY).alias("gone")).distinct())
-    return docs.join(small(gone, SMALL_ROWS), F.col(KEY).eqNullSafe(F.col("gone")), "left_anti")
+    # Key and digest of the text: rows that share them hold the same items.
+    own = free_name(docs.columns, "own")
+    rows = docs.withColumn(own, F.struct(KEY, F.xxhash64(TEXT).alias("digest")))
+    found = decontamination.matches(rows, own, TEXT, table(spark, sf_dir, "benchmark"), "item_id", "text")
+    gone = settle(found.select(own).distinct())
+    same = F.col(f"{own}.{KEY}").eqNullSafe(F.col(f"gone.{KEY}")) & (F.col(f"{own}.digest") == F.col("gone.digest"))
+    return rows.join(small(gone.withColumnRenamed(own, "gone"), SMALL_ROWS), same, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

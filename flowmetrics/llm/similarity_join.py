@@ -324,3 +324,13 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = THR
     verdict = texts.join(links, "node", "left").join(classes.join(names, "component").select("node", "class_id"), "node", "left")
     verdict = verdict.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return described.select(F.col("key").alias(key), "node").join(verdict, "node").drop("node")
+
+
+def one_per_class(rows: DataFrame, key: str, text: str, row: str, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """``row`` of one row per class, chosen among ``numbered`` rows: the smallest key, null keys last, then the smallest
+    digest of the text; of rows that repeat both, any one."""
+    described, _, _, classes = _classes(rows, key, text, row, threshold, words)
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "digest", "row")
+    best = described.groupBy("node").agg(F.min(order).alias("best")).join(classes, "node", "left")
+    chosen = best.groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("best").alias("best"))
+    return chosen.select(F.col("best.row").alias(row))

@@ -34,3 +34,17 @@ def test_run(spark):
     for r in rows:
         total.setdefault(r.doc_id, [0, r.doc_tokens])[0] += r.length
     assert rows and all(a == b for a, b in total.values())
+
+
+def test_each_row_is_decided_by_its_own_text(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").head().text
+    text = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    rows = [(3, text), (None, text), (None, "a text of its own"), (5, text.replace("w9", "v")), (5, "another one of key five"), (None, "said twice"), (None, "said twice"), (6, "again here"), (6, "again here")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
+    got = sorted((str(r.doc_id), r.text) for r in P.one_of_each_class(spark, docs, SMALL).collect())
+    assert got == [("3", text), ("5", "another one of key five"), ("6", "again here"), ("None", "a text of its own"), ("None", "said twice")]
+    rows = [(None, f"before {item} after"), (None, "clean"), (7, item), (7, "clean as well"), (7, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
+    got = sorted((str(r.doc_id), r.text or "") for r in P.without_benchmark(spark, docs, SMALL).collect())
+    assert got == [("7", ""), ("7", "clean as well"), ("None", ""), ("None", "clean")]
