@@ -62,8 +62,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     pieces = token_pieces(docs, KEY, TEXT, public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = settle(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
-    return pack(pieces, KEY)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), KEY)
 
 
 STAGES = [

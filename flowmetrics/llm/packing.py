@@ -2,7 +2,8 @@
 
 Documents are cut into full pieces and one rest; the pieces of a group are placed, longest first, into the first
 sequence with room, found in a tournament tree of free capacities. Groups are formed by a hash of the piece, so a long
-document spreads over many groups, each group has a bounded number of pieces, and groups are packed independently.
+document spreads over many groups, and groups are packed independently. Where many rows share key and start (a null or
+repeated key), the hash takes a settled row number instead, so each group has a bounded number of pieces.
 
 Null and empty texts give one piece that holds the end id only; repeated rows are packed as often as they occur; an empty
 table gives an empty result; ``carry`` columns pass through, other columns are ignored.
@@ -13,14 +14,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmetrics.llm.common import free_name, slices
+from flowmetrics.llm.common import free_name, slices, small
 from flowmetrics.llm.encoding import encoder
+from flowmetrics.session import settle
+
+SMALL_ROWS = 500_000
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +84,23 @@ def token_pieces(docs: DataFrame, key: str, text: str, path: str, capacity: int
 def pack(pieces: DataFrame, key: str, capacity: int = 1024, group_pieces: int = 2048, seed: int = 0) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``start`` and ``length`` (a leading underscore per name clash).
 
-    Counts the pieces first, so pass a table, not a costly plan. About ``group_pieces`` pieces form a group.
+    Settles the pieces first. About ``group_pieces`` pieces form a group.
     """
+    own = pieces.columns
+    row, start, kept, many, group = (free_name(own, n) for n in ("row", "same_start", "same_key", "many", "group"))
+    schema = T.StructType([*pieces.schema.fields, *[T.StructField(free_name(own, n), T.LongType()) for n in ("sequence_id", "offset")]])
+    pieces = settle(pieces.withColumn(row, F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_pieces))
-    names = [free_name(pieces.columns, n) for n in ("sequence_id", "offset")]
-    schema = T.StructType([*pieces.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
-
-    def place(of: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", key, "start"], ascending=[False, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group.assign(**{names[0]: (int(of[0]) << 32) + bins, names[1]: offsets})
-
-    number = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col("start"), F.lit(seed)), F.lit(groups))
-    return pieces.groupBy(number).applyInPandas(place, schema)
+    same = pieces.groupBy(F.col(f"`{key}`").alias(kept), F.col("start").alias(start)).count().where(F.col("count") > max(1, group_pieces // 8))
+    same = small(settle(same.select(kept, start, F.lit(True).alias(many))), SMALL_ROWS)
+    pieces = pieces.join(same, F.col(f"`{key}`").eqNullSafe(F.col(kept)) & (F.col("start") == F.col(start)), "left")
+    number = F.when(F.col(many), F.xxhash64(row, F.lit(seed))).otherwise(F.xxhash64(F.col(f"`{key}`"), F.col("start"), F.lit(seed)))
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in own], F.pmod(number, F.lit(groups)).alias(group))
+
+    def place(of: tuple, table: pa.Table) -> pa.Table:
+        table = table.select(own)
+        table = table.take(pc.sort_indices(table.select(["length", key, "start"]), [("length", "descending"), (key, "ascending"), ("start", "ascending")]))
+        bins, offsets = first_fit_decreasing(table["length"].to_numpy(), capacity)
+        return pa.table([*table.columns, pa.array((of[0].as_py() << 32) + bins), pa.array(offsets)], schema.names)
+
+    return pieces.groupBy(group).applyInArrow(place, schema)

@@ -13,7 +13,6 @@ from flowmetrics.llm.common import shared_folder, table
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
 from flowmetrics.llm.token_files import read_token_files, write_token_files
-from flowmetrics.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,8 +53,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = settle(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
-    return pack(pieces, "doc_id")
+    return pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "doc_id")
 
 
 @query

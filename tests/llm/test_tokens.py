@@ -1,6 +1,7 @@
 """Packing, token files and token counts against the libraries on whole texts."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -76,6 +77,20 @@ def test_packing(spark, docs):
     assert pack(pieces.limit(0), "doc_id").count() == 0
 
 
+def test_packing_of_repeated_keys(spark):
+    big = (1 << 53) + 1
+    rows = [(None, 0, 5 + i % 50, i) for i in range(3000)] + [(7, 0, 9, i) for i in range(1000)] + [(big + 2 * i, 0, 11, i) for i in range(200)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, row long").repartition(3)
+    got = pack(pieces, "doc_id", capacity=64, group_pieces=256).collect()
+    assert sorted(map(str, ((r.doc_id, r.start, r.length, r.row) for r in got))) == sorted(map(str, rows))
+    assert max(Counter(r.sequence_id >> 32 for r in got).values()) < 512
+    by_sequence = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == by_sequence.get(r.sequence_id, 0)
+        by_sequence[r.sequence_id] = r.offset + r.length
+    assert max(by_sequence.values()) <= 64
+
+
 def test_token_files(spark, docs, tmp_path, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     write_token_files(docs, "doc_id", "text", path, f"file://{tmp_path}/tokens", end_id=2, shard_docs=5)
