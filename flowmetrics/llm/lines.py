@@ -10,22 +10,26 @@ or near to it, whether or not that one stays itself; the earliest of a group sta
 * Such a line emits every variant with one word left out, as hashed keys: with the place for replaced words, without for
   added or missing ones; a line itself is a variant without an omission. The earliest line of each key is an aggregate,
   so a key that thousands of lines share costs one row each and never pairs.
+* From ``LONG_WORDS`` words on, the keys come from running sums over a line's words, one row per word: a variant has a
+  fixed size and a line costs in proportion to its words. Lines of just that length emit both kinds of keys.
 * The edit distance of a line and its earliest neighbour is verified on their words.
 
-Lines below ``min_words`` words are compared for equality only; lines without words always stay. A line of more than
-``max_words`` words is handled as consecutive lines of that many words. A line break goes with its line. Null texts stay
-null, empty ones empty; rows with equal key and text get equal results; a null key sorts first.
+Lines below ``min_words`` words are compared for equality only; lines without words always stay. A line of any length is
+one unit, unless ``max_words`` is given: then a longer one is handled as consecutive lines of that many words.
+``ORACLE_SQL`` cuts at 512 words and differs where lines are longer. A line break goes with its line. Null texts stay null,
+empty ones empty; rows with equal key and text get equal results; a null key sorts first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmetrics.llm.common import free_name, parts_for, small
 from flowmetrics.session import settle
 
 SMALL_ROWS = 500_000
+LONG_WORDS = 512
 
 
 def _words(line: Column) -> Column:
@@ -38,9 +42,11 @@ def _held(value: Column, name: str) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
-def lines_of(text: Column, max_words: int) -> Column:
-    """All lines with their breaks, over-long ones in pieces; joined they give the text."""
+def lines_of(text: Column, max_words: int | None) -> Column:
+    """All lines with their breaks, in pieces where they exceed ``max_words``; joined they give the text."""
     whole = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
+    if max_words is None:
+        return whole
     pieces = F.lit(rf"\s*+(?:\S++\s*+){{1,{max_words}}}+")
     return F.flatten(F.transform(whole, lambda l: F.when(F.length(l) <= 2 * max_words, F.array(l)).when(F.size(F.split(l, r"\s+")) <= max_words, F.array(l)).otherwise(F.regexp_extract_all(l, pieces, F.lit(0)))))
 
@@ -49,7 +55,7 @@ def _id(key: str, text: str) -> Column:
     return F.struct(F.col(f"`{key}`").alias("key"), F.hash(f"`{text}`").alias("th"))
 
 
-def _numbered(docs: DataFrame, key: str, text: str, max_words: int, of_word) -> DataFrame:
+def _numbered(docs: DataFrame, key: str, text: str, max_words: int | None, of_word) -> DataFrame:
     """``id`` (key and text hash), ``place``, ``words`` (each through ``of_word``) of every line with words."""
     line_words = F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda l: F.transform(_words(l), of_word))
 
@@ -57,7 +63,8 @@ def _numbered(docs: DataFrame, key: str, text: str, max_words: int, of_word) ->
         last = F.floor((F.size(ws) - 1) / max_words).cast("int")
         return F.when(F.size(ws) <= max_words, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(ws, j * max_words + 1, F.lit(max_words))))
 
-    rows = docs.select(_id(key, text).alias("id"), F.posexplode(F.flatten(F.transform(line_words, cut))).alias("place", "words"))
+    units = line_words if max_words is None else F.flatten(F.transform(line_words, cut))
+    rows = docs.select(_id(key, text).alias("id"), F.posexplode(units).alias("place", "words"))
     return rows.where(F.size("words") > 0)
 
 
@@ -83,6 +90,29 @@ def _distance_is_one(a: Column, b: Column) -> Column:
     )
 
 
+def _open(n: Column) -> tuple[Column, Column]:
+    """First and last word to leave out: a line that shares its first half is edited behind it, one that shares its last
+    half before that."""
+    half = F.floor((n - 2) / 2).cast("int")
+    return F.when(F.col("last") == 1, F.lit(0)).otherwise(half), F.when(F.col("not_first") == 0, n - 1).otherwise(n - half - 1)
+
+
+def _long_variants(spelt: DataFrame) -> DataFrame:
+    """``at, n, v`` as of short lines, for lines from ``LONG_WORDS`` words on. A line's hash is the xor of its words'
+    hashes with their places; behind the word left out, places are one less."""
+    n, i = F.col("n"), F.col("i")
+    words = spelt.where(F.size("words") >= LONG_WORDS).select("at", "last", "not_first", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
+    words = words.select("at", "last", "not_first", "n", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", i - 1).alias("moved"))
+    line = Window.partitionBy("at")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = words.withColumns({"before": F.bit_xor("here").over(upto), "passed": F.bit_xor("moved").over(upto), "all": F.bit_xor("moved").over(line)})
+    rest = F.col("before").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("passed"))
+    low, high = _open(n)
+    out = F.when((i >= low) & (i <= high), F.struct(i, rest.alias("rest")))
+    whole = F.when(i == n - 1, F.struct(F.lit(-1).alias("i"), F.col("before").alias("rest")))
+    return words.select("at", "n", F.explode(F.filter(F.array(out, whole), lambda v: v.isNotNull())).alias("v"))
+
+
 def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """``h1, h2`` of the distinct lines to which an earlier line is near.
 
@@ -99,13 +129,12 @@ def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
     ordered = spelt.repartitionByRange(count, "first").sortWithinPartitions("first")
     spelt = settle(ordered.select("h1", "h2", "last", "not_first", F.monotonically_increasing_id().alias("at"), "words"))
 
-    n, half = F.size("hw"), F.floor((F.size("hw") - 2) / 2).cast("int")
-    # A line that shares its first half is edited behind it, one that shares its last half before that.
-    low = F.when(F.col("last") == 1, F.lit(0)).otherwise(half)
-    high = F.when(F.col("not_first") == 0, n - 1).otherwise(n - half - 1)
-    keys = spelt.select("at", "last", "not_first", _held(F.transform("words", lambda w: F.xxhash64(w)), "hw"))
+    n = F.size("hw")
+    low, high = _open(n)
+    keys = spelt.where(F.size("words") <= LONG_WORDS).select("at", "last", "not_first", _held(F.transform("words", lambda w: F.xxhash64(w)), "hw"))
     rests = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("hw", F.lit(1), i), F.slice("hw", i + 2, n)).alias("rest")))
     keys = keys.select("at", n.alias("n"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64("hw").alias("rest"))), rests)).alias("v"))
+    keys = keys.unionByName(_long_variants(spelt))
     left_out = F.array(F.struct(F.xxhash64(F.lit("s"), "n", "v.i", "v.rest").alias("k"), F.lit(2).alias("side")), F.struct(F.col("v.rest").alias("k"), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.col("v.rest").alias("k"), F.lit(0).alias("side")))
     keys = settle(keys.select("at", F.explode(F.when(F.col("v.i") < 0, whole).otherwise(left_out)).alias("w")).select("at", "w.k", F.col("w.side").cast("byte").alias("side")))
@@ -117,7 +146,7 @@ def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where(_distance_is_one(F.col("words"), F.col("other"))).select("h1", "h2")
 
 
-def dropped_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_words: int = 512) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_words: int | None = None) -> DataFrame:
     """``id, gone``: for every document that loses lines their places, ascending."""
     hashed = _numbered(docs, key, text, max_words, lambda w: F.xxhash64(w))
     hashed = settle(hashed.select("id", "place", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), _halves(F.col("words"), min_words).alias("halves")))
@@ -129,7 +158,7 @@ def dropped_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_
     return gone.select("id", "place").distinct().groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_words: int = 512) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_words: int | None = None) -> DataFrame:
     """``docs`` with the kept lines as text, and two more columns: ``lines`` (all) and ``gone`` (places of removed ones)."""
     gone = dropped_lines(docs, key, text, min_words, max_words)
     own, lines, left, parts = (free_name(docs.columns, n) for n in ("id", "lines", "gone", "parts"))

@@ -68,6 +68,34 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_lines_are_compared_whole(spark, monkeypatch):
+    prepare(spark)
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(500)}" for _ in range(3000)]
+    other = [f"v{i}" for i in range(1700)]
+    some = [long, [*long[:100], "x", *long[100:]], [*long[:2500], "y", *long[2501:]], long[1:], other, [*other[:900], "z", "z", *other[900:]], [*other[:512], *long[512:]], other[:512], other[:513], other[:511]]
+    df = spark.createDataFrame([(i, " ".join(w) + "\nend of it " + str(i)) for i, w in enumerate(some)], "doc_id long, text string")
+    got = {r.doc_id: r.gone for r in lines.dedup_lines(df, "doc_id", "text").collect()}
+    assert got == {i: [0] if i in (1, 2, 3, 8, 9) else [] for i in range(len(some))}
+    monkeypatch.setattr(lines, "LONG_WORDS", 8)
+    base = [[rng.choice("abcdefghij") for _ in range(n)] for n in (5, 6, 7, 7, 8, 8, 9, 9, 10, 14)]
+    rows = []
+    for i in range(120):
+        line = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randrange(2)] = [rng.choice("abcdefghij")] * rng.randrange(2)
+        rows.append((i, " ".join(line)))
+    want, seen = set(), []
+    for i, t in rows:
+        own = t.split()
+        if any(own == w or (min(len(own), len(w)) >= 5 and edits(own, w) <= 1) for w in seen):
+            want.add(i)
+        seen.append(own)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in lines.dedup_lines(df, "doc_id", "text").collect() if r.gone} == want
+
+
 def test_no_python_in_the_native_plans(spark):
     df = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e g")], "doc_id long, text string")
     for plan in (lines.dedup_lines(df, "doc_id", "text"), fingerprints.compare_with_edit_and_next(df, "doc_id", "text")):
