@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmetrics.llm import decontamination, fingerprints, language, lines, pii, quality, similarity_join
+from flowmetrics.llm import collision_search, decontamination, fingerprints, language, lines, pii, prefix_trie, quality, similarity_join, whitening
 from flowmetrics.llm.common import shared_folder, table
 from flowmetrics.llm.packing import pack, token_pieces
 from flowmetrics.llm.token_counts import count_tokens
@@ -94,3 +94,26 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edit_and_next(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_nodes(prefix_trie.with_shared_heads(sequences)).withColumnRenamed("saved", "saved_tokens")
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE_SQL
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return whitening.whiten(rows, whitening.fit(rows), "vec_id")
+
+
+@query
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_collision_search"] = collision_search.ORACLE_SQL
