@@ -216,10 +216,10 @@ ORACLE_SQL = """
 with valid as (
     select vec_id, embedding from embeddings
     where vec_id is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
-      and len(list_filter(embedding, c -> not isfinite(c))) = 0 and len(list_filter(embedding, c -> c <> 0)) > 0
+      and len(list_filter(embedding, lambda c: not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0
 ), pairs as (
     select q.vec_id as query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(v.embedding) + 1),
-        i -> (v.embedding[i]::double - q.embedding[i]::double) * (v.embedding[i]::double - q.embedding[i]::double)), (a, b) -> a + b)) as score
+        lambda i: (v.embedding[i]::double - q.embedding[i]::double) * (v.embedding[i]::double - q.embedding[i]::double)), lambda a, b: a + b)) as score
     from valid q, valid v where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id
 )
 select query_id, row_number() over (partition by query_id order by score, vec_id)::integer as rank, vec_id, score

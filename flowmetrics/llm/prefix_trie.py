@@ -264,8 +264,8 @@ with turns as (
 ), own as (
     select conv_id, list(said order by place) as ids, list(weight order by place) as weights from turns group by 1
 ), held as (
-    select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), c -> ord(c)::bigint)), (crc, byte) ->
-        list_reduce(list_prepend(xor(crc, byte), range(8)), (v, i) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 as h
+    select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)), lambda crc, byte:
+        list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 as h
     from own
 ), rebuilt as (
     select c.conv_id, list_concat(coalesce(list_slice(b.ids, 1, c.h), []), list_slice(c.ids, c.h + 1, len(c.ids))) as ids,
