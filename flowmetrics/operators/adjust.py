@@ -18,11 +18,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmetrics.operators.boosting import cross_boosted
 from flowmetrics.operators.order_stats import quantiles
 from flowmetrics.operators.picking import line_stations_only
 from flowmetrics.operators.stats import complete_cases, rank_quartile, residual_zscore
@@ -232,16 +233,6 @@ def ridge_leave_one_out(
 
 # ---------------------------------------------------------------- trees, k folds
 
-def _estimator(name: str, rounds: int):
-    if name == "RandomForest":
-        return RandomForestRegressor(
-            numTrees=rounds, maxDepth=3, minInstancesPerNode=5, seed=42, predictionCol=PREDICTION
-        )
-    return GBTRegressor(
-        maxIter=rounds, maxDepth=3, minInstancesPerNode=10, stepSize=0.1, seed=42, predictionCol=PREDICTION
-    )
-
-
 def tree_cross_predict(
     df: DataFrame,
     name: str,
@@ -254,8 +245,11 @@ def tree_cross_predict(
 ) -> DataFrame:
     """Add out-of-fold predictions of a tree model; all rows of a campaign share a fold.
 
-    ``df`` should be a settled table: it is read several times per fold. Fits run side by side.
+    ``df`` should be a settled table: it is read several times per fold. Boosting has trees of 8 leaves with at least 10 rows
+    each and fits all folds at once; forests have depth 3 and at least 5 rows, and their fits run side by side.
     """
+    if name == "GradientBoosting":
+        return cross_boosted(df, num_cols, cat_cols, target, folds, rounds, fold_key, encoding_weight, PREDICTION)
     inputs = [f"num_{i}" for i in range(len(num_cols))] + [f"cat_{i}" for i in range(len(cat_cols))]
     assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
     folded = df.withColumn("_fold", F.pmod(F.xxhash64(fold_key), F.lit(folds)))
@@ -269,7 +263,8 @@ def tree_cross_predict(
         # written once per fold: the fit reads it again for every round
         ready = settle(apply(train).select(*inputs, quoted(target).cast("double").alias("_label")))
         labelled = assembler.transform(ready).select("_features", "_label")
-        model = _estimator(name, rounds).setFeaturesCol("_features").setLabelCol("_label").fit(labelled)
+        forest = RandomForestRegressor(numTrees=rounds, maxDepth=3, minInstancesPerNode=5, seed=42, predictionCol=PREDICTION)
+        model = forest.setFeaturesCol("_features").setLabelCol("_label").fit(labelled)
         return model.transform(shape(test)).select(*[quoted(c) for c in df.columns], PREDICTION)
 
     with ThreadPoolExecutor(max_workers=folds) as pool:

@@ -1,9 +1,11 @@
 """Exact order statistics that stay distributed inside a group.
 
-One group may hold a large part of all rows, so no operator here sorts or collects a whole group in one
-task. Values are first counted, which collapses repeats before any shuffle of size; a group is then cut
-into value ranges by :func:`value_range`, whose number per group has a fixed upper bound. Positions inside
-a group are the rows of earlier ranges plus the position inside the own range.
+One group may hold a large part of all rows, so no operator here sorts or collects a whole group in one task. Values are
+counted per group first, which collapses repeats before any shuffle of size. Positions are then found by radix selection
+on :func:`ordered_bits`, the order-preserving 64-bit image of a double: values are counted by the top 16 bits of their
+image, only cells that hold a wanted position go on, and cells of more than ``SORTED_VALUES`` distinct values are cut by the
+next 16 bits. After four rounds a cell is a single value, so the result and the largest sort do not depend on how close the
+values of a group lie together.
 """
 
 from __future__ import annotations
@@ -16,20 +18,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmetrics.schemas import quoted
+from flowmetrics.session import settle
 
-RANGES_PER_E_FOLD = 128
+DIGIT_BITS, DIGITS = 16, 4
+#: Distinct values that one task may sort.
+SORTED_VALUES = 50_000
 HOT_GROUP_ROWS = 1_000_000
 LAST_SPAN = 2**62
 
 
-def value_range(value: str) -> Column:
-    """Order-preserving range number of a double: 128 ranges per factor e, under 200,000 in all.
+def ordered_bits(value: Column) -> Column:
+    """A long that orders as the double does: its IEEE 754 bits, negated for negative numbers; 0 for NULL.
 
-    Never NULL: a nullable join key would add a NOT NULL filter to one of two otherwise equal
-    sub-plans, and their shuffle could no longer be shared.
+    Built from exact operations, as SQL has no cast to bits: the exponent is corrected where the logarithm rounds across a
+    power of two, and the division by that power is exact.
     """
-    number = f"signum({value}) * floor(log1p(abs({value})) * {RANGES_PER_E_FOLD})"
-    return F.expr(f"coalesce(cast({number} as bigint), 0)")
+    size = F.abs(value)
+    exponent = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.coalesce(F.log2(size), F.lit(-1022.0))))
+    near = F.floor(exponent).cast("int")
+    first = size / F.pow(F.lit(2.0), near.cast("double"))
+    power = F.when((first >= 2) & (near < 1023), near + 1).when((first < 1) & (near > -1022), near - 1).otherwise(near)
+    fraction = size / F.pow(F.lit(2.0), power.cast("double"))
+    whole = F.lit(2.0**52)
+    bits = (power + 1022).cast("long") * F.lit(2**52) + F.when(size < float("inf"), fraction * whole).otherwise(2 * whole).cast("long")
+    return F.when(value < 0, -bits).when(value >= 0, bits).otherwise(F.lit(0).cast("long"))
 
 
 def present(value: Column) -> Column:
@@ -57,7 +69,7 @@ def _unpack(by: Sequence[str]) -> list[str]:
 
 
 def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Rows ``(_k, _b, _v, _n)``: weight of each value per group and metric; ``_k.m`` is the metric number.
+    """Rows ``(_k, _v, _n, _i)``, settled: weight and bits of each value per group and metric; ``_k.m`` is the metric number.
 
     Missing values become one row of weight 0, so a group without any value is still known.
     """
@@ -68,28 +80,44 @@ def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str], weight:
         pairs = ", ".join(f"named_struct('_m', {i}, '_v', {_number(c)})" for i, c in enumerate(cols))
         keys = [_sql_name(c) for c in by]
         long = df.selectExpr(*keys, f"{w} as _w", f"inline(array({pairs}))").selectExpr(_key(by, "_m"), "_v", "_w")
-    return (
-        long.withColumn("_b", value_range("_v"))
-        .groupBy("_k", "_b", "_v")
-        .agg(F.expr("sum(if(_v is null, 0, _w)) as _n"))
-    )
+    counted = long.groupBy("_k", "_v").agg(F.expr("sum(if(_v is null, 0, _w)) as _n"))
+    return settle(counted.withColumn("_i", ordered_bits(F.col("_v"))))
 
 
-def range_offsets(counts: DataFrame) -> DataFrame:
-    """Rows ``(_k, _b, _size, _off, _total)``: weight of each range, of the ranges before it, of the group."""
-    sizes = counts.groupBy("_k", "_b").agg(F.expr("sum(_n) as _size"))
-    earlier = "sum(_size) over (partition by _k order by _b rows between unbounded preceding and 1 preceding)"
-    return sizes.selectExpr(
-        "_k", "_b", "_size", f"coalesce({earlier}, 0) as _off", "sum(_size) over (partition by _k) as _total"
-    )
+def _digit(number: int) -> Column:
+    """The image without the bits behind digit ``number``; smaller images have smaller or equal ones."""
+    return F.shiftright("_i", (DIGITS - 1 - number) * DIGIT_BITS)
 
 
-def positions(counts: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Add ``_before`` (weight of smaller values in the group) and ``_total`` to value counts."""
-    inside = "sum(_n) over (partition by _k, _b order by _v rows between unbounded preceding and current row)"
-    return counts.join(offsets, ["_k", "_b"]).selectExpr(
-        "_k", "_b", "_v", "_n", "_off", "_size", "_total", f"_off + {inside} - _n as _before"
-    )
+def positions(counts: DataFrame, wanted: str = "true") -> DataFrame:
+    """Value counts in cells where ``wanted`` holds, with ``_before`` (weight of smaller values in the group) and ``_total``.
+
+    ``wanted`` sees a cell's ``_size`` (weight), ``_off`` (weight of the group's earlier cells) and ``_total``. A group has at
+    most 65,536 cells per cell of the round before, each round's cells are settled, and most groups need one round.
+    """
+    placed, parents = [], None
+    for number in range(DIGITS):
+        rows = counts.withColumn("_c", _digit(number))
+        sizes = [F.sum("_n").alias("_size"), F.count("*").alias("_values")]
+        if parents is None:
+            cells = rows.groupBy("_k", "_c").agg(*sizes)
+            group, start, total = "_k", "0", "sum(_size) over (partition by _k)"
+        else:
+            above = parents.selectExpr("_k", "_c as _p", "_off as _start", "_total")
+            cells = rows.withColumn("_p", _digit(number - 1)).join(above, ["_k", "_p"]).groupBy("_k", "_p", "_c", "_start", "_total").agg(*sizes)
+            group, start, total = "_k, _p", "_start", "_total"
+        earlier = f"sum(_size) over (partition by {group} order by _c rows between unbounded preceding and 1 preceding)"
+        cells = cells.selectExpr("_k", "_c", "_size", "_values", f"{start} + coalesce({earlier}, 0) as _off", f"{total} as _total")
+        cells = settle(cells.where(wanted))
+        most = cells.agg(F.max("_values")).first()[0] or 0
+        last = most <= SORTED_VALUES or number == DIGITS - 1
+        fit = (cells if last else cells.where(F.col("_values") <= SORTED_VALUES)).select("_k", "_c", "_off", "_total")
+        placed.append(rows.join(fit, ["_k", "_c"]).withColumn("_d", F.lit(number)))
+        if last:
+            break
+        parents = cells.where(F.col("_values") > SORTED_VALUES)
+    inside = "sum(_n) over (partition by _k, _d, _c order by _v rows between unbounded preceding and current row)"
+    return reduce(DataFrame.unionByName, placed).selectExpr("_k", "_v", "_n", f"_off + {inside} - _n as _before", "_total")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
@@ -102,11 +130,11 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str,
     probs = sorted({p for _, p in wanted.values()})
     counts = value_counts(df, by, cols)
 
-    # 0-based positions around p*(n-1); only the ranges that hold one of them go on
+    # 0-based positions around p*(n-1); only the cells that hold one of them go on
     at = {p: f"({p!r}D * (_total - 1))" for p in probs}
     ends = [f"{side}({at[p]})" for p in probs for side in ("floor", "ceil")]
     hits = " or ".join(["_total = 0", *[f"({e} >= _off and {e} < _off + _size)" for e in ends]])
-    placed = positions(counts, range_offsets(counts).where(hits))
+    placed = positions(counts, hits)
 
     picked = []
     for i, p in enumerate(probs):
@@ -127,7 +155,7 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str,
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
     """Smallest value whose share of the cumulated weight reaches one half."""
     counts = value_counts(df, by, [value], weight)
-    placed = positions(counts, range_offsets(counts).where("(_off + _size) * 2 >= _total and (_off * 2 < _total or _total = 0)"))
+    placed = positions(counts, "(_off + _size) * 2 >= _total and (_off * 2 < _total or _total = 0)")
     reached = placed.where("(_before + _n) * 2 >= _total")
     return reached.groupBy("_k").agg(F.min("_v").alias(out)).selectExpr(*_unpack(by), _sql_name(out))
 
@@ -137,7 +165,7 @@ def average_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str]) -> D
     ranked = df
     for value, out in cols.items():
         counts = value_counts(df, by, [value])
-        ranks = positions(counts, range_offsets(counts)).selectExpr(
+        ranks = positions(counts).selectExpr(
             "_k", "_v", f"_before + (_n + 1) / 2.0D as {_sql_name(out)}"
         )
         keyed = ranked.selectExpr("*", _key(by), f"{_number(value)} as _v")
@@ -152,7 +180,7 @@ def row_positions(df: DataFrame, value: str, ties: Sequence[str], out: str) -> D
     values evenly over 4096 slices; each slice is numbered on its own. Rows without a value get NULL.
     """
     counts = value_counts(df, [], [value])
-    starts = positions(counts, range_offsets(counts)).select(
+    starts = positions(counts).select(
         F.col("_v"), F.col("_before"), F.col("_total").alias("_rows")
     )
     digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(quoted(c).cast("string"), F.lit("\u0000")) for c in ties]))

@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowmetrics.operators.order_stats import average_rank, previous_row, quantiles, weighted_median
+from flowmetrics.operators import order_stats
+from flowmetrics.operators.order_stats import average_rank, ordered_bits, positions, previous_row, quantiles, value_counts, weighted_median
 from flowmetrics.operators.stats import contextual_zscore, describe_numeric, iqr_filter, rank_quartile
 
 
@@ -132,3 +133,40 @@ def test_describe_numeric_equals_pandas(spark, frame, skewed):
     flat = describe_numeric(spark.createDataFrame([(2.0,), (2.0,), (2.0,)], "x double")).first()
     assert flat["skew"] == 0.0 and flat["std"] == 0.0
     assert describe_numeric(spark.createDataFrame([("a",)], "x string")).count() == 0
+
+
+def test_ordered_bits_are_those_of_ieee(spark):
+    import struct
+
+    rng = np.random.default_rng(2)
+    some = [0.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), 1.0, 0.1, *(2.0**k for k in range(-1074, 1024, 7))]
+    some += [np.nextafter(2.0**k, way) for k in range(-1000, 1000, 13) for way in (0.0, np.inf)]
+    some += np.frombuffer(rng.bytes(8 * 4000), np.float64).tolist()
+    some = [float(x) for x in some if np.isfinite(x) or x == float("inf")]
+    some += [-x for x in some]
+    got = {r.v: r.b for r in spark.createDataFrame([(x,) for x in some], "v double").select("v", ordered_bits(F.col("v")).alias("b")).collect()}
+    for x, b in got.items():
+        bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert b == (-bits if x < 0 else bits), x
+
+
+def test_close_values_are_spread_over_tasks(spark):
+    """A million distinct values within 0.1 %, beside a wide group: exact, and no task sorts much more than others."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).select(F.lit("tight").alias("g"), (1000 + F.col("id") * F.lit(1e-6)).alias("v"))
+    df = df.unionByName(spark.range(1000).select(F.lit("wide").alias("g"), F.exp(F.col("id").cast("double") / 10).alias("v")))
+    got = {r.g: r for r in quantiles(df, ["g"], {"a": ("v", 0.25), "b": ("v", 0.999)}).collect()}
+    assert got["tight"].a == pytest.approx(1000 + 0.25 * (n - 1) * 1e-6, rel=1e-13) and got["tight"].b == pytest.approx(1000 + 0.999 * (n - 1) * 1e-6, rel=1e-13)
+    assert got["wide"].a == pytest.approx(np.quantile(np.exp(np.arange(1000) / 10), 0.25))
+    placed = positions(value_counts(df, ["g"], ["v"]))
+    sizes = [r["count"] for r in placed.where("_k.k0 = 'tight'").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    assert sum(sizes) == n and len(sizes) >= 4 and max(sizes) <= 2 * np.median(sizes)
+    assert placed.where("_k.k0 = 'tight'").agg(F.max(F.abs(F.col("_before") - F.round((F.col("_v") - 1000) * 1e6)))).first()[0] == 0
+
+
+def test_every_depth_of_the_selection_gives_the_same(frame, skewed, monkeypatch):
+    want = {r.g: (r.a, r.b) for r in quantiles(frame, ["g"], {"a": ("v", 0.3), "b": ("v", 0.95)}).collect()}
+    ranks = sorted(average_rank(frame.where("g is not null"), ["g"], {"v": "r"}).select("g", "v", "r").toPandas().fillna(-1).itertuples(index=False, name=None))
+    monkeypatch.setattr(order_stats, "SORTED_VALUES", 1)
+    assert {r.g: (r.a, r.b) for r in quantiles(frame, ["g"], {"a": ("v", 0.3), "b": ("v", 0.95)}).collect()} == want
+    assert sorted(average_rank(frame.where("g is not null"), ["g"], {"v": "r"}).select("g", "v", "r").toPandas().fillna(-1).itertuples(index=False, name=None)) == ranks
