@@ -11,7 +11,7 @@ k folds over a hash of the campaign.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -19,12 +19,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmetrics.operators.boosting import cross_boosted
-from flowmetrics.operators.order_stats import quantiles
+from flowmetrics.operators.features import ENCODING_LEAF, ENCODING_SMOOTHING, FeatureEncoder, encoding_weight
 from flowmetrics.operators.picking import line_stations_only
 from flowmetrics.operators.stats import complete_cases, rank_quartile, residual_zscore
 from flowmetrics.schemas import quoted
@@ -36,56 +36,13 @@ STATION_FEATURES = ("n_categorias_mediana", "n_filas_mediana")
 STATION_CATEGORIES = ("cliente", "tipo_estacion")
 MODELS = ("Ridge", "RandomForest", "GradientBoosting")
 PREDICTION = "y_pred"
-ENCODING_LEAF, ENCODING_SMOOTHING = 20.0, 10.0
-
-
-def encoding_weight(n: Column) -> Column:
-    return 1 / (1 + F.exp(-(n - ENCODING_LEAF) / ENCODING_SMOOTHING))
-
-
-def fitted_features(
-    train: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], target: str
-) -> Callable[[DataFrame], DataFrame] | None:
-    """Fit :func:`feature_frame` on ``train``; the result adds the model inputs to any rows. None without training rows."""
-    one = quantiles(train, [], {f"m{i}": (c, 0.5) for i, c in enumerate(num_cols)}).first()
-    if one is None:
-        return None
-    middle = [one[f"m{i}"] for i in range(len(num_cols))]
-    filled = [F.coalesce(quoted(c).cast("double"), F.lit(m)) for c, m in zip(num_cols, middle)]
-    fit = train.agg(
-        F.avg(target).alias("prior"),
-        *[F.avg(v).alias(f"a{i}") for i, v in enumerate(filled)],
-        *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled)],
-    ).first()
-    tables = []
-    for i, c in enumerate(cat_cols):
-        w = encoding_weight(F.count("*").cast("double"))
-        tables.append(train.groupBy(quoted(c).alias(f"_c{i}")).agg(
-            (w * F.avg(target) + (1 - w) * F.lit(fit["prior"])).alias(f"cat_{i}")
-        ))
-
-    def apply(rows: DataFrame) -> DataFrame:
-        out = rows.withColumns({
-            f"num_{i}": (v - F.lit(fit[f"a{i}"])) / F.lit(fit[f"s{i}"] or 1.0) for i, v in enumerate(filled)
-        })
-        for i, c in enumerate(cat_cols):
-            out = out.join(tables[i], quoted(c).eqNullSafe(F.col(f"_c{i}")), "left").drop(f"_c{i}")
-            out = out.withColumn(f"cat_{i}", F.coalesce(F.col(f"cat_{i}"), F.lit(fit["prior"])))
-        return out
-
-    return apply
 
 
 def feature_frame(
     train: DataFrame, rows: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], target: str
 ) -> DataFrame:
-    """Add model inputs to ``rows``, fitted on ``train``: ``num_i`` (median imputed, standardised by the
-    population deviation) and ``cat_i`` (target encoded); all NULL without training rows."""
-    apply = fitted_features(train, num_cols, cat_cols, target)
-    if apply is None:
-        inputs = [f"num_{i}" for i in range(len(num_cols))] + [f"cat_{i}" for i in range(len(cat_cols))]
-        return rows.withColumns({c: F.lit(None).cast("double") for c in inputs})
-    return apply(rows)
+    """Add model inputs to ``rows``, fitted on ``train`` by :class:`FeatureEncoder`."""
+    return FeatureEncoder(numCols=num_cols, catCols=cat_cols, target=target).fit(train).transform(rows)
 
 
 # ---------------------------------------------------------------- ridge, exact leave-one-out
@@ -256,16 +213,15 @@ def tree_cross_predict(
 
     def one(k: int) -> DataFrame:
         train, test = folded.where(F.col("_fold") != k), folded.where(F.col("_fold") == k)
-        apply = fitted_features(train, num_cols, cat_cols, target)
-        if apply is None:
+        encoder = FeatureEncoder(numCols=num_cols, catCols=cat_cols, target=target).fit(train)
+        if encoder.encodings is None:
             return test.select(*[quoted(c) for c in df.columns], F.lit(None).cast("double").alias(PREDICTION))
-        shape = lambda rows: assembler.transform(apply(rows))
         # written once per fold: the fit reads it again for every round
-        ready = settle(apply(train).select(*inputs, quoted(target).cast("double").alias("_label")))
+        ready = settle(encoder.transform(train).select(*inputs, quoted(target).cast("double").alias("_label")))
         labelled = assembler.transform(ready).select("_features", "_label")
         forest = RandomForestRegressor(numTrees=rounds, maxDepth=3, minInstancesPerNode=5, seed=42, predictionCol=PREDICTION)
         model = forest.setFeaturesCol("_features").setLabelCol("_label").fit(labelled)
-        return model.transform(shape(test)).select(*[quoted(c) for c in df.columns], PREDICTION)
+        return model.transform(assembler.transform(encoder.transform(test))).select(*[quoted(c) for c in df.columns], PREDICTION)
 
     with ThreadPoolExecutor(max_workers=folds) as pool:
         parts = list(pool.map(one, range(folds)))

@@ -7,6 +7,7 @@ every cell down the trees, adds up count and gradient per (fold, node, feature,
 split of every node. A tree grows best first: the leaf with the largest gain is split until there are ``leaves`` of them. A
 job counts the children of every leaf that may still be split, for all folds, so a tree needs about as many jobs as it is
 deep. Every ``SETTLED_ROUNDS`` trees the cells are written with their predictions, so no job evaluates more trees than that.
+Cells below a checked bound take the same steps in one task a fold, as a few thousand cells are not worth a job a level.
 
 What reaches the driver is bounded by folds x nodes x features x ``BINS`` sums, whatever the number of rows. Sums are
 compared up to a relative 1e-9, so that their order plays no part in a choice: the first feature and the smallest bin win ties.
@@ -14,6 +15,7 @@ compared up to a relative 1e-9, so that their order plays no part in a choice: t
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -143,34 +145,36 @@ def _bins(batch: pa.RecordBatch) -> np.ndarray:
     return column.flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
+def _histograms(model: Boosted, begin: int, tree: Tree, wanted: list[int], cells: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and gradients of one fold's ``cells`` (bins, n, s, now), each as (wanted node, feature, bin)."""
+    bins, n, s, now = cells
+    features = bins.shape[1]
+    gradient = s - n * (now + model.add_up(bins, begin))
+    place = np.full(len(tree.nodes), -1)
+    place[wanted] = np.arange(len(wanted))
+    at = place[tree.route(bins)]
+    inside = np.flatnonzero(at >= 0)
+    key = ((at[inside, None] * features + np.arange(features)) * BINS + bins[inside]).ravel()
+    size = (len(wanted), features, BINS)
+    total = lambda x: np.bincount(key, np.repeat(x[inside], features), len(wanted) * features * BINS).reshape(size)
+    return total(n), total(gradient)
+
+
+def _columns(batch: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    return _bins(batch)[rows], *(batch.column(c).to_numpy()[rows] for c in ("n", "s", "now"))
+
+
 def _sums(cells: DataFrame, models: dict[int, Boosted], begin: int, trees: dict[int, Tree], wanted: dict[int, list[int]], features: int) -> dict:
-    """Count and gradient per (fold, node, feature, bin) of the wanted nodes: ``{(fold, node): (counts, gradients)}``."""
+    """Counts and gradients of the wanted nodes of every fold from one job: ``{fold: histograms}``."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, gradients = [], [], []
         for batch in batches:
-            model, bins = batch.column(0).to_numpy(), _bins(batch)
-            n, s, now = (batch.column(c).to_numpy() for c in ("n", "s", "now"))
+            model = batch.column(0).to_numpy()
             for m in np.unique(model).tolist():
-                if not wanted.get(m):
-                    continue
-                mine = model == m
-                b = bins[mine]
-                gradient = s[mine] - n[mine] * (now[mine] + models[m].add_up(b, begin))
-                place = np.full(len(trees[m].nodes), -1)
-                place[wanted[m]] = np.arange(len(wanted[m]))
-                at = place[trees[m].route(b)]
-                inside = at >= 0
-                for f in range(features):
-                    key = (at[inside] * features + f) * BINS + b[inside, f]
-                    size = len(wanted[m]) * features * BINS
-                    c, g = np.bincount(key, n[mine][inside], size), np.bincount(key, gradient[inside], size)
+                if wanted.get(m):
+                    c, g = (x.ravel() for x in _histograms(models[m], begin, trees[m], wanted[m], _columns(batch, model == m)))
                     used = np.flatnonzero(c)
-                    keys.append(used + (m << 40))
-                    counts.append(c[used])
-                    gradients.append(g[used])
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, counts, gradients)], ["key", "n", "g"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used + (m << 40), c[used], g[used])], ["key", "n", "g"])
 
     rows = cells.mapInArrow(part, "key long, n double, g double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
     key, n, g = (rows.column(c).to_numpy() for c in ("key", "n", "g"))
@@ -180,38 +184,66 @@ def _sums(cells: DataFrame, models: dict[int, Boosted], begin: int, trees: dict[
         size = (len(nodes), features, BINS)
         counts, gradients = np.zeros(size).ravel(), np.zeros(size).ravel()
         counts[key[mine] & ((1 << 40) - 1)], gradients[key[mine] & ((1 << 40) - 1)] = n[mine], g[mine]
-        for node, c, d in zip(nodes, counts.reshape(size), gradients.reshape(size)):
-            out[m, node] = c, d
+        out[m] = counts.reshape(size), gradients.reshape(size)
     return out
 
 
-def boost(cells: DataFrame, features: int, rounds: int = 100, leaves: int = 8, least: int = 10, rate: float = 0.1) -> dict[int, Boosted]:
+def _add_tree(trees: dict[int, Tree], models: dict[int, Boosted], leaves: int, least: int, rate: float, sums) -> set[int]:
+    """Grow one tree for every fold in ``trees``, counting by ``sums(trees, wanted)``; the folds that got one."""
+    while wanted := {m: nodes for m, t in trees.items() if (nodes := grow(t, leaves))}:
+        for m, (counts, gradients) in sums(trees, wanted).items():
+            for i, c, g in zip(wanted[m], counts, gradients):
+                node = trees[m].nodes[i]
+                node.known, node.count, node.gradient = True, c[0].sum(), g[0].sum()
+                if found := best_split(c, g, least):
+                    node.gain, node.feature, node.bin = found
+    grown = {m for m, tree in trees.items() if tree.split}
+    for m in grown:
+        tree = trees[m]
+        models[m].trees.append((tree, {i: rate * tree.nodes[i].gradient / tree.nodes[i].count for i in tree.leaves()}))
+    return grown
+
+
+def _boost_in_tasks(cells: DataFrame, rounds: int, leaves: int, least: int, rate: float) -> dict[int, Boosted]:
+    """The trees of few cells: the same steps, one task a fold, predictions kept from round to round."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        m = batch.column(0)[0].as_py()
+        bins, n, s, now = _columns(batch, slice(None))
+        models, now = {m: Boosted(float(now[0]))}, now.copy()
+        for number in range(rounds):
+            sums = lambda trees, wanted: {m: _histograms(models[m], number, trees[m], wanted[m], (bins, n, s, now))}  # noqa: E731,B023
+            if not _add_tree({m: Tree()}, models, leaves, least, rate, sums):
+                break
+            now += models[m].add_up(bins, number)
+        return pa.table({"model": [m], "fitted": [pickle.dumps(models[m])]})
+
+    rows = cells.groupBy("model").applyInArrow(fit, "model long, fitted binary").collect()
+    return {r["model"]: pickle.loads(r["fitted"]) for r in sorted(rows, key=lambda r: r["model"])}
+
+
+def boost(
+    cells: DataFrame, features: int, rounds: int = 100, leaves: int = 8, least: int = 10, rate: float = 0.1, task_cells: int = CELLS_PER_TASK
+) -> dict[int, Boosted]:
     """Boosted trees of every fold in ``cells`` (``model, bins, n, s``: bins of the features, rows and target sum).
 
     Starts from the mean target; a leaf's value is its mean residual times ``rate``; both sides of a split have at least
-    ``least`` rows.
+    ``least`` rows. Up to ``task_cells`` cells in all, each fold is fitted in one task, without a job for every level.
     """
     base = {r["model"]: r["s"] / r["n"] for r in cells.groupBy("model").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > 0").collect()}
     models = {m: Boosted(mean) for m, mean in sorted(base.items())}
     if not models:
         return models
-    begin = 0
     first = F.element_at(F.create_map(*[F.lit(x) for m, b in base.items() for x in (m, b)]), F.col("model"))
-    current = settle(cells.where("n > 0").select("model", "bins", F.col("n").cast("double"), F.col("s").cast("double"), first.alias("now")).repartition(max(1, -(-cells.count() // CELLS_PER_TASK))))
-    growing = set(models)
+    filled = cells.where("n > 0").select("model", "bins", F.col("n").cast("double"), F.col("s").cast("double"), first.alias("now"))
+    count = filled.count()
+    if count <= task_cells:
+        return _boost_in_tasks(filled, rounds, leaves, least, rate)
+    begin, growing = 0, set(models)
+    current = settle(filled.repartition(-(-count // CELLS_PER_TASK)))
     for number in range(rounds):
-        trees = {m: Tree() for m in growing}
-        while wanted := {m: nodes for m, t in trees.items() if (nodes := grow(t, leaves))}:
-            for (m, i), (counts, gradients) in _sums(current, models, begin, trees, wanted, features).items():
-                node = trees[m].nodes[i]
-                node.known, node.count, node.gradient = True, counts[0].sum(), gradients[0].sum()
-                if found := best_split(counts, gradients, least):
-                    node.gain, node.feature, node.bin = found
-        for m, tree in trees.items():
-            if tree.split:
-                models[m].trees.append((tree, {i: rate * tree.nodes[i].gradient / tree.nodes[i].count for i in tree.leaves()}))
-            else:
-                growing.discard(m)
+        growing = _add_tree({m: Tree() for m in sorted(growing)}, models, leaves, least, rate, lambda trees, wanted: _sums(current, models, begin, trees, wanted, features))  # noqa: B023
         if not growing:
             break
         if (number + 1) % SETTLED_ROUNDS == 0 and number + 1 < rounds:
@@ -238,7 +270,7 @@ def predicted(cells: DataFrame, models: dict[int, Boosted], begin: int, out: str
 
 def cross_boosted(
     df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], target: str, folds: int, rounds: int, fold_key: str,
-    encoding, out: str, leaves: int = 8, least: int = 10, rate: float = 0.1,
+    encoding, out: str, leaves: int = 8, least: int = 10, rate: float = 0.1, task_cells: int = CELLS_PER_TASK,
 ) -> DataFrame:
     """``df`` (a settled table) with ``out``: every row's prediction by the trees fitted on the other folds' rows.
 
@@ -274,7 +306,7 @@ def cross_boosted(
     inside = (F.col("model") != F.col("_fold")) & F.col("_y").isNotNull()
     grouped = with_model.groupBy("model", "bins").agg(F.sum(inside.cast("double")).alias("n"), F.sum(F.when(inside, F.col("_y")).otherwise(0.0)).alias("s"))
     cells = settle(grouped)
-    fitted = boost(cells, len(names), rounds, leaves, least, rate)
+    fitted = boost(cells, len(names), rounds, leaves, least, rate, task_cells)
     seen = predicted(cells.select("model", "bins"), fitted, 0, out)
     own = with_model.where(F.col("model") == F.col("_fold"))
     return own.join(seen, ["model", "bins"], "left").select(*[quoted(c) for c in df.columns], out)

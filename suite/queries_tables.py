@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowmetrics.functions import time as X
 from flowmetrics.operators import adjust, difficulty, lifecycle, nested, picking, quality, stats
+from flowmetrics.operators.features import FeatureEncoder, FeatureEncoderModel
 from flowmetrics.plans.adjusted_scores import campaign_reference, station_reference
 from flowmetrics.plans.picking_times import clean_operations
 from flowmetrics.session import checkpoint_dir, settle
@@ -432,7 +433,9 @@ def _station_models(spark, d):
   from filled join enc using (cliente), scale""")
 def _(spark, d):
     rows = settle(stats.complete_cases(_campaign_models(spark, d)[1], ["mediana_seg_pick"]))
-    return adjust.feature_frame(rows, rows, ["z_score"], ["cliente"], "mediana_seg_pick")
+    folder = f"{checkpoint_dir(spark)}/encoder-{uuid.uuid4().hex}"
+    FeatureEncoder(numCols=["z_score"], catCols=["cliente"], target="mediana_seg_pick").fit(rows).save(folder)
+    return FeatureEncoderModel.load(folder).transform(rows)
 
 
 @query("m2_ridge_leave_one_out")

@@ -119,3 +119,30 @@ def test_adjusted_station_scores_and_coverage(frame):
 
 def test_checkpoint_folder_of_the_cluster_is_used(spark):
     assert spark.sparkContext.getCheckpointDir() is not None and checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_encoder_is_saved_loaded_and_applied_to_unseen_rows(spark, frame, pdf, tmp_path):
+    from flowmetrics.operators.features import FeatureEncoder, FeatureEncoderModel
+
+    encoder = FeatureEncoder(numCols=["x0"], catCols=["cliente", "tipo_estacion"], target="y")
+    encoder.save(f"file://{tmp_path}/encoder")
+    again = FeatureEncoder.load(f"file://{tmp_path}/encoder")
+    assert again.names() == (["x0"], ["cliente", "tipo_estacion"])
+    again.fit(frame).save(f"file://{tmp_path}/model")
+    other = spark.newSession()
+    model = FeatureEncoderModel.load(f"file://{tmp_path}/model")
+    got = model.transform(frame).toPandas().set_index("campana").loc[pdf.campana]
+    np.testing.assert_allclose(got.num_0, (pdf.x0 - pdf.x0.mean()) / pdf.x0.std(ddof=0))
+    np.testing.assert_allclose(got.cat_0, encode(pdf, pdf, "cliente"))
+    np.testing.assert_allclose(got.cat_1, encode(pdf, pdf, "tipo_estacion"))
+    new = other.createDataFrame([("n", None, "Azul", None, 1.0, 1.0), ("m", "nuevo", None, 100.0, 1.0, 1.0)], SCHEMA)
+    for r in model.transform(new).collect():
+        assert r.cat_0 == pytest.approx(pdf.y.mean()) and r.num_0 is not None
+
+
+def test_encoder_without_training_rows(frame, tmp_path):
+    from flowmetrics.operators.features import FeatureEncoder, FeatureEncoderModel
+
+    FeatureEncoder(numCols=["x0"], catCols=["cliente"], target="y").fit(frame.where("false")).save(f"file://{tmp_path}/none")
+    got = FeatureEncoderModel.load(f"file://{tmp_path}/none").transform(frame).first()
+    assert got.num_0 is None and got.cat_0 is None

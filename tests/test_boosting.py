@@ -64,12 +64,13 @@ def data(n, seed):
     return pd.DataFrame({"campana": [f"c{i}" for i in range(n)], "cliente": client, "x0": x0, "x1": x1, "y": y})
 
 
-def test_boost_equals_the_plain_booster(spark):
+@pytest.mark.parametrize("task_cells", [0, 10_000])
+def test_boost_equals_the_plain_booster(spark, task_cells):
     pdf = data(300, 1)
     bins = np.column_stack([plain_bins(pdf.x0.to_numpy()), plain_bins(pdf.x1.to_numpy())])
     rows = [(m, bins[i].tolist(), 1.0, float(pdf.y[i] * (1 + m))) for m in (0, 1) for i in range(300)]
     cells = spark.createDataFrame(rows, "model long, bins array<int>, n double, s double")
-    models = boosting.boost(cells, 2, rounds=13, leaves=8, least=10, rate=0.1)
+    models = boosting.boost(cells, 2, rounds=13, leaves=8, least=10, rate=0.1, task_cells=task_cells)
     for m in (0, 1):
         want = plain_boost(bins, pdf.y.to_numpy() * (1 + m), 13, 8, 10, 0.1)(bins)
         np.testing.assert_allclose(models[m].base + models[m].add_up(bins), want, rtol=1e-9)
@@ -111,7 +112,7 @@ def test_jobs_for_all_folds_are_at_most_rounds_times_levels(spark, monkeypatch):
     calls = []
     old = boosting._sums
     monkeypatch.setattr(boosting, "_sums", lambda *a: calls.append(len(a[4])) or old(*a))
-    boosting.cross_boosted(spark.createDataFrame(data(200, 6)), ["x0"], ["cliente"], "y", 4, 5, "campana", encoding_weight, "p").count()
+    boosting.cross_boosted(spark.createDataFrame(data(200, 6)), ["x0"], ["cliente"], "y", 4, 5, "campana", encoding_weight, "p", task_cells=0).count()
     assert len(calls) <= 5 * 8 and max(calls) == 4
 
 
