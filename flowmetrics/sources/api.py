@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
@@ -118,14 +119,51 @@ def within_end(pages: DataFrame, limit: int | None) -> DataFrame:
     return one(pages).join(F.broadcast(one(end)), "_one").where(inside).drop("_end", "_one")
 
 
-def records_of(pages: DataFrame, schema: T.StructType | str, limit: int | None = None) -> DataFrame:
-    """Typed records of :func:`fetch_pages`; if any page failed, no record at all, as for an empty source."""
+def plain_type(variant_type: str) -> T.DataType:
+    """The Spark type of a schema that ``schema_of_variant_agg`` found.
+
+    Numbers with a fraction anywhere are doubles, fields without any value text, and so are fields whose records disagree:
+    they keep the text of each value.
+    """
+    parts = re.split(r"(`(?:[^`]|``)*`)", variant_type)
+    swaps = ((r"OBJECT(?=<)", "STRUCT"), (r"DECIMAL\(\d+,\s*\d+\)|FLOAT(?!\s*:)", "DOUBLE"), (r"\b(VOID|VARIANT)\b(?!\s*:)", "STRING"))
+    for at in range(0, len(parts), 2):
+        for pattern, new in swaps:
+            parts[at] = re.sub(pattern, new, parts[at])
+    return T._parse_datatype_string("".join(parts))
+
+
+def typed(records: DataFrame, column: str) -> DataFrame:
+    """The records of a VARIANT column as a table whose columns and types come from the data: one aggregation over all
+    records, then a typed read. A field that some records lack is NULL there; records that are no objects become ``valor``."""
+    found = records.agg(F.schema_of_variant_agg(column).alias("s")).first()["s"]
+    kind = plain_type(found or "VOID")
+    if found in (None, "VOID"):
+        return records.sparkSession.createDataFrame([], T.StructType())
+    value = F.try_variant_get(column, "$", kind.simpleString() if not isinstance(kind, T.StructType) else _ddl(kind))
+    if isinstance(kind, T.StructType):
+        return records.select(value.alias("_r")).select("_r.*")
+    return records.select(value.alias("valor"))
+
+
+def _ddl(kind: T.DataType) -> str:
+    """As ``simpleString``, with quoted field names."""
+    if isinstance(kind, T.StructType):
+        return "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{_ddl(f.dataType)}" for f in kind.fields) + ">"
+    return f"array<{_ddl(kind.elementType)}>" if isinstance(kind, T.ArrayType) else kind.simpleString()
+
+
+def records_of(pages: DataFrame, schema: T.StructType | str | None = None, limit: int | None = None) -> DataFrame:
+    """Typed records of :func:`fetch_pages`; if any page failed, no record at all, as for an empty source.
+
+    Without ``schema`` columns and types come from the records, see :func:`typed`.
+    """
     pages = within_end(pages, limit)
     failed = pages.where(F.col("error").isNotNull()).select(F.lit(1).alias("_failed")).limit(1)
-    good = pages.where(F.col("registro").isNotNull()).select(
-        F.from_json("registro", schema).alias("_r"), F.lit(1).alias("_failed")
-    )
-    return good.join(F.broadcast(failed), "_failed", "left_anti").select("_r.*")
+    read = F.try_parse_json("registro") if schema is None else F.from_json("registro", schema)
+    good = pages.where(F.col("registro").isNotNull()).select(read.alias("_r"), F.lit(1).alias("_failed"))
+    kept = good.join(F.broadcast(failed), "_failed", "left_anti")
+    return typed(kept, "_r") if schema is None else kept.select("_r.*")
 
 
 def read_status(pages: DataFrame, name: str, limit: int | None = None, fetch_all: bool = False) -> DataFrame:
@@ -149,7 +187,7 @@ def page_number(path: Column) -> Column:
 def read_landed_pages(
     spark: SparkSession,
     path: str,
-    schema: T.StructType | str,
+    schema: T.StructType | str | None = None,
     records_key: str | None = None,
     first_only: bool = False,
     number: Callable[[Column], Column] = page_number,
@@ -157,10 +195,11 @@ def read_landed_pages(
     """Records of a folder of page files (one JSON document each): every page, whole, in any order of names.
 
     ``first_only`` mirrors a single request: only the pages with the smallest ``number`` of their path. ``schema`` is
-    that of one record.
+    that of one record; without it columns and types come from all records, see :func:`typed`.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
+    infer, schema = schema is None, schema or T.VariantType()
     array = T.ArrayType(schema)
     pages = spark.read.text(path, wholetext=True).select(number(F.input_file_name()).alias("_page"), "value")
     if first_only:
@@ -175,13 +214,14 @@ def read_landed_pages(
         many, one = F.from_json("value", array), F.from_json("value", schema)
     inner = F.get_json_object("value", f"$.{records_key}") if records_key else F.col("value")
     is_list = F.ltrim(inner).startswith("[")
-    return pages.select(F.inline(F.when(is_list, many).otherwise(F.array(one))))
+    records = pages.select(F.explode(F.when(is_list, many).otherwise(F.array(one))).alias("_r"))
+    return typed(records, "_r") if infer else records.select("_r.*")
 
 
 def read_api_records(
     spark: SparkSession,
     source: str | Fetcher,
-    schema: T.StructType | str,
+    schema: T.StructType | str | None = None,
     records_key: str | None = None,
     limit: int | None = None,
     fetch_all: bool = False,
@@ -189,7 +229,7 @@ def read_api_records(
 ) -> DataFrame:
     """Records from landed page files (a path: all of them) or from a fetcher; an error gives an empty table.
 
-    Fetched pages are written to the checkpoint folder first, so each page is asked for once.
+    Without ``schema`` the columns are those of the records, with types that hold every page's values. Fetched pages are written to the checkpoint folder first, so each page is asked for once.
     """
     if isinstance(source, str):
         return read_landed_pages(spark, source, schema, records_key)

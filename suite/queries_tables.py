@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowmetrics.functions import time as X
@@ -47,16 +48,36 @@ def by_source(spark, d):
 
 # ------------------------------------------------------------------ sources and sinks
 
-def label_pages(d: str, records_key: str):
-    """A fetcher over the given ``labels`` table: one page is a slice of its rows."""
-    path, held = f"{d}/labels.parquet", []
+PAGE = 100
+
+
+def landed_labels(spark, d: str) -> str:
+    """The ``labels`` table as a service would serve it: one JSON document of ``PAGE`` records a file, written by Spark."""
+    rows = A.table(spark, d, "labels").withColumn("block", F.floor(F.col("doc_id") / 10_000))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    starts = rows.groupBy("block").count().select(F.col("block").alias("of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "quality", "toxic"))
+    numbered = rows.withColumn("inside", inside).join(starts, F.col("block").eqNullSafe(F.col("of"))).withColumn("page", F.floor((F.col("start") + F.col("inside") - 1) / PAGE))
+    body = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("doc_id", "quality", "toxic"))).alias("data")))
+    folder = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    numbered.groupBy("page").agg(body.alias("value")).write.partitionBy("page").text(folder)
+    return folder
+
+
+def label_pages(folder: str):
+    """A fetcher that opens the file of one page, as a client would ask for its offset."""
 
     def fetch(offset, limit):
-        import pyarrow.parquet as pq
+        import json
+
+        from pyarrow import fs
 
-        if not held:  # once per task, not once per page
-            held.append(pq.read_table(path))
-        return {records_key: held[0].slice(offset, limit).to_pylist()}
+        files, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        for found in files.get_file_info(fs.FileSelector(f"{root}/page={offset // limit}", allow_not_found=True)):
+            if found.base_name.startswith("part-"):
+                with files.open_input_stream(found.path) as stream:
+                    return json.loads(stream.read())
+        return {"data": []}
 
     return fetch
 
@@ -72,16 +93,34 @@ def _(spark, d):
 
 @query("s1_read_api_records", "select doc_id, quality, toxic from labels")
 def _(spark, d):
-    total = A.table(spark, d, "labels").count()
-    return api.read_api_records(
-        spark, label_pages(d, "data"), "doc_id bigint, quality bigint, toxic bigint", "data", limit=100, fetch_all=True, total=total
-    ).select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    fetch = label_pages(landed_labels(spark, d))
+    return api.read_api_records(spark, fetch, "doc_id bigint, quality int, toxic int", "data", limit=PAGE, fetch_all=True)
 
 
 @query("s1_read_status", "select 'labels' fuente, count(*) n_registros, 'OK' estado from labels")
 def _(spark, d):
-    pages = settle(api.fetch_pages(spark, label_pages(d, "data"), "data", 150, True))
-    return api.read_status(pages, "labels", 150, True).drop("aviso")
+    pages = settle(api.fetch_pages(spark, label_pages(landed_labels(spark, d)), "data", PAGE, True))
+    return api.read_status(pages, "labels", PAGE, True).drop("aviso")
+
+
+@query("s1_records_without_schema", f"""select o_orderkey id, o_orderstatus estado, {r('o_totalprice', 'total')},
+  case when o_orderkey % 3 <> 0 then o_custkey end cliente, case when o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 then o_orderpriority end prioridad,
+  case o_orderkey % 4 when 0 then cast(o_custkey as varchar) when 1 then o_orderpriority when 2 then '["a",1]' end nota,
+  case when o_orderkey % 1000 = 7 then o_orderkey end raro from orders""")
+def _(spark, d):
+    """Fields that are missing in most records, nested, or of another kind from record to record; the schema is in the data only."""
+    key = F.col("o_orderkey")
+    detail = F.when(key % 3 != 0, F.struct(F.col("o_custkey").alias("cliente"), F.when(key % 5 != 0, F.col("o_orderpriority")).alias("prioridad")))
+    note = F.when(key % 4 == 0, F.col("o_custkey").cast("variant")).when(
+        key % 4 == 1, F.col("o_orderpriority").cast("variant")).when(key % 4 == 2, F.parse_json(F.lit('["a", 1]')))
+    record = F.to_json(F.struct(
+        key.alias("id"), F.col("o_orderstatus").alias("estado"), F.col("o_totalprice").alias("total"), detail.alias("detalle"),
+        note.alias("nota"), F.when(key % 1000 == 7, key).alias("raro"),
+    ))
+    pages = A.table(spark, d, "orders").select(F.floor(key / 4000).alias("page"), record.alias("record")).groupBy("page").agg(F.concat(F.lit('{"data":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("value"))
+    folder = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages.write.partitionBy("page").text(folder)
+    return api.read_api_records(spark, folder, None, "data").select("id", "estado", "total", "detalle.*", "nota", "raro")
 
 
 @query("s2_read_sources", S.STRATEGIES + """, k as (select s, y from (values ('AUTOMOBILE'),('BUILDING'),('FURNITURE'),('HOUSEHOLD'),('MACHINERY')) a(s), range(1995, 2002) b(y)

@@ -245,3 +245,40 @@ def test_landed_pages(spark, tmp_path):
     assert sorted(r.id for r in every.collect()) == list(range(3, 34))
     first = api.read_landed_pages(spark, str(tmp_path / "unpadded"), schema, "data", first_only=True)
     assert sorted(r.id for r in first.collect()) == [3, 4, 5]
+
+
+def test_schema_comes_from_all_records(spark, tmp_path):
+    from flowmetrics.sources import api
+
+    pages = [
+        '{"data": [{"id": 1, "a": 1, "b": "x", "c": {"d": [1, 2], "OBJECT": 1}}, {"id": 2, "a": 1.5, "solo": true}]}',
+        '{"data": [{"id": 3, "a": null, "b": 7, "c": {"d": [2.5], "VOID": "v"}, "vacio": null}, {"id": 4, "b": {"k": [1]}, "con espacio": "s"}]}',
+        '{"data": {"id": 5, "a": -2}}',
+    ]
+    for i, page in enumerate(pages):
+        (tmp_path / f"page_{i}.json").write_text(page)
+    got = api.read_api_records(spark, f"file://{tmp_path}", None, "data")
+    kinds = dict(got.dtypes)
+    assert kinds["id"] == "bigint" and kinds["a"] == "double" and kinds["b"] == "string" and kinds["vacio"] == "string" and kinds["solo"] == "boolean"
+    assert "d:array<double>" in kinds["c"] and "OBJECT:bigint" in kinds["c"] and "VOID:string" in kinds["c"] and kinds["con espacio"] == "string"
+    rows = {r.id: r for r in got.collect()}
+    assert [rows[i].a for i in range(1, 6)] == [1.0, 1.5, None, None, -2.0]
+    assert [rows[i].b for i in range(1, 6)] == ["x", None, "7", '{"k":[1]}', None] and rows[3].c.d == [2.5] and rows[2].c is None
+
+
+def test_fetched_records_without_a_schema(spark):
+    from flowmetrics.sources import api
+
+    def fetch(offset, limit):
+        return [{"id": i, "extra": "late"} if i == 11 else {"id": i} for i in range(offset, min(offset + limit, 12))]
+
+    got = api.read_api_records(spark, fetch, None, limit=5, fetch_all=True)
+    assert got.dtypes == [("extra", "string"), ("id", "bigint")] and sorted(r.id for r in got.where("extra is null").collect()) == list(range(11))
+    empty = api.read_api_records(spark, lambda offset, limit: [], None, limit=5, fetch_all=True)
+    assert empty.columns == [] and empty.count() == 0
+    assert sorted(r.valor for r in api.read_api_records(spark, lambda offset, limit: [3, 4], None).collect()) == [3, 4]
+
+    def broken(offset, limit):
+        raise ValueError("no")
+
+    assert api.read_api_records(spark, broken, None).count() == 0
