@@ -13,7 +13,7 @@ from flowmetrics.operators.features import FeatureEncoder, FeatureEncoderModel
 from flowmetrics.plans.adjusted_scores import campaign_reference, station_reference
 from flowmetrics.plans.picking_times import clean_operations
 from flowmetrics.session import checkpoint_dir, settle
-from flowmetrics.sources import api, tables
+from flowmetrics.sources import api, documents, tables
 from suite import adapters as A
 from suite import sql as S
 from suite.registry import query
@@ -166,6 +166,20 @@ def _(spark, d):
     return lifecycle.report_tables(rows, lifecycle.client_averages(rows))[1]
 
 
+@query("s4_report_document", S.CLIENTS + """, doc as (
+    select "Cliente" hoja, 0 parte, null::timestamp fecha, null::varchar nombre, 'cliente' bloque, total_estrategias total from cli
+    union all select "Cliente", 1, min_fecha_arte, "Campaña", 'campaña', total_estrategias from camp)
+  select hoja, row_number() over (partition by hoja order by parte, fecha desc nulls last, nombre) fila, bloque, nombre "Campaña", total from doc""")
+def _(spark, d):
+    """The report written as documents, committed, and read back: the order within each sheet."""
+    rows = campaigns(spark, d)
+    folder = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    documents.write_report_documents(*lifecycle.report_tables(rows, lifecycle.client_averages(rows)), folder)
+    back = documents.read_report_documents(spark, folder)
+    content = F.from_json("contenido", "`Campaña` string, `Total de estrategias` bigint")
+    return back.select("hoja", "fila", "bloque", content.alias("c")).select("hoja", "fila", "bloque", "c.Campaña", F.col("c.`Total de estrategias`").alias("total"))
+
+
 # ------------------------------------------------------------------ casting and parsing
 
 @query("c1_cast_ids", "select cast(conv_id as varchar) conv_id, turn, role from conversations")
