@@ -32,7 +32,8 @@ Z_EXCELLENT, Z_GOOD, Z_IMPROVABLE, Z_CRITICAL = -1.2816, -0.5244, 0.5244, 1.2816
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """``text`` without white space of any kind (no-break spaces and separators too) at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def station_type(station: Column) -> Column:

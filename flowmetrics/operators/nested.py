@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmetrics.functions.variants import ddl, plain_type
 from flowmetrics.schemas import quoted
+from flowmetrics.session import settle
 
 FOREIGN_KEYS = "tabla string, fk string, valor string"
 
@@ -28,29 +30,59 @@ def is_nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
 
-def maps_to_structs(df: DataFrame, most: int = 1000) -> DataFrame:
+def maps_to_structs(df: DataFrame, most: int | None = None) -> DataFrame:
     """Replace each map column with text keys by a struct with one field per key, in key order.
 
-    The keys are read from the data, one pass over all maps; more than ``most`` of them are an error.
+    The keys are read from the data, one pass over all maps. A wide table has as many columns as there are keys; ``most`` makes
+    more of them an error. :func:`foreign_key_map` keeps keys as rows and needs no such table.
     """
     maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType) and isinstance(f.dataType.keyType, T.StringType)]
     if not maps:
         return df
     entries = F.array(*[F.struct(F.lit(c).alias("c"), F.map_keys(quoted(c)).alias("k")) for c in maps])
-    found = df.select(F.inline(entries)).select("c", F.explode("k").alias("k")).distinct().limit(most + 1).collect()
-    if len(found) > most:
+    distinct = df.select(F.inline(entries)).select("c", F.explode("k").alias("k")).distinct()
+    found = (distinct if most is None else distinct.limit(most + 1)).collect()
+    if most is not None and len(found) > most:
         raise ValueError(f"more than {most} keys in the map columns {maps}")
     keys = {c: sorted(r["k"] for r in found if r["c"] == c) for c in maps}
     fields = {c: F.struct(*[F.try_element_at(quoted(c), F.lit(k)).alias(k) for k in keys[c]]) for c in maps if keys[c]}
     return df.withColumns(fields)
 
 
+def _is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+
+
+def _objects_to_struct(rows: DataFrame, column: str) -> DataFrame | None:
+    """``rows`` with the objects of a VARIANT column as a struct with the fields and types of all of them, and NULL for values
+    of any other kind; None if there is no object at all. One aggregation over the column."""
+    value = quoted(column)
+    found = rows.agg(F.schema_of_variant_agg(F.when(_is_object(value), value)).alias("s")).first()["s"]
+    if found in (None, "VOID"):
+        return None
+    kind = plain_type(found)
+    return rows.withColumn(column, F.when(_is_object(value), F.try_variant_get(value, "$", ddl(kind))))
+
+
+def _scalars(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a VARIANT column without objects as one type that holds all its values; lists and mixed kinds are text."""
+    found = rows.agg(F.schema_of_variant_agg(column).alias("s")).first()["s"]
+    kind = plain_type(found or "VOID")
+    return rows.withColumn(column, F.try_variant_get(quoted(column), "$", "string" if is_nested(kind) else ddl(kind)))
+
+
 def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
-    """Replace each struct or map column by its leaves ``column<sep>field``, at the end; lists become JSON text.
+    """Replace each struct, map or object column by its leaves ``column<sep>field``, at the end; lists become JSON text.
 
-    Lists inside a struct keep their type, as only the table's own list columns are turned to text.
+    Lists inside a struct keep their type, as only the table's own list columns are turned to text. A VARIANT column with
+    an object in any row counts as an object column: its other values give NULL leaves. Without objects it becomes a
+    column of one type, or text where kinds differ.
     """
     df = maps_to_structs(df)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.VariantType):
+            objects = _objects_to_struct(df, field.name)
+            df = _scalars(df, field.name) if objects is None else objects
     kept, added = [], []
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StructType):
@@ -65,12 +97,21 @@ def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
 def explode_column(df: DataFrame, col: str, sep: str = ".") -> DataFrame:
     """One row per list element with the parent's columns; an empty or missing list keeps one row.
 
-    Struct elements are expanded to ``col<sep>field`` columns at the end.
+    Struct elements are expanded to ``col<sep>field`` columns at the end. A VARIANT column may hold lists of any elements,
+    mixed with other values, which count as empty lists: if any element is an object, objects are expanded, to the fields of
+    all of them, and every other element gives a row of NULLs; else ``col`` has one type, or text where kinds differ.
     """
     kind = df.schema[col].dataType
+    others = [quoted(c) for c in df.columns if c != col]
+    if isinstance(kind, T.VariantType):
+        elements = F.explode_outer(F.try_variant_get(quoted(col), "$", "array<variant>")).alias(col)
+        rows = settle(df.select(*[elements if c == col else quoted(c) for c in df.columns]))
+        objects = _objects_to_struct(rows, col)
+        if objects is None:
+            return _scalars(rows, col)
+        return objects.select(*others, *[v.alias(n) for n, _, v in _leaves(objects.schema[col].dataType, quoted(col), col, sep)])
     if not isinstance(kind, T.ArrayType):
         return df.withColumn(col, F.lit(None).cast(kind))
-    others = [quoted(c) for c in df.columns if c != col]
     if not isinstance(kind.elementType, T.StructType):
         return df.select(*[quoted(c) if c != col else F.explode_outer(quoted(col)).alias(col) for c in df.columns])
     rows = df.select(*others, F.explode_outer(quoted(col)).alias("_element"))
@@ -78,24 +119,48 @@ def explode_column(df: DataFrame, col: str, sep: str = ".") -> DataFrame:
     return rows.select(*others, *fields)
 
 
+def _paths(kind: T.DataType, value: Column, path: Column) -> Column:
+    """All leaves of a struct or map as an array of (path, text); map keys are part of the path, so they are rows."""
+    if isinstance(kind, T.StructType):
+        parts = [_paths(f.dataType, value.getField(f.name), F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
+        return F.concat(*parts) if parts else F.array().cast("array<struct<fk:string,valor:string>>")
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        inner = F.transform(F.map_entries(value), lambda e: _paths(kind.valueType, e["value"], F.concat(path, F.lit("."), e["key"])))
+        return F.coalesce(F.flatten(inner), F.array().cast("array<struct<fk:string,valor:string>>"))
+    return F.array(F.struct(path.alias("fk"), value.cast("string").alias("valor")))
+
+
 def foreign_key_map(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct values of every struct leaf whose name contains ``id``: ``(tabla, fk, valor)``."""
+    """Distinct values of every leaf of a struct, map or object column whose path contains ``id``: ``(tabla, fk, valor)``."""
     parts = []
     for name, df in tables.items():
-        df, found = maps_to_structs(df), []
+        for field in df.schema.fields:
+            if isinstance(field.dataType, T.VariantType):
+                objects = _objects_to_struct(df, field.name)
+                df = df.drop(field.name) if objects is None else objects
+        found = []
         for field in df.schema.fields:
             if isinstance(field.dataType, T.StructType):
-                for path, _, value in _leaves(field.dataType, quoted(field.name), field.name, "."):
-                    if "id" in path[len(field.name) + 1:].lower():
-                        found.append(F.struct(F.lit(path).alias("fk"), value.cast("string").alias("valor")))
+                # fields are known: only those that can match are read
+                for path, kind, value in _leaves(field.dataType, quoted(field.name), field.name, "."):
+                    if isinstance(kind, T.MapType):
+                        found.append(_matching(_paths(kind, value, F.lit(path)), field.name))
+                    elif "id" in path[len(field.name) + 1:].lower():
+                        found.append(F.array(F.struct(F.lit(path).alias("fk"), value.cast("string").alias("valor"))))
+            elif isinstance(field.dataType, T.MapType) and isinstance(field.dataType.keyType, T.StringType):
+                found.append(_matching(_paths(field.dataType, quoted(field.name), F.lit(field.name)), field.name))
         if found:
             # one scan per table, all keys at once
-            parts.append(df.select(F.lit(name).alias("tabla"), F.inline(F.array(*found))))
+            parts.append(df.select(F.lit(name).alias("tabla"), F.inline(F.concat(*found))))
     if not parts:
         return SparkSession.active().createDataFrame([], FOREIGN_KEYS)
     return reduce(DataFrame.unionByName, parts).where(F.col("valor").isNotNull()).distinct()
 
 
+def _matching(paths: Column, column: str) -> Column:
+    return F.filter(paths, lambda p: F.contains(F.lower(F.substring(p["fk"], len(column) + 2, 1 << 30)), F.lit("id")))
+
+
 def foreign_key_samples(keys: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` values of each key in text order, and the number of distinct values.
 
@@ -108,8 +173,14 @@ def foreign_key_samples(keys: DataFrame, n: int = 3) -> DataFrame:
     return sizes.join(sample, ["tabla", "fk"])
 
 
-def candidate_joins(keys: DataFrame, tables: Mapping[str, DataFrame], id_col: str = "id") -> DataFrame:
-    """Share of the distinct values of each key that occur as ``id`` of another table."""
+def candidate_joins(keys: DataFrame, tables: Mapping[str, DataFrame], id_col: str = "id", sketch: int | None = None) -> DataFrame:
+    """Share of the distinct values of each key that occur as ``id`` of another table.
+
+    With ``sketch``, each key is first judged by that many of its values, those with the smallest hashes (a KMV sketch: an
+    even sample of the distinct values). Only keys and tables that share one of them are compared in full, so values of keys
+    that lead nowhere are not shuffled. Keys of at most ``sketch`` values lose no pair; of larger ones a pair of coverage c is
+    missed with a probability of (1 - c) ** sketch. Without ``sketch`` all pairs are found.
+    """
     ids = [
         df.select(F.lit(name).alias("tabla_id"), quoted(id_col).cast("string").alias("valor"))
         for name, df in tables.items()
@@ -120,13 +191,25 @@ def candidate_joins(keys: DataFrame, tables: Mapping[str, DataFrame], id_col: st
         return sizes.where(F.lit(False)).select(
             "tabla", "fk", F.lit("").alias("tabla_id"), F.col("valores").alias("encontrados"), F.lit(0.0).alias("cobertura")
         )
-    known = reduce(DataFrame.unionByName, ids).where(F.col("valor").isNotNull()).distinct()
-    hits = (
-        keys.join(known, "valor")
-        .where(F.col("tabla") != F.col("tabla_id"))
-        .groupBy("tabla", "fk", "tabla_id")
-        .agg(F.count("*").alias("encontrados"))
-    )
-    return hits.join(sizes, ["tabla", "fk"]).select(
+    known = reduce(DataFrame.unionByName, ids).where(F.col("valor").isNotNull())
+    if sketch is not None:
+        pairs = related(keys, known, sketch)
+        keys = keys.join(pairs.select("tabla", "fk").distinct(), ["tabla", "fk"], "left_semi")
+        known = known.join(pairs.select("tabla_id").distinct(), "tabla_id", "left_semi")
+    hits = keys.join(known.distinct(), "valor").where(F.col("tabla") != F.col("tabla_id"))
+    if sketch is not None:
+        hits = hits.join(pairs, ["tabla", "fk", "tabla_id"], "left_semi")
+    found = hits.groupBy("tabla", "fk", "tabla_id").agg(F.count("*").alias("encontrados"))
+    return found.join(sizes, ["tabla", "fk"]).select(
         "tabla", "fk", "tabla_id", "encontrados", (F.col("encontrados") / F.col("valores")).alias("cobertura")
     )
+
+
+def related(keys: DataFrame, known: DataFrame, sketch: int) -> DataFrame:
+    """Pairs ``(tabla, fk, tabla_id)`` where a value of the key's sketch is an id (``known``: ``tabla_id, valor``), settled.
+
+    The sketches are a table of keys x ``sketch`` rows at most; ids are read once and not shuffled where that is small.
+    """
+    order = Window.partitionBy("tabla", "fk").orderBy(F.xxhash64("valor"), "valor")
+    sample = settle(keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sketch).drop("_rank"))
+    return settle(known.join(sample, "valor").where(F.col("tabla") != F.col("tabla_id")).select("tabla", "fk", "tabla_id").distinct())

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from flowmetrics.functions.variants import ddl, plain_type
 from flowmetrics.session import settle
 
 # fetcher(offset, limit) -> parsed JSON of one page: a list, an object, or an object around ``records_key``
@@ -119,20 +119,6 @@ def within_end(pages: DataFrame, limit: int | None) -> DataFrame:
     return one(pages).join(F.broadcast(one(end)), "_one").where(inside).drop("_end", "_one")
 
 
-def plain_type(variant_type: str) -> T.DataType:
-    """The Spark type of a schema that ``schema_of_variant_agg`` found.
-
-    Numbers with a fraction anywhere are doubles, fields without any value text, and so are fields whose records disagree:
-    they keep the text of each value.
-    """
-    parts = re.split(r"(`(?:[^`]|``)*`)", variant_type)
-    swaps = ((r"OBJECT(?=<)", "STRUCT"), (r"DECIMAL\(\d+,\s*\d+\)|FLOAT(?!\s*:)", "DOUBLE"), (r"\b(VOID|VARIANT)\b(?!\s*:)", "STRING"))
-    for at in range(0, len(parts), 2):
-        for pattern, new in swaps:
-            parts[at] = re.sub(pattern, new, parts[at])
-    return T._parse_datatype_string("".join(parts))
-
-
 def typed(records: DataFrame, column: str) -> DataFrame:
     """The records of a VARIANT column as a table whose columns and types come from the data: one aggregation over all
     records, then a typed read. A field that some records lack is NULL there; records that are no objects become ``valor``."""
@@ -140,19 +126,12 @@ def typed(records: DataFrame, column: str) -> DataFrame:
     kind = plain_type(found or "VOID")
     if found in (None, "VOID"):
         return records.sparkSession.createDataFrame([], T.StructType())
-    value = F.try_variant_get(column, "$", kind.simpleString() if not isinstance(kind, T.StructType) else _ddl(kind))
+    value = F.try_variant_get(column, "$", ddl(kind))
     if isinstance(kind, T.StructType):
         return records.select(value.alias("_r")).select("_r.*")
     return records.select(value.alias("valor"))
 
 
-def _ddl(kind: T.DataType) -> str:
-    """As ``simpleString``, with quoted field names."""
-    if isinstance(kind, T.StructType):
-        return "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{_ddl(f.dataType)}" for f in kind.fields) + ">"
-    return f"array<{_ddl(kind.elementType)}>" if isinstance(kind, T.ArrayType) else kind.simpleString()
-
-
 def records_of(pages: DataFrame, schema: T.StructType | str | None = None, limit: int | None = None) -> DataFrame:
     """Typed records of :func:`fetch_pages`; if any page failed, no record at all, as for an empty source.
 

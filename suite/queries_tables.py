@@ -131,9 +131,16 @@ def _(spark, d):
     return tables.load_status(by_source(spark, d)).drop("aviso")
 
 
+def _classes(spark, d):
+    """The sheet written as a CSV file and read by its reader, padding and all."""
+    folder = f"{checkpoint_dir(spark)}/sheet-{uuid.uuid4().hex}"
+    A.classification(spark, d).write.csv(folder, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return tables.read_classification(spark, folder)
+
+
 @query("s3_read_classification", S.CLASSES + ' select upper(trim("Cliente")) _join_cliente, upper(trim("Campaña")) _join_campana, tradicional from clas')
 def _(spark, d):
-    return tables.normalise_classification(A.classification(spark, d))
+    return _classes(spark, d)
 
 
 REPORT = S.CLIENTS + ", rep as (select \"Cliente\", \"Campaña\", total_estrategias \"Total de estrategias\", " + ", ".join(
@@ -298,7 +305,7 @@ def _(spark, d):
   from camp left join clas on upper(trim(camp."Cliente")) = upper(trim(clas."Cliente")) and upper(trim(camp."Campaña")) = upper(trim(clas."Campaña"))""")
 def _(spark, d):
     rows = campaigns(spark, d).select(F.col("Cliente").alias("cliente"), F.col("Campaña").alias("campana"), "total_estrategias")
-    return lifecycle.classify_campaigns(rows, tables.normalise_classification(A.classification(spark, d)), threshold=40)
+    return lifecycle.classify_campaigns(rows, _classes(spark, d), threshold=40)
 
 
 # ------------------------------------------------------------------ nested data
@@ -322,6 +329,35 @@ def _(spark, d):
     return rows.select("conv_id", "turnos_turn", "turnos_role", F.length("turnos_text").cast("long").alias("largo"))
 
 
+@query("n2_mixed_lists", f"""with l as (select c_custkey id, c_custkey % 7 = 0 vacia, c_custkey % 11 = 0 texto, c_nationkey n, c_mktsegment s, {r('c_acctbal', 'saldo')} from customer),
+  e as (select id, 1 objeto, n, s, saldo, id % 5000 clave from l where not vacia and not texto
+    union all select id, 0, null, null, null, null from l where not vacia and not texto
+    union all select id, 0, null, null, null, null from l where not vacia and not texto
+    union all select id, 0, null, null, null, null from l where vacia or texto)
+  select id, n "lista_lugar_nacion", s "lista_lugar_segmento", saldo "lista_saldo", case when objeto = 1 then cast(id as varchar) end propia, objeto llenas from e""")
+def _(spark, d):
+    """Lists of an object, a number and a text, with one of 5,000 keys in each object; some rows hold no list."""
+    rows = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment", "c_acctbal")
+    place = F.to_json(F.struct(F.struct(F.col("c_nationkey").alias("nacion"), F.col("c_mktsegment").alias("segmento")).alias("lugar"), F.round("c_acctbal", 4).alias("saldo")))
+    element = F.concat(F.substring(place, F.lit(1), F.length(place) - 1), F.format_string(',"k%04d":"%d"}', F.col("id") % 5000, F.col("id")))
+    mixed = F.concat(F.lit("["), element, F.lit(',12,"suelto"]'))
+    text = F.when(F.col("id") % 7 == 0, "[]").when(F.col("id") % 11 == 0, '"no es lista"').otherwise(mixed)
+    wide = nested.explode_column(rows.select("id", F.parse_json(text).alias("lista")), "lista", sep="_")
+    keys = F.array(*[f"`{c}`" for c in wide.columns if c.startswith("lista_k")])
+    return wide.select("id", "lista_lugar_nacion", "lista_lugar_segmento", "lista_saldo", F.array_max(keys).alias("propia"), F.size(F.array_compact(keys)).alias("llenas"))
+
+
+@query("a25_map_keys", """select distinct 'eventos' tabla, 'atributos.k' || (event_id % 2000) || '_id' fk, cast(user_id as varchar) valor from events where user_id is not null
+  union select 'eventos', 'atributos.lugar_id', event_type from events where event_id % 3 = 0 and event_type is not null""")
+def _(spark, d):
+    """A map column with some 2,000 keys, which stay rows."""
+    own = F.struct(F.concat(F.lit("k"), F.col("event_id") % 2000, F.lit("_id")).alias("k"), F.col("user_id").cast("string").alias("v"))
+    place = F.struct(F.lit("lugar_id").alias("k"), F.col("event_type").alias("v"))
+    other = F.struct(F.lit("otro").alias("k"), F.lit("x").alias("v"))
+    rows = A.table(spark, d, "events").select(F.map_from_entries(F.when(F.col("event_id") % 3 == 0, F.array(own, place, other)).otherwise(F.array(own, other))).alias("atributos"))
+    return nested.foreign_key_map({"eventos": rows})
+
+
 FKS = S.NESTED + """, fk as (select distinct 'eventos' tabla, 'usuario.user_id' fk, cast(user_id as varchar) valor from nes where user_id is not null
   union all select distinct 'eventos', 'usuario.lugar.zona_id', cast(zona_id as varchar) from nes where zona_id is not null)"""
 
@@ -337,20 +373,33 @@ def _(spark, d):
     return nested.foreign_key_samples(nested.foreign_key_map({"eventos": A.nested(spark, d)}))
 
 
-@query("a26_candidate_joins", FKS + f""", ids as (select 'clientes' tabla_id, cast(c_custkey as varchar) valor from customer
+CANDIDATES = FKS + f""", ids as (select 'clientes' tabla_id, cast(c_custkey as varchar) valor from customer
     union all select 'naciones', cast(n_nationkey as varchar) from nation)
   select tabla, fk, tabla_id, encontrados, {r('encontrados / n','cobertura')} from (
     select tabla, fk, tabla_id, count(*) encontrados from fk join ids using (valor) group by 1, 2, 3)
-    join (select tabla, fk, count(*) n from fk group by 1, 2) using (tabla, fk)""")
-def _(spark, d):
-    frames = {
+    join (select tabla, fk, count(*) n from fk group by 1, 2) using (tabla, fk)"""
+
+
+def _candidates(spark, d):
+    return {
         "eventos": A.nested(spark, d),
         "clientes": A.table(spark, d, "customer").select(F.col("c_custkey").alias("id")),
         "naciones": A.table(spark, d, "nation").select(F.col("n_nationkey").alias("id")),
     }
+
+
+@query("a26_candidate_joins", CANDIDATES)
+def _(spark, d):
+    frames = _candidates(spark, d)
     return nested.candidate_joins(nested.foreign_key_map(frames), frames)
 
 
+@query("a26_candidate_joins_sketched", CANDIDATES)
+def _(spark, d):
+    frames = _candidates(spark, d)
+    return nested.candidate_joins(settle(nested.foreign_key_map(frames)), frames, sketch=4096)
+
+
 # ------------------------------------------------------------------ profiles
 
 DESCRIBED = ("l_quantity", "l_linenumber", "l_discount", "l_tax", "con_nulos", "l_extendedprice")

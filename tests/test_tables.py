@@ -282,3 +282,66 @@ def test_fetched_records_without_a_schema(spark):
         raise ValueError("no")
 
     assert api.read_api_records(spark, broken, None).count() == 0
+
+
+# ------------------------------------------------------------------ values of any kind
+
+def variants(spark, rows, names="id int, texto string"):
+    return spark.createDataFrame(rows, names).select("id", F.parse_json("texto").alias("v"))
+
+
+def test_lists_of_any_elements_are_exploded(spark):
+    rows = [(1, '[{"a": 1, "b": {"c": "x"}}, 5, null, [1], {"b": {"d": true}, "a": 2.5}]'), (2, "[]"), (3, '"no"'), (4, None), (5, '{"a": 9}')]
+    got = nested.explode_column(variants(spark, rows), "v")
+    assert got.columns == ["id", "v.a", "v.b.c", "v.b.d"]
+    found = sorted((tuple(r) for r in got.collect()), key=str)
+    assert found.count((1, None, None, None)) == 3 and (1, 1.0, "x", None) in found and (1, 2.5, None, True) in found
+    assert [f for f in found if f[0] > 1] == [(i, None, None, None) for i in (2, 3, 4, 5)]
+
+
+def test_lists_without_objects_keep_their_column(spark):
+    got = nested.explode_column(variants(spark, [(1, "[1, 2]"), (2, "[]"), (3, "7")]), "v")
+    assert got.dtypes == [("id", "int"), ("v", "bigint")] and sorted(str(r.v) for r in got.collect()) == ["1", "2", "None", "None"]
+    mixed = nested.explode_column(variants(spark, [(1, '[1, "a", [2], null]')]), "v")
+    assert mixed.dtypes[1] == ("v", "string") and sorted(str(r.v) for r in mixed.collect()) == ["1", "None", "[2]", "a"]
+    assert nested.explode_column(variants(spark, [(1, None)]), "v").collect()[0].v is None
+
+
+def test_objects_among_other_values_are_flattened(spark):
+    got = nested.flatten_structs(variants(spark, [(1, '{"a": {"b": 1}, "l": [1, 2]}'), (2, "[3]"), (3, "4"), (4, None)]))
+    assert got.columns == ["id", "v.a.b", "v.l"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, [1, 2]), (2, None, None), (3, None, None), (4, None, None)]
+    lists = nested.flatten_structs(variants(spark, [(1, "[1, 2]"), (2, "4")]))
+    assert sorted(r.v for r in lists.collect()) == ["4", "[1,2]"]
+
+
+def test_thousands_of_keys(spark):
+    rows = [(i, json.dumps([{f"k{i}": i, "id": {"x_id": i}}, i])) for i in range(5000)]
+    frame = variants(spark, rows).repartition(4)
+    got = nested.explode_column(frame, "v")
+    assert len(got.columns) == 5002
+    assert got.select("`v.k17`", "`v.id.x_id`").where("`v.k17` is not null").collect()[0] == (17, 17)
+    maps = spark.range(3000).select(F.create_map(F.concat(F.lit("k"), F.col("id"), F.lit("_id")), F.create_map(F.lit("n"), F.col("id"))).alias("m"))
+    keys = nested.foreign_key_map({"t": maps})
+    assert keys.count() == 3000 and ("t", "m.k5_id.n", "5") in {tuple(r) for r in keys.collect()}
+    assert {tuple(r) for r in nested.foreign_key_map({"t": variants(spark, [(1, '{"u": {"uid": 3}, "x": 1}'), (2, "5")])}).collect()} == {("t", "v.u.uid", "3")}
+
+
+def test_sketches_leave_out_unrelated_keys_only(spark):
+    keys = spark.range(20_000).selectExpr("'t' tabla", "'a.id' fk", "cast(id as string) valor")
+    keys = keys.unionByName(spark.range(5000).selectExpr("'t' tabla", "'b.id' fk", "concat('x', id) valor")).unionByName(spark.range(30).selectExpr("'t' tabla", "'c.id' fk", "cast(id * 700 as string) valor"))
+    frames = {"near": spark.range(0, 30_000, 2), "one": spark.range(20_300, 20_400), "far": spark.range(10**6, 10**6 + 50)}
+    want = {tuple(r) for r in nested.candidate_joins(keys, frames).collect()}
+    assert {tuple(r) for r in nested.candidate_joins(keys, frames, sketch=200).collect()} == want and len(want) == 3
+    known = frames["near"].selectExpr("'near' tabla_id", "cast(id as string) valor").unionByName(frames["far"].selectExpr("'far' tabla_id", "cast(id as string) valor"))
+    assert {tuple(r) for r in nested.related(keys, known, 200).collect()} == {("t", "a.id", "near"), ("t", "c.id", "near")}
+
+
+def test_keys_match_whatever_white_space_pads_them(spark):
+    from flowmetrics.functions.labels import station_type
+
+    campaigns = spark.createDataFrame([("Acme", "Uno", 9)], "cliente string, campana string, total_estrategias int")
+    sheet = spark.createDataFrame([("ACME\t", " uno \r\n", 0)], "Cliente string, `Campaña` string, tradicional int")
+    got = lifecycle.classify_campaigns(campaigns, tables.normalise_classification(sheet)).first()
+    assert got.clasificacion_campana_trad_ext == 0
+    assert spark.createDataFrame([(" calidad ",)], "e string").select(station_type(F.col("e"))).first()[0] == "Calidad"
