@@ -19,6 +19,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that always form a piece of their own after a letter.
 TAIL = ".,!?;:*#$%&|)\""
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Two white-space characters in a row, one of which a text is cut at; RE2 syntax.
+_ODD = f"[{SPACE}][ \n]|[ \n][{SPACE}]|\\x00"
 _INNER = re.compile(f"[{SPACE}]")
 
 
@@ -50,6 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.keeps_space = bool(self._ids(" "))
         self.between = "\n" if self.keeps_space else " \x01 "
         self.between_id = self._ids(self.between)
@@ -57,7 +61,7 @@ class Encoder:
         self._clear()
 
     def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _clear(self) -> None:
         self.rows = _Rows()
@@ -82,7 +86,11 @@ class Encoder:
             core, tail = key, ""
         else:
             tail = "\0" + key[len(core):] if self.keeps_space else key[len(core):]
-        return (core.lower(), tail) if not self.keeps_space and core.isascii() else (core, tail)
+        if not self.keeps_space and core.isascii():
+            low = core.lower()
+            if low == core or not any(t in low for t in self.special):
+                return low, tail
+        return core, tail
 
     def _append(self, ids: np.ndarray) -> int:
         begin = self.used
@@ -159,15 +167,22 @@ class Encoder:
         row = np.fromiter(map(self.rows.__getitem__, distinct.dictionary.to_pylist()), np.int64, len(distinct.dictionary))
         return row[distinct.indices.to_numpy()], np.diff(lists.offsets.to_numpy())
 
+    def _chunks(self, text: str) -> list[str]:
+        """The library takes special strings out first, so white space before one is cut as at the end of a text."""
+        if self.cut_special is None or not self.cut_special.search(text):
+            return _CHUNK.findall(text)
+        parts = self.cut_special.split(text)
+        return [chunk for i, part in enumerate(parts) for chunk in ([part] if i % 2 else _CHUNK.findall(part))]
+
     def _words_by_pattern(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [[self.rows["\0" + chunk] for chunk in _CHUNK.findall(text)] for text in texts]
+        lists = [[self.rows["\0" + chunk] for chunk in self._chunks(text)] for text in texts]
         return np.array([r for rows in lists for r in rows], np.int64), np.array([len(rows) for rows in lists], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        odd = pc.match_substring_regex(texts, "[ \n][ \n]|\\x00").to_numpy(zero_copy_only=False) if self.keeps_space else np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.keeps_space else np.zeros(len(texts), bool)
         if not odd.any():
             rows, words = self._words(texts)
         else:

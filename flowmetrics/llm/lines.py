@@ -16,7 +16,7 @@ or near to it, whether or not that one stays itself; the earliest of a group sta
 
 Lines below ``min_words`` words are compared for equality only; lines without words always stay. A line of any length is
 one unit, unless ``max_words`` is given: then a longer one is handled as consecutive lines of that many words.
-``ORACLE_SQL`` cuts at 512 words and differs where lines are longer. A line break goes with its line. Null texts stay null,
+A line break goes with its line. Null texts stay null,
 empty ones empty; rows with equal key and text get equal results; a null key sorts first.
 """
 
@@ -52,7 +52,8 @@ def lines_of(text: Column, max_words: int | None) -> Column:
 
 
 def _id(key: str, text: str) -> Column:
-    return F.struct(F.col(f"`{key}`").alias("key"), F.hash(f"`{text}`").alias("th"))
+    """Key, 64-bit hash and length of the text: rows that agree in them count as equal."""
+    return F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("th"), F.length(f"`{text}`").alias("size"))
 
 
 def _numbered(docs: DataFrame, key: str, text: str, max_words: int | None, of_word) -> DataFrame:
@@ -176,23 +177,19 @@ with lines as (
     select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no
     from documents
 ), worded as (
-    select doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as all_words,
+    select doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as words,
            line, count(*) over (partition by doc_id) as n
     from lines
-), pieces as (
-    select doc_id, line_no, piece, list_slice(all_words, 512 * piece + 1, 512 * (piece + 1)) as words
-    from (select *, unnest(range(0, greatest(1, (len(all_words) + 511) // 512))) as piece from worded
-          where not (line = '' and line_no = n))
 ), numbered as (
-    select *, row_number() over (partition by doc_id order by line_no, piece) - 1 as place from pieces
+    select *, row_number() over (partition by doc_id order by line_no) - 1 as place from worded where not (line = '' and line_no = n)
 ), ranked as (
     select *, row_number() over (order by doc_id, place) as pos from numbered where len(words) > 0
 ), classes as (
     select array_to_string(words, ' ') as spelt, any_value(words) as words, min(pos) as first from ranked group by 1
 ), variants as (
-    select spelt, first, -1 as i, len(words) as n, spelt as rest from classes where len(words) >= 5
+    select spelt, first, -1 as i, len(words) as n, hash(words) as rest from classes where len(words) >= 5
     union all
-    select spelt, first, i, len(words), array_to_string(list_concat(list_slice(words, 1, i), list_slice(words, i + 2, len(words))), ' ')
+    select spelt, first, i, len(words), hash(list_concat(list_slice(words, 1, i), list_slice(words, i + 2, len(words))))
     from (select *, unnest(range(0, len(words))) as i from classes where len(words) >= 5)
 ), near as (
     select a.spelt from variants a join variants b on a.rest = b.rest and b.first < a.first

@@ -119,7 +119,8 @@ def fit(rows: DataFrame, components: int = 8) -> Whitening | None:
             factors.append(_shifted(gram, n))
         elif np.abs(gram - np.eye(d)).max() < 1e-10 * d or model.passes == MOST_PASSES:
             values, vectors = np.linalg.eigh(gram)
-            last = np.sqrt(np.maximum(values, 0))[:, None] * vectors.T
+            # Directions with variance have come to about 1 by now, the others hold rounding errors.
+            last = np.sqrt(np.where(values > 1e-6 * values[-1], values, 0))[:, None] * vectors.T
             break
         else:
             try:
@@ -130,8 +131,7 @@ def fit(rows: DataFrame, components: int = 8) -> Whitening | None:
     for r in reversed(factors):
         product = product @ r
     _, singular, right = np.linalg.svd(product)
-    values = singular**2 / n
-    values[values <= model.trace * d * 16 * np.finfo(float).eps] = 0
+    values = np.where(singular > singular[0] * d * 16 * np.finfo(float).eps, singular**2 / n, 0)
     model.eigenvalues, model.components = values[:components], right[:components].T
     onto = model.projection()[:, model.eigenvalues > 0]
     k = onto.shape[1]

@@ -229,3 +229,16 @@ def test_sketch_too_small_fails_and_then_decodes(spark):
     assert not all(r.whole for r in tight)
     loose = fingerprints.differing(df, ["i"], "a", "b", growth=4, steps=9).collect()
     assert all(r.whole and r.recovered == 65 and r.held == 85 for r in loose)
+
+
+def test_rows_of_one_key_whose_texts_share_a_short_hash_are_told_apart(spark):
+    """Two texts with equal 32-bit hashes under a null key: what goes from one, as a copy of another row's line, stays in the other."""
+    from pyspark.sql import functions as F
+
+    shared = "and a shared line of some words here"
+    opening = F.concat_ws(" ", *[F.substring(F.sha2(F.col("id").cast("string"), 256), 1 + 8 * i, 8) for i in range(7)])
+    texts = spark.range(300_000).select(F.concat(opening, F.lit(f"\n{shared}")).alias("text"))
+    one, two = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").head().texts[:2]
+    rows = [(1, one.split("\n")[0]), (None, one), (None, two)]
+    got = [line for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect() for line in r.text.split("\n") if line]
+    assert sorted(got) == sorted([one.split("\n")[0], two.split("\n")[0], shared])

@@ -20,6 +20,7 @@ from flowmetrics.llm.token_files import read_token_files, write_token_files
 ODD = [
     None, "", " ", "\n", "  a  b\n\n c \x1c d", "don't. they'll! 's", "<|endoftext|> x<|startoftext|>.y", "É́. é. ① ½x. ǅ.a", "a b　 c", "ſ. K. İ. Σ. ΑΣ. ",
     "日本語。テキスト, x", "foo...bar.., \t\n", "9. 12.5%", "x\x85y\r\nz  \r\n", "a \tb\t c\n\td", "a\x00b \x00c", "x \x01 y", " ▁a▁ b", "<s> a</s>", "The THE the. THE!", "word " * 3000,
+    "a\n\n<|endoftext|>b", "\n\n\n\n<|endoftext|>", "\n \x85<|endoftext|>",
 ]
 SCHEMA = "doc_id long, text string, key string, length int"
 
@@ -42,6 +43,15 @@ def test_encoder_equals_the_library(name):
         assert [list(x) for x in np.split(ids, np.cumsum(count)[:-1])] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts] if texts else len(ids) == 0
 
     check()
+    parts = ["a", "Zé", ".", "x1", " ", "\n", "\t", "\r", "\x85", "\xa0", "\u2003", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+
+    @given(st.lists(st.lists(st.sampled_from(parts), max_size=8).map("".join), min_size=1, max_size=6))
+    @settings(max_examples=400, deadline=None)
+    def check_special(texts):
+        ids, count = encoder.encode(pa.array(texts, pa.string()))
+        assert [list(x) for x in np.split(ids, np.cumsum(count)[:-1])] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check_special()
     ids, count = encoder.encode(pa.array(ODD))
     assert list(ids) == [i for t in ODD for i in encoder.library.encode(t or "", add_special_tokens=False).ids] and len(count) == len(ODD)
 
