@@ -540,7 +540,20 @@ def _(spark, d):
     return FeatureEncoderModel.load(folder).transform(rows)
 
 
-@query("m2_ridge_leave_one_out")
+RIDGE_ROWS = S.CLEAN + f""",
+  bx as (select campana, box_id, count(distinct tipo_estacion) n_cat, count(distinct picks) n_fil from base group by 1, 2),
+  vis as (select distinct box_id, tipo_estacion from base where tipo_estacion in {S.LINES}),
+  ft as (select campana, tipo_estacion, median(n_cat) n_categorias_mediana, median(n_fil) n_filas_mediana from bx join vis using (box_id) where campana is not null group by 1, 2),
+  m as (select campana, cliente, tipo_estacion, median(tiempo_por_pick) mediana_tpp from clean group by 1, 2, 3),
+  cx as (select cliente, tipo_estacion, count(*) k, median(mediana_tpp) mu, stddev_samp(mediana_tpp) sd from m group by 1, 2),
+  rows_ as (select ft.*, cliente, mediana_tpp, case when k >= 2 and sd <> 0 then (mediana_tpp - mu) / sd end z_score
+    from ft join m using (campana, tipo_estacion) join cx using (cliente, tipo_estacion))"""
+
+
+@query("m2_ridge_leave_one_out", RIDGE_ROWS + ", " + S.ridge_leave_one_out(
+    "rows_", "campana, cliente, tipo_estacion", ["n_categorias_mediana", "n_filas_mediana"], ["cliente", "tipo_estacion"], "mediana_tpp"
+) + f""" select campana, tipo_estacion, cliente, {r('n_categorias_mediana', 'n_categorias_mediana')}, {r('n_filas_mediana', 'n_filas_mediana')},
+  {r('mediana_tpp', 'mediana_tpp')}, {r('z_score', 'z_score')}, {r('y_pred', 'y_pred')} from pred""")
 def _(spark, d):
     features, reference = _station_models(spark, d)
     rows = settle(features.join(reference, ["campana", "tipo_estacion"]))

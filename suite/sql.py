@@ -181,3 +181,48 @@ nes as (select event_id as id, value as valor,
     case when event_id % 11 <> 0 then event_type end tipo,
     case when event_id % 3 = 0 then [] when event_id % 5 = 0 then null
       else [{'nombre': 'k', 'peso': k}, {'nombre': 'u', 'peso': cast(user_id % 9 as int)}] end tags from raw)"""
+
+
+def ridge_leave_one_out(rows: str, order: str, nums: list[str], cats: list[str], target: str, alpha: float = 1.0) -> str:
+    """CTEs up to ``pred`` (``i`` and ``y_pred`` beside the columns of ``rows``): the ridge model of each row is refitted from
+    the sums over all other rows, with their encodings in that fold, and its system solved by elimination."""
+    d, size = len(nums), len(nums) + len(cats)
+    f = [f"f{p}" for p in range(size)]
+    weight = lambda n: f"(1 / (1 + exp(-(({n}) - 20) / 10e0)))"
+    centred = ", ".join([f"{target} - avg({target}) over () y", f"avg({target}) over () y_mean", *[f"{c} - avg({c}) over () x{j}" for j, c in enumerate(nums)]])
+    counts = ", ".join(f"count(*) over (partition by {c}) n{k}, sum(y) over (partition by {c}) s{k}" for k, c in enumerate(cats))
+    same = lambda k, v: f"case when a.{cats[k]} = b.{cats[k]} then {v} else 0 end"
+    encoded = []
+    for k in range(len(cats)):
+        n, s = f"(b.n{k} - {same(k, 1)})", f"(b.s{k} - {same(k, 'a.y')})"
+        encoded.append(f"{weight(n)} * {s} / {n} + (1 - {weight(n)}) * (a.sy - a.y) / (a.n - 1) as f{d + k}")
+    own = [f"x{j}" for j in range(d)] + [
+        f"case when n{k} > 1 then {weight(f'n{k} - 1')} * (s{k} - y) / (n{k} - 1) + (1 - {weight(f'n{k} - 1')}) * (sy - y) / (n - 1) else (sy - y) / (n - 1) end"
+        for k in range(len(cats))
+    ]
+    upper = [(p, q) for p in range(size) for q in range(p, size)]
+    sums = ", ".join([f"sum({x}) s_{x}" for x in f] + [f"sum({x} * y) y_{x}" for x in f] + [f"sum(f{p} * f{q}) g{p}{q}" for p, q in upper])
+    scale = ", ".join(f"case when {p} < {d} and sqrt(greatest(g{p}{p} - s_f{p} * s_f{p} / m, 0) / m) > 1e-12 then 1 / sqrt((g{p}{p} - s_f{p} * s_f{p} / m) / m) else 1 end c{p}" for p in range(size))
+    start = ", ".join(
+        [f"(g{min(p, q)}{max(p, q)} - s_f{p} * s_f{q} / m) * c{p} * c{q}{f' + {alpha}' if p == q else ''} a{p}{q}" for p in range(size) for q in range(size)]
+        + [f"(y_f{p} - s_f{p} * s_y / m) * c{p} b{p}" for p in range(size)]
+    )
+    stages, last = [f"e0 as (select *, {start} from scaled)"], "e0"
+    for p in range(size - 1):
+        new = ", ".join(
+            [f"a{q}{r_} - a{q}{p} / a{p}{p} * a{p}{r_} as a{q}{r_}" for q in range(p + 1, size) for r_ in range(p, size)] + [f"b{q} - a{q}{p} / a{p}{p} * b{p} as b{q}" for q in range(p + 1, size)]
+        )
+        stages.append(f"e{p + 1} as (select * replace ({new}) from {last})")
+        last = f"e{p + 1}"
+    for p in reversed(range(size)):
+        rest = "".join(f" - a{p}{q} * w{q}" for q in range(p + 1, size))
+        stages.append(f"v{p} as (select *, (b{p}{rest}) / a{p}{p} w{p} from {last})")
+        last = f"v{p}"
+    predicted = " + ".join(f"w{p} * c{p} * ({own[p]} - s_f{p} / m)" for p in range(size))
+    return f"""z0 as (select *, row_number() over (order by {order}) i, {centred} from {rows}),
+  z as (select *, {counts}, count(*) over () n, sum(y) over () sy from z0),
+  pairs as (select a.i, b.y, {', '.join(f'b.x{j} as f{j}' for j in range(d))}, {', '.join(encoded)} from z a join z b on a.i <> b.i),
+  moments as (select i, count(*) m, sum(y) s_y, {sums} from pairs group by 1),
+  scaled as (select *, {scale} from moments join z using (i)),
+  {', '.join(stages)},
+  pred as (select *, s_y / m + {predicted} + y_mean y_pred from {last})"""
