@@ -560,6 +560,56 @@ def _(spark, d):
     return adjust.ridge_leave_one_out(rows, adjust.STATION_FEATURES, adjust.STATION_CATEGORIES, "mediana_tpp")
 
 
+def _z(rows: str, by: str, value: str, out: str, name: str) -> str:
+    """CTE ``name``: ``rows`` with ``out``, the distance to the group's median in its deviations."""
+    return f"""{name} as (select t.*, case when k_ >= 2 and sd_ <> 0 then ({value} - mu_) / sd_ end {out} from {rows} t join (
+    select {by}, count({value}) k_, median({value}) mu_, stddev_samp({value}) sd_ from {rows} group by {by}) using ({by}))"""
+
+
+FEATURES = ["entropia_sku", "skus_por_caja_mediana", "n_categorias_distintas"]
+CAMPAIGN_RIDGE = S.CLEAN + """,
+  ev as (select c_mktsegment || ' ' || strftime(o_orderdate, '%Y-%m') campana, l_orderkey box, l_partkey % 500 sku, l_partkey % 23 categoria
+    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+  ct as (select campana, sku, count(*) c from ev group by 1, 2),
+  en as (select campana, -sum(c / t * log2(c / t)) entropia_sku from ct join (select campana, sum(c) t from ct group by 1) using (campana) group by 1),
+  pb as (select campana, median(c) skus_por_caja_mediana from (select campana, box, count(distinct sku) c from ev group by 1, 2) group by 1),
+  dc as (select campana, count(distinct categoria) n_categorias_distintas from ev group by 1),
+  m0 as (select campana, cliente, median(tiempo_por_pick) mediana_seg_pick from clean group by 1, 2),
+  """ + _z("m0", "cliente", "mediana_seg_pick", "z_score", "m1") + """,
+  rows_ as (select * from m1 join en using (campana) join pb using (campana) join dc using (campana) where z_score is not null),
+  """ + S.ridge_leave_one_out("rows_", "campana, cliente", FEATURES, ["cliente"], "mediana_seg_pick") + """,
+  res as (select *, mediana_seg_pick - y_pred residuo from pred)"""
+
+
+@query("m3_ridge_campaign", CAMPAIGN_RIDGE + ", " + _z("res", "cliente", "residuo", "z_score_ajustado", "adj") + f""" select campana, cliente, {', '.join(r(c, c) for c in [*FEATURES[:2], 'mediana_seg_pick', 'z_score', 'residuo', 'z_score_ajustado'])},
+  n_categorias_distintas, round_even(z_score_ajustado - z_score, 3) + 0e0 delta_z from adj""")
+def _(spark, d):
+    complexity, reference = _campaign_models(spark, d)
+    return adjust.adjusted_zscore_campaign(complexity, reference, models=("Ridge",))[0]
+
+
+@query("m3_ridge_model_table", CAMPAIGN_RIDGE + f""" select 'Ridge' modelo, round_even(1 - sum(residuo * residuo) / (var_pop(mediana_seg_pick) * count(*)), 3) + 0e0 r2,
+  round_even(avg(abs(residuo)), 3) + 0e0 mae, 'leave-one-out' cv_scheme, true ganador, '{', '.join([*FEATURES, 'cliente'])}' features_usados from res""")
+def _(spark, d):
+    complexity, reference = _campaign_models(spark, d)
+    return adjust.adjusted_zscore_campaign(complexity, reference, models=("Ridge",))[1]
+
+
+@query("m4_ridge_station", RIDGE_ROWS.replace("join cx using (cliente, tipo_estacion))", "join cx using (cliente, tipo_estacion) where k >= 2 and sd <> 0)") + ", " + S.ridge_leave_one_out(
+    "rows_", "campana, cliente, tipo_estacion", ["n_categorias_mediana", "n_filas_mediana"], ["cliente", "tipo_estacion"], "mediana_tpp"
+) + """,
+  r0 as (select *, round_even(mediana_tpp - y_pred, 4) residuo_loo,
+    row_number() over (order by n_categorias_mediana, md5(concat_ws(chr(1), campana, cliente, tipo_estacion))) pos, count(*) over () total from pred),
+  r1 as (select *, greatest(1, ceil((pos - 1) * 4 / (total - 1))) cuartil from r0),
+  """ + _z("r1", "cliente, tipo_estacion", "residuo_loo", "za", "r2") + ", " + _z("r2", "cuartil, tipo_estacion", "residuo_loo", "zb", "r4") + f"""
+  select campana, tipo_estacion, cliente, {', '.join(r(c, c) for c in ['n_categorias_mediana', 'n_filas_mediana', 'mediana_tpp', 'z_score', 'residuo_loo'])},
+  {r('za', 'z_score_ajustado_estn_cliente_lineas')}, {r('zb', 'z_score_ajustado_dificultad')},
+  round_even(za - z_score, 3) + 0e0 delta_z_estn_cliente_lineas, round_even(zb - z_score, 3) + 0e0 delta_z_dificultad from r4""")
+def _(spark, d):
+    features, reference = _station_models(spark, d)
+    return adjust.adjusted_zscore_station(features, reference, models=("Ridge",))[0]
+
+
 @query("m3_adjusted_zscore_campaign")
 def _(spark, d):
     complexity, reference = _campaign_models(spark, d)
