@@ -99,6 +99,20 @@ def test_sheet_names_equal_one_after_the_other(spark):
     assert len(set(got.values())) == len(names) and max(map(len, got.values())) <= 31
 
 
+def test_thousands_of_names_with_one_stem_take_a_few_jobs(spark):
+    import random
+
+    rng = random.Random(8)
+    names = ["una campaña con un nombre largo " + "".join(rng.choice("abc?*") for _ in range(12)) for _ in range(6000)]
+    names += [f"una campaña con un nombre lar_{i}" for i in range(0, 9000, 3)] + ["x_1", "x", "x*", "x_1*", "x?", "x_1_1", "_1", "_1*", "__1"]
+    names = sorted(set(names))
+    spark.sparkContext.setJobGroup("sheets", "sheets")
+    got = {r.Cliente: r.hoja for r in lifecycle.sheet_names(spark.createDataFrame([(n,) for n in names], "Cliente string").repartition(5)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("sheets"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == one_after_the_other(names) and jobs <= 5
+
+
 def test_classify_campaigns(spark, tmp_path):
     path = str(tmp_path / "clas")
     sheet = [("  dq ", "navidad", 0), ("DQ", "Verano ", None), (None, "suelta", 1), ("FAB", "doble", 1), ("fab", "DOBLE", 0)]
