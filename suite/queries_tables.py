@@ -516,11 +516,12 @@ def _campaign_models(spark, d):
 
 
 def _station_models(spark, d):
-    ops = picking.base_operations(A.ops(spark, d))
+    raw = settle(A.ops(spark, d))
+    ops = picking.base_operations(raw)
     boxes = ops.groupBy("campana", "box_id").agg(
         F.count_distinct("tipo_estacion").alias("n_categorias_en_caja"), F.count_distinct("picks").alias("n_filas_distintas")
     )
-    return difficulty.station_features(boxes, ops), station_reference(clean_operations(A.ops(spark, d)))
+    return difficulty.station_features(boxes, ops), station_reference(clean_operations(raw))
 
 
 @query("m1_feature_frame", S.CLEAN + f""",
