@@ -42,12 +42,17 @@ def remainder(key: str, of: int):
     return F.crc32(F.col(key).cast("string")) % of
 
 
+def held_out(key: str, of: int, fold: int):
+    """Whether the key falls into ``fold``; a null key does not."""
+    return F.coalesce(remainder(key, of) == fold, F.lit(False)).alias("held_out")
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull()), "doc_id", "text", "lang")
     found = language.predict(docs, "doc_id", "text", model)
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", 4, 2), "lang_pred", "score")
 
 
 @query
@@ -66,7 +71,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(remainder("doc_id", 5) != 0), "doc_id", "text", "quality")
     found = quality.score(docs.select("doc_id", "text"), "text", model)
-    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @query

@@ -127,3 +127,11 @@ def test_messages_equal_enumeration():
         want[np.arange(n), y] += np.exp(total)
     want /= want.sum(axis=1, keepdims=True)
     assert np.allclose(got, want, atol=0.02)
+
+
+def test_a_null_key_is_not_held_out(spark):
+    from flowmetrics.llm.queries import held_out
+
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,), (5,), (6,), (7,)], "doc_id long")
+    got = {r.doc_id: r.held_out for r in rows.select("doc_id", held_out("doc_id", 4, 2)).collect()}
+    assert got[None] is False and True in got.values()
