@@ -10,8 +10,9 @@ or near to it, whether or not that one stays itself; the earliest of a group sta
 * Such a line emits every variant with one word left out, as hashed keys: with the place for replaced words, without for
   added or missing ones; a line itself is a variant without an omission. The earliest line of each key is an aggregate,
   so a key that thousands of lines share costs one row each and never pairs.
-* From ``LONG_WORDS`` words on, the keys come from running sums over a line's words, one row per word: a variant has a
-  fixed size and a line costs in proportion to its words. Lines of just that length emit both kinds of keys.
+* From ``LONG_WORDS`` words on, blocks of words come first: a line emits one key per block, of the words around it, and only
+  variants inside blocks whose key another line shares. A line of n words has some 2 sqrt(n) such keys, and sqrt(n) variants
+  for each line that is near to it.
 * The edit distance of a line and its earliest neighbour is verified on their words.
 
 Lines below ``min_words`` words are compared for equality only; lines without words always stay. A line of any length is
@@ -29,7 +30,7 @@ from flowmetrics.llm.common import free_name, parts_for, small
 from flowmetrics.session import settle
 
 SMALL_ROWS = 500_000
-LONG_WORDS = 512
+LONG_WORDS = 64
 
 
 def _words(line: Column) -> Column:
@@ -56,16 +57,22 @@ def _id(key: str, text: str) -> Column:
     return F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("th"), F.length(f"`{text}`").alias("size"))
 
 
-def _numbered(docs: DataFrame, key: str, text: str, max_words: int | None, of_word) -> DataFrame:
-    """``id`` (key and text hash), ``place``, ``words`` (each through ``of_word``) of every line with words."""
-    line_words = F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda l: F.transform(_words(l), of_word))
+def _units(text: Column, max_words: int | None, of_word) -> Column:
+    """The words (each through ``of_word``) of all lines of a text, or of their pieces."""
+    line_words = F.transform(F.split(text, "\n"), lambda l: F.transform(_words(l), of_word))
+    if max_words is None:
+        return line_words
 
     def cut(ws: Column) -> Column:
         last = F.floor((F.size(ws) - 1) / max_words).cast("int")
         return F.when(F.size(ws) <= max_words, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(ws, j * max_words + 1, F.lit(max_words))))
 
-    units = line_words if max_words is None else F.flatten(F.transform(line_words, cut))
-    rows = docs.select(_id(key, text).alias("id"), F.posexplode(units).alias("place", "words"))
+    return F.flatten(F.transform(line_words, cut))
+
+
+def _numbered(docs: DataFrame, key: str, text: str, max_words: int | None, of_word) -> DataFrame:
+    """``id`` (key and text hash), ``place``, ``words`` (each through ``of_word``) of every line with words."""
+    rows = docs.select(_id(key, text).alias("id"), F.posexplode(_units(F.col(f"`{text}`"), max_words, of_word)).alias("place", "words"))
     return rows.where(F.size("words") > 0)
 
 
@@ -98,44 +105,74 @@ def _open(n: Column) -> tuple[Column, Column]:
     return F.when(F.col("last") == 1, F.lit(0)).otherwise(half), F.when(F.col("not_first") == 0, n - 1).otherwise(n - half - 1)
 
 
-def _long_variants(spelt: DataFrame) -> DataFrame:
-    """``at, n, v`` as of short lines, for lines from ``LONG_WORDS`` words on. A line's hash is the xor of its words'
-    hashes with their places; behind the word left out, places are one less."""
-    n, i = F.col("n"), F.col("i")
-    words = spelt.where(F.size("words") >= LONG_WORDS).select("at", "last", "not_first", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
-    words = words.select("at", "last", "not_first", "n", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", i - 1).alias("moved"))
-    line = Window.partitionBy("at")
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    words = words.withColumns({"before": F.bit_xor("here").over(upto), "passed": F.bit_xor("moved").over(upto), "all": F.bit_xor("moved").over(line)})
-    rest = F.col("before").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("passed"))
-    low, high = _open(n)
-    out = F.when((i >= low) & (i <= high), F.struct(i, rest.alias("rest")))
-    whole = F.when(i == n - 1, F.struct(F.lit(-1).alias("i"), F.col("before").alias("rest")))
-    return words.select("at", "n", F.explode(F.filter(F.array(out, whole), lambda v: v.isNotNull())).alias("v"))
+def _blocks(q: Column) -> Column:
+    """Words in a block of a pair whose longer line has ``q`` words."""
+    return F.ceil(F.sqrt(q)).cast("int")
+
+
+def _shared_blocks(spelt: DataFrame) -> DataFrame:
+    """``at, blocks`` of the lines from ``LONG_WORDS`` words on: the blocks of ``sqrt(n)`` words in which a line may differ from another.
+
+    A line of ``n`` words is the longer or equal one of a pair with ``q = n`` words, and the shorter one with ``q = n + 1``. For
+    each block its key is the hash of the words before and behind it. One edit lies in one block of the longer line, so near
+    lines agree in the words around that block, and in its key, whatever happens inside. Lines one word below are the shorter
+    ones of such pairs.
+    """
+    long = spelt.where(F.size("words") >= LONG_WORDS - 1).select("at", _held(F.transform("words", lambda w: F.xxhash64(w)), "hw"))
+    n = F.size("hw")
+
+    def keys(q: Column, own: int) -> Column:
+        size = _blocks(q)
+
+        def key(j: Column) -> Column:
+            behind = F.greatest(F.lit(0), q - (j + 1) * size)
+            return F.struct(j.alias("j"), F.lit(own).alias("own"), F.xxhash64(q, j, F.slice("hw", F.lit(1), F.least(n, j * size)), F.slice("hw", n - behind + 1, behind)).alias("k"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor((q - 1) / size).cast("int")), key)
+
+    rows = settle(long.select("at", F.explode(F.concat(keys(n, 1), keys(n + 1, 0))).alias("b")).select("at", "b.*"))
+    shared = settle(rows.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1").select("k"))
+    return rows.where("own = 1").join(small(shared, SMALL_ROWS), "k", "left_semi").groupBy("at").agg(F.collect_set("j").alias("blocks"))
+
+
+def _words_of(docs: DataFrame, key: str, text: str, max_words: int | None, firsts: DataFrame) -> DataFrame:
+    """The words of the lines in ``firsts`` (``h1, h2, first, last, not_first``): only documents that hold one are cut into
+    lines again, and only those lines into words."""
+    wanted = F.struct(F.col("first.place").alias("place"), "h1", "h2", "last", "not_first")
+    needed = settle(firsts.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(wanted).alias("wanted")))
+    holders = docs.select(_id(key, text).alias("id"), F.col(f"`{text}`").alias("text")).join(small(needed, SMALL_ROWS), "id")
+    units = F.split("text", "\n") if max_words is None else _units(F.col("text"), max_words, lambda w: w)
+    found = holders.select("id", "wanted", _held(units, "units")).select("id", "units", F.explode("wanted").alias("w"))
+    unit = F.get("units", F.col("w.place"))
+    spelt = found.select(F.struct("id", "w.place").alias("first"), "w.h1", "w.h2", "w.last", "w.not_first", (_words(unit) if max_words is None else unit).alias("words"))
+    # equal rows give the same line more than once
+    return spelt.groupBy("h1", "h2", "first", "last", "not_first").agg(F.first("words").alias("words"))
 
 
-def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """``h1, h2`` of the distinct lines to which an earlier line is near.
+def near_lines(docs: DataFrame, key: str, text: str, max_words: int | None, classes: DataFrame) -> DataFrame:
+    """``h1, h2`` of the distinct lines of ``docs`` to which an earlier line is near.
 
-    ``classes``: distinct lines ``h1, h2, first, halves``; ``lines``: all lines ``id, place, words``.
+    ``classes``: distinct lines ``h1, h2, first, halves``.
     """
     halves = classes.where("halves is not null").select("h1", "h2", F.posexplode("halves").alias("side", "half"))
     shared = settle(halves.select("half").groupBy("half").count().where("count > 1").select("half"))
     able = halves.join(small(shared, SMALL_ROWS), "half", "left_semi").groupBy("h1", "h2")
     able = settle(able.agg(F.max((F.col("side") % 2).cast("int")).alias("last"), F.min((F.col("side") % 2).cast("int")).alias("not_first")))
     firsts = classes.select("h1", "h2", "first").join(small(able, SMALL_ROWS), ["h1", "h2"])
-    spelt = lines.select("id", "place", "words", F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("h1")).join(small(settle(firsts), SMALL_ROWS), "h1")
-    spelt = spelt.where(F.struct("id", "place") == F.col("first")).groupBy("h1", "h2", "first", "last", "not_first").agg(F.first("words").alias("words"))
-    count = parts_for(lines.sparkSession, 1, 1)
+    spelt = _words_of(docs, key, text, max_words, firsts)
+    count = parts_for(docs.sparkSession, 1, 1)
     ordered = spelt.repartitionByRange(count, "first").sortWithinPartitions("first")
     spelt = settle(ordered.select("h1", "h2", "last", "not_first", F.monotonically_increasing_id().alias("at"), "words"))
 
     n = F.size("hw")
     low, high = _open(n)
-    keys = spelt.where(F.size("words") <= LONG_WORDS).select("at", "last", "not_first", _held(F.transform("words", lambda w: F.xxhash64(w)), "hw"))
-    rests = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("hw", F.lit(1), i), F.slice("hw", i + 2, n)).alias("rest")))
+    spelt_blocks = spelt.join(small(settle(_shared_blocks(spelt)), SMALL_ROWS), "at", "left")
+    keys = spelt_blocks.select("at", "last", "not_first", "blocks", _held(F.transform("words", lambda w: F.xxhash64(w)), "hw"))
+    size = _blocks(n)
+    inside = F.flatten(F.transform(F.coalesce("blocks", F.array().cast("array<int>")), lambda j: F.sequence(j * size, F.least(n - 1, (j + 1) * size - 1))))
+    left = F.when(n < LONG_WORDS, F.sequence(low, high)).otherwise(F.filter(inside, lambda i: (i >= low) & (i <= high)))
+    rests = F.transform(left, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("hw", F.lit(1), i), F.slice("hw", i + 2, n)).alias("rest")))
     keys = keys.select("at", n.alias("n"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64("hw").alias("rest"))), rests)).alias("v"))
-    keys = keys.unionByName(_long_variants(spelt))
     left_out = F.array(F.struct(F.xxhash64(F.lit("s"), "n", "v.i", "v.rest").alias("k"), F.lit(2).alias("side")), F.struct(F.col("v.rest").alias("k"), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.col("v.rest").alias("k"), F.lit(0).alias("side")))
     keys = settle(keys.select("at", F.explode(F.when(F.col("v.i") < 0, whole).otherwise(left_out)).alias("w")).select("at", "w.k", F.col("w.side").cast("byte").alias("side")))
@@ -153,7 +190,7 @@ def dropped_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_
     hashed = settle(hashed.select("id", "place", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), _halves(F.col("words"), min_words).alias("halves")))
     place = F.struct("id", "place")
     classes = settle(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies")))
-    near = settle(near_lines(_numbered(docs, key, text, max_words, lambda w: w), classes))
+    near = settle(near_lines(docs, key, text, max_words, classes))
     verdict = classes.where("copies > 1").select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full")
     gone = hashed.select("id", "place", "h1", "h2").join(small(settle(verdict), SMALL_ROWS), ["h1", "h2"]).where(F.col("near") | (place != F.col("first")))
     return gone.select("id", "place").distinct().groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("gone"))
