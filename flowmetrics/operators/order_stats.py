@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmetrics.schemas import quoted
-from flowmetrics.session import settle
+from flowmetrics.session import settle, settle_and_measure
 
 DIGIT_BITS, DIGITS = 16, 4
 #: Distinct values that one task may sort.
@@ -108,8 +108,8 @@ def positions(counts: DataFrame, wanted: str = "true") -> DataFrame:
             group, start, total = "_k, _p", "_start", "_total"
         earlier = f"sum(_size) over (partition by {group} order by _c rows between unbounded preceding and 1 preceding)"
         cells = cells.selectExpr("_k", "_c", "_size", "_values", f"{start} + coalesce({earlier}, 0) as _off", f"{total} as _total")
-        cells = settle(cells.where(wanted))
-        most = cells.agg(F.max("_values")).first()[0] or 0
+        cells, most = settle_and_measure(cells.where(wanted), F.max("_values"))
+        most = most or 0
         last = most <= SORTED_VALUES or number == DIGITS - 1
         fit = (cells if last else cells.where(F.col("_values") <= SORTED_VALUES)).select("_k", "_c", "_off", "_total")
         placed.append(rows.join(fit, ["_k", "_c"]).withColumn("_d", F.lit(number)))

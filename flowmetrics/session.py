@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -48,3 +48,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/flowmetrics-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_and_measure(df: DataFrame, measure: Column) -> tuple[DataFrame, object]:
+    """:func:`settle`, and the value of an aggregate over the rows as they were written, without a job of its own."""
+    seen = Observation()
+    settled = settle(df.observe(seen, measure.alias("value")))
+    return settled, seen.get["value"]
