@@ -68,7 +68,8 @@ def ridge_leave_one_out(
     """
     d, q = len(num_cols), len(cat_cols)
     # centring first keeps the sums of squares accurate
-    centre = df.agg(F.avg(target).alias("y"), *[F.avg(quoted(c)).alias(f"x{j}") for j, c in enumerate(num_cols)]).first()
+    ends = [f(quoted(c).cast("double")).alias(f"{name}{j}") for j, c in enumerate(num_cols) for name, f in (("lo", F.min), ("hi", F.max))]
+    centre = df.agg(F.avg(target).alias("y"), *[F.avg(quoted(c)).alias(f"x{j}") for j, c in enumerate(num_cols)], *ends).first()
     if centre["y"] is None:
         return df.withColumn(PREDICTION, F.lit(None).cast("double"))
     rows = df.withColumns({
@@ -84,6 +85,7 @@ def ridge_leave_one_out(
         *[F.sum(x[j]).alias(f"x{j}") for j in range(d)],
         *[F.sum(x[j] * F.col("_y")).alias(f"xy{j}") for j in range(d)],
         *[F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for i in range(d) for j in range(i, d)],
+        *[F.sum((x[j] == centre[f"{end}{j}"] - centre[f"x{j}"]).cast("double")).alias(f"n_{end}{j}") for j in range(d) for end in ("lo", "hi")],
     ).first().asDict()
     for k, table in enumerate(cats):
         n, s, a, b = (F.col(f"{name}{k}") for name in ("n", "S", "a", "b"))
@@ -118,6 +120,7 @@ def ridge_leave_one_out(
 
     leaf, smoothing, y_mean = ENCODING_LEAF, ENCODING_SMOOTHING, float(centre["y"])
     total = {name: float(value) for name, value in moments.items()}
+    ends = [{centre[f"{end}{j}"] - centre[f"x{j}"]: total[f"n_{end}{j}"] for end in ("lo", "hi")} for j in range(d)]
     kept = list(df.columns)
     size = d + q
 
@@ -174,6 +177,11 @@ def ridge_leave_one_out(
             target_part = with_y - m * mean * prior[:, None]
             scale = np.ones((len(rows), size))
             for j in range(d):
+                # an input with one value in the fold tells nothing: its sums are rounding errors, which no scale may blow up
+                if sum(ends[j].values()) >= total["n"]:
+                    alone = [value for value, count in ends[j].items() if count == 1]
+                    flat = np.isin(xs[j], alone) | (len(ends[j]) == 1)
+                    centred[flat, j, :] = centred[flat, :, j] = target_part[flat, j] = 0
                 deviation = np.sqrt(np.maximum(centred[:, j, j], 0) / max(m, 1))
                 scale[:, j] = np.where(deviation > 1e-12, 1 / np.where(deviation > 1e-12, deviation, 1), 1)
             system = centred * scale[:, :, None] * scale[:, None, :] + alpha * np.eye(size)

@@ -52,6 +52,17 @@ def test_ridge_leave_one_out_equals_refits(frame, pdf, cat):
     np.testing.assert_allclose(got[want.index], want, rtol=1e-10)
 
 
+@pytest.mark.parametrize("n, odd", [(40, 20.0), (30, 0.1), (12, 0.1)])
+def test_ridge_fold_in_which_an_input_has_one_value(spark, n, odd):
+    """Without the one row that differs an input is constant: it tells nothing there, whatever rounding leaves of its variance."""
+    rng = np.random.default_rng(1)
+    table = pd.DataFrame({"campana": [f"c{i}" for i in range(n)], "cliente": rng.choice(["a", "b"], n), "x0": rng.normal(8, 1, n), "k": 23.0, "y": rng.normal(100, 10, n)})
+    table.loc[0, "k"] = odd
+    rows = spark.createDataFrame([tuple(r) for r in table.astype(object).itertuples(index=False)], "campana string, cliente string, x0 double, k double, y double").coalesce(1)
+    got = adjust.ridge_leave_one_out(rows, ["x0", "k"], ["cliente"], "y").toPandas().set_index("campana").y_pred
+    np.testing.assert_allclose(got[table.campana], refit(table, ["x0", "k"], ["cliente"]), rtol=1e-9)
+
+
 def test_ridge_on_very_few_rows(spark, frame):
     assert adjust.ridge_leave_one_out(frame.where("campana = 'c5'"), ["x0"], ["cliente"], "y").first().y_pred is None
     assert adjust.ridge_leave_one_out(frame.where("campana in ('c5', 'c6')"), ["x0"], ["cliente"], "y").count() == 2
