@@ -341,6 +341,15 @@ def test_thousands_of_keys(spark):
     assert {tuple(r) for r in nested.foreign_key_map({"t": variants(spark, [(1, '{"u": {"uid": 3}, "x": 1}'), (2, "5")])}).collect()} == {("t", "v.u.uid", "3")}
 
 
+def test_sketches_lose_no_pair_however_few_values_it_shares(spark):
+    """One value of 3,000 is an id of a small table, one of a table as large as the key."""
+    keys = spark.range(3000).selectExpr("'a' tabla", "'k.id' fk", "cast(id as string) valor")
+    frames = {"pocas": spark.range(2999, 3005), "muchas": spark.range(2999, 9000), "ajena": spark.range(5000, 9000)}
+    want = {("a", "k.id", t, 1, 1 / 3000) for t in ("pocas", "muchas")}
+    for sketch in (None, 10):
+        assert {tuple(r) for r in nested.candidate_joins(keys, frames, sketch=sketch).collect()} == want
+
+
 def test_sketches_leave_out_unrelated_keys_only(spark):
     keys = spark.range(20_000).selectExpr("'t' tabla", "'a.id' fk", "cast(id as string) valor")
     keys = keys.unionByName(spark.range(5000).selectExpr("'t' tabla", "'b.id' fk", "concat('x', id) valor")).unionByName(spark.range(30).selectExpr("'t' tabla", "'c.id' fk", "cast(id * 700 as string) valor"))
