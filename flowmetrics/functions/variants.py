@@ -21,6 +21,13 @@ def plain_type(variant_type: str) -> T.DataType:
     return T._parse_datatype_string("".join(parts))
 
 
+def is_json(variant_type: str) -> bool:
+    """Whether a schema that ``schema_of_variant_agg`` found only has kinds that JSON text keeps: no dates, instants, binaries
+    or single-precision numbers, and no mixed fields, which may hide one."""
+    parts = re.split(r"`(?:[^`]|``)*`", variant_type)
+    return not any(re.search(r"\b(VARIANT|FLOAT|DATE|TIME\w*|INTERVAL|BINARY|UUID)\b(?!\s*:)", part) for part in parts)
+
+
 def ddl(kind: T.DataType) -> str:
     """As ``simpleString``, with quoted field names."""
     if isinstance(kind, T.StructType):

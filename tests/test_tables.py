@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from flowmetrics.functions.variants import is_json
 from flowmetrics.operators import lifecycle, nested, quality
 from flowmetrics.plans.campaign_lifecycle import lifecycle_tables, write_report
 from flowmetrics.schemas import STRATEGIES, require_columns
@@ -341,6 +342,20 @@ def test_thousands_of_keys(spark):
     assert {tuple(r) for r in nested.foreign_key_map({"t": variants(spark, [(1, '{"u": {"uid": 3}, "x": 1}'), (2, "5")])}).collect()} == {("t", "v.u.uid", "3")}
 
 
+def test_wide_objects_are_parsed_to_the_same_values(spark, monkeypatch):
+    texts = ['[{"k%03d": %s, "n": %s, "w": {"d": "\\u00e9\\"%d"}}, 7]' % (i, ('"t%d"' % i, str(i), "1.50", "true", "null", "[1, 2]")[i % 6], ("3", "2.25", "1e300")[i % 3], i) for i in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.parse_json("t").alias("l")).coalesce(1)
+    wide = nested.explode_column(rows, "l")
+    cast = "try_variant_get"
+    assert len(wide.columns) == 153 and cast not in wide._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    monkeypatch.setattr(nested, "WIDE_FIELDS", 10**6)
+    narrow = nested.explode_column(rows, "l")
+    assert wide.schema == narrow.schema
+    in_order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert in_order(wide) == in_order(narrow) and len(in_order(wide)) == 300
+    assert is_json("OBJECT<DATE: BIGINT, a: DECIMAL(3,1)>") and not is_json("OBJECT<a: DATE>") and not is_json("OBJECT<a: VARIANT>")
+
+
 def test_sketches_lose_no_pair_however_few_values_it_shares(spark):
     """One value of 3,000 is an id of a small table, one of a table as large as the key."""
     keys = spark.range(3000).selectExpr("'a' tabla", "'k.id' fk", "cast(id as string) valor")
