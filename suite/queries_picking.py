@@ -232,7 +232,8 @@ def _(spark, d):
     {r('q3 - q1','iqr')}, {r('p90','p90')}, {r('p95','p95')}, n, case when media > mediana * 1.15e0 then 'asimetrico' else 'simetrico' end sesgo,
     case when sd / media * 100 > 70 then 'alta' when sd / media * 100 > 40 then 'moderada' else 'baja' end variabilidad from s""")
 def _(spark, d):
-    return stats.efficiency_summary(clean(spark, d), ["tipo_estacion"])
+    rows = clean_operations(settle(A.ops(spark, d))).select("tipo_estacion", *stats.EFFICIENCY_METRICS)
+    return stats.efficiency_summary(settle(rows), ["tipo_estacion"])
 
 
 @query("a24_efficiency_text", S.CLEAN + """, s as (select avg(tiempo_por_pick) media, median(tiempo_por_pick) mediana, stddev_samp(tiempo_por_pick) sd,
@@ -242,7 +243,8 @@ def _(spark, d):
     n, mediana, media, case when media > mediana * 1.15e0 then 'asimetrico' else 'simetrico' end, q1, q3, p90, p95, sd / media * 100,
     case when sd / media * 100 > 70 then 'alta' when sd / media * 100 > 40 then 'moderada' else 'baja' end) texto from s""")
 def _(spark, d):
-    return stats.efficiency_text(stats.efficiency_summary(clean(spark, d), metrics=["tiempo_por_pick"]))
+    rows = clean_operations(settle(A.ops(spark, d))).select("tiempo_por_pick")
+    return stats.efficiency_text(stats.efficiency_summary(settle(rows), metrics=["tiempo_por_pick"]))
 
 
 PCTS = {"pct_azul": "Azul", "pct_rojo": "Rojo", "pct_verde": "Verde", "pct_amarillo": "Amarillo", "pct_morado": "Morado",

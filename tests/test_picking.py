@@ -255,3 +255,12 @@ def test_difficulty_correlation_equals_ranks(spark):
         assert got[scope].n == len(part)
     assert got["global"].sig == "***" and set(got) == {"global", "cli0", "cli1"}
     assert difficulty.difficulty_correlation(boxes.limit(9), events).count() == 0  # fewer than 10 pairs
+
+
+@pytest.mark.parametrize("name", ["a24_efficiency_text", "a24_efficiency_summary"])
+def test_efficiency_joins_the_raw_tables_once(spark, name):
+    """The summary reads its rows twice; they are settled, so neither reading joins lines, orders and customers again."""
+    import __spark_entry__ as E
+
+    files = E.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
