@@ -1,9 +1,9 @@
 """Language by string kernels: n-gram presence, Nyström landmarks, one-versus-rest kernel ridge regression.
 
 Two texts are compared by the n-grams (one to three letters, blended) that both hold, divided by the geometric mean of
-their numbers. N-grams are hashed to ``SLOTS`` slots. A bounded sample of labelled texts is mapped to its kernel values
-with a few landmark texts; ridge regression per language on those gives one weight per landmark and language, and all
-texts are scored in batches by two matrix products.
+their numbers. N-grams are hashed to ``SLOTS`` slots. Every labelled text is mapped to its kernel values with a few landmark
+texts; ridge regression per language on those gives one weight per landmark and language, and all texts are scored in
+batches by two matrix products. Landmarks span the space of the regression; its sums are over all labelled texts.
 
 A null text, or one without letters, gives ``und`` with score 0; without any labelled text everything is ``und``. Rows
 keep their number, repeated rows get equal results, and only key and text are read. A tie goes to the language that
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmetrics.llm.common import slices
-from flowmetrics.llm.sampling import bounded_per_class
+from flowmetrics.llm.sampling import first_per_class
 
 SLOTS = 1 << 16
 LONGEST = 3
@@ -67,20 +67,23 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
 
-    def score(self, texts: list[str]) -> tuple[list, np.ndarray]:
+    def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values of texts and landmarks; and whether a text has a letter."""
         found, has_letter = presence(texts)
         size = np.sqrt(np.maximum(1, found.sum(axis=1)))[:, None]
-        values = (found[:, self.columns].astype(np.float32) @ self.landmarks / size) @ self.weights
+        return found[:, self.columns].astype(np.float32) @ self.landmarks / size, has_letter
+
+    def score(self, texts: list[str]) -> tuple[list, np.ndarray]:
+        values, has_letter = self.kernel(texts)
+        values = values @ self.weights
         best = values.argmax(axis=1)
         score = np.where(has_letter, np.clip(values[np.arange(len(texts)), best], 0, 1), 0.0)
         return [self.languages[b] if h else "und" for b, h in zip(best, has_letter, strict=True)], score
 
 
-def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int = 300, landmarks: int = 96, penalty: float = 1e-3) -> Model | None:
-    """Fit on at most ``per_language`` texts of each language; their n-gram slots, not their texts, reach the driver."""
-    sample, counts = bounded_per_class(labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null"), "key", "lang", per_language)
-    if not counts:
-        return None
+def _landmarks(labelled: DataFrame, landmarks: int) -> tuple[np.ndarray, dict]:
+    """Slots of the first texts of every language in turn, by hash, ``landmarks`` in all; and the text count of every language."""
+    first, counts = first_per_class(labelled, ["key", "text"], "lang", landmarks)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,27 +91,52 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int =
             packed = [np.packbits(presence([t])[0][0]).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], ["slots", "lang", "at"])
 
-    order = F.xxhash64("key", F.lit("sample"))
-    rows = sample.select("text", "lang", order.alias("at")).mapInArrow(held, "slots binary, lang string, at long").collect()
+    order = F.xxhash64("key", "text", F.lit("sample"))
+    rows = first.select("text", "lang", order.alias("at")).mapInArrow(held, "slots binary, lang string, at long").collect()
     rows.sort(key=lambda r: (r["at"], r["lang"], bytes(r["slots"])))
-    languages = sorted({r["lang"] for r in rows})
     turn: dict = {}
     for r in rows:
         turn.setdefault(r["lang"], []).append(r)
-    rows = [r for i in range(per_language) for c in languages for r in turn[c][i : i + 1]]
-    found = np.stack([np.unpackbits(np.frombuffer(r["slots"], np.uint8)) for r in rows]).astype(np.float32)
-    columns = np.flatnonzero(found[:landmarks].any(axis=0))
+    rows = [r for i in range(landmarks) for c in sorted(turn) for r in turn[c][i : i + 1]][:landmarks]
+    return np.stack([np.unpackbits(np.frombuffer(r["slots"], np.uint8)) for r in rows]).astype(np.float32) if rows else np.zeros((0, SLOTS), np.float32), counts
+
+
+def fit(labelled: DataFrame, key: str, text: str, lang: str, landmarks: int = 96, penalty: float = 1e-3) -> Model | None:
+    """Fit on every text with a language; the landmarks' n-gram slots and the sums of the regression reach the driver.
+
+    Each language weighs the same, however many texts it has.
+    """
+    labelled = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
+    found, counts = _landmarks(labelled, landmarks)
+    if not counts:
+        return None
+    languages = sorted(counts)
+    columns = np.flatnonzero(found.any(axis=0))
     size = np.sqrt(np.maximum(1, found.sum(axis=1)))
-    chosen = (found[:landmarks, columns] / size[:landmarks, None]).T
-    kernel = (found[:, columns] @ chosen / size[:, None]).astype(np.float64)
-    value, vector = np.linalg.eigh(kernel[: chosen.shape[1]])
+    chosen = (found[:, columns] / size[:, None]).T
+    value, vector = np.linalg.eigh((found[:, columns] @ chosen / size[:, None]).astype(np.float64))
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])
-    target = (np.array([r["lang"] for r in rows])[:, None] == np.array(languages)[None, :]).astype(float)
-    weight = 1 / target.sum(axis=0)[target.argmax(axis=1)][:, None]
-    features = kernel @ root
-    ridge = features.T @ (features * weight) + penalty * np.eye(features.shape[1])
-    weights = root @ np.linalg.solve(ridge, features.T @ (target * weight))
+    d = root.shape[1]
+    basis = labelled.sparkSession.sparkContext.broadcast(Model(languages, columns, np.ascontiguousarray(chosen, np.float32), root))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {c: i for i, c in enumerate(languages)}
+        total, seen = np.zeros((d + len(languages), d)), False
+        for batch, texts in slices(batches, "text"):
+            values, at, seen = texts.to_pylist(), [place[c] for c in batch.column(1).to_pylist()], True
+            for i in range(0, len(values), BATCH):
+                x = basis.value.kernel(values[i : i + BATCH])[0] @ root
+                own = np.array(at[i : i + BATCH])
+                weighted = x / np.array([counts[languages[c]] for c in own])[:, None]
+                total[:d] += x.T @ weighted
+                np.add.at(total, d + own, weighted)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "total"])
+
+    table = labelled.select("text", "lang").mapInArrow(sums, "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).orderBy("at").toArrow()
+    total = table.column("total").to_numpy().reshape(-1, d)
+    weights = root @ np.linalg.solve(total[:d] + penalty * np.eye(d), total[d:].T)
     return Model(languages, columns, np.ascontiguousarray(chosen, np.float32), weights.astype(np.float32))
 
 

@@ -1,9 +1,11 @@
 """Quality by pairwise ranking (Bradley-Terry): a good text should beat a bad one.
 
-A text's strength is a weighted sum of surface features. The weights maximise the likelihood of preference pairs (one
-row labelled 1, one labelled 0): logistic loss on the difference of their features. The threshold is the quantile of
-the training strengths at the share of rows labelled 0, so the share of rejected rows follows the labels; scores are
-the logistic of the strength, shifted so that the threshold gets ``cut``.
+A text's strength is a weighted sum of surface features. The weights maximise the likelihood of all preference pairs (one
+row labelled 1, one labelled 0): logistic loss on the difference of their features. Pairs are never formed: a pair's loss
+depends on two strengths only, so every Newton step adds up all rows by label and narrow cell of strength (number, strength,
+features and their products), and the driver pairs cells at their mean strengths. The threshold is the exact quantile of all
+training strengths at the share of rows labelled 0, so the share of rejected rows follows the labels; scores are the
+logistic of the strength, shifted so that the threshold gets ``cut``.
 
 Null and empty texts have all features 0 and get their score like any other; without rows of both labels every score
 is 0.5. Every row keeps its place, repeated rows get equal scores, only key and text are read.
@@ -11,7 +13,7 @@ is 0.5. Every row keeps its place, repeated rows get equal scores, only key and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmetrics.llm.common import free_name, slices
-from flowmetrics.llm.sampling import bounded_per_class
+from flowmetrics.operators.order_stats import quantiles
+from flowmetrics.session import settle
 
 FEATURES = ("symbols", "capital_runs", "repeats", "distinct", "distinct_pairs", "digits", "stops", "word_length", "log_words")
+#: Cells a unit of strength up to ``EVEN``; behind it cells a factor of e, as pairs with such a strength are decided.
+PER_UNIT, EVEN, PER_FACTOR = 32, 16.0, 64
 
 
 def _kinds() -> np.ndarray:
@@ -82,60 +87,119 @@ class Ranking:
     threshold: float
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.centre) / self.spread @ self.weights
+        """Summed feature by feature, so that equal texts have equal strengths in batches of any size."""
+        total = np.zeros(len(x))
+        for j, w in enumerate(self.weights):
+            total += (x[:, j] - self.centre[j]) / self.spread[j] * w
+        return total
 
     def score(self, x: np.ndarray, cut: float) -> np.ndarray:
         z = np.clip(self.strength(x) - self.threshold + np.log(cut / (1 - cut)), -500, 500)
         return 1 / (1 + np.exp(-z))
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Weights that maximise the likelihood of ``better`` beating ``worse`` row by row (Newton steps)."""
-    d = better - worse
-    w = np.zeros(d.shape[1])
+def _newton(size: int, slopes: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], penalty: float, steps: int, close: float) -> np.ndarray:
+    """Weights from Newton steps; ``slopes`` gives the likelihood's gradient and curvature, per pair."""
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        gradient = d.T @ p / len(d) - penalty * w
-        curvature = (d * (p * (1 - p))[:, None]).T @ d / len(d) + penalty * np.eye(len(w))
-        step = np.linalg.solve(curvature, gradient)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        gradient, curvature = slopes(w)
+        step = np.linalg.solve(curvature + penalty * np.eye(size), gradient - penalty * w)
+        w = w + step
+        if np.abs(step).max() < close:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int = 4000, rivals: int = 20) -> Ranking | None:
-    """Fit on at most ``per_class`` rows of each label, each worse row against ``rivals`` better ones.
+def fit_pairs(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Weights that maximise the likelihood of ``better`` beating ``worse`` row by row (Newton steps)."""
+    d = better - worse
 
-    Only the sampled rows' features reach the driver. Rows of ``labels`` without a document do not count.
-    """
-    known = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("label in (0, 1)").distinct()
-    sample, counts = bounded_per_class(known, "key", "label", per_class)
-    if set(counts) != {0, 1}:
-        return None
-    chosen = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "key")
+    def slopes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+        return d.T @ p / len(d), (d * (p * (1 - p))[:, None]).T @ d / len(d)
+
+    return _newton(d.shape[1], slopes, penalty, steps, 1e-8)
+
+
+def _cells(strength: np.ndarray) -> np.ndarray:
+    size = np.abs(strength)
+    far = PER_UNIT * EVEN + PER_FACTOR * np.log(np.maximum(size, EVEN) / EVEN)
+    return np.floor(np.sign(strength) * np.where(size <= EVEN, PER_UNIT * size, far)).astype(np.int64)
+
+
+def _cell_sums(rows: DataFrame, model: Ranking) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For label 0 and 1: number, strength, features and their products, summed over all rows of each cell of strength."""
+    d = len(model.weights)
+    width = 2 + d + d * d
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros((0, width))
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(-1, d)
+            strength, z = model.strength(x), (x - model.centre) / model.spread
+            each = np.concatenate([np.ones((len(x), 1)), strength[:, None], z, (z[:, :, None] * z[:, None, :]).reshape(len(x), d * d)], axis=1)
+            found, at = np.unique(np.concatenate([keys, _cells(strength) * 2 + batch.column(0).to_numpy()]), return_inverse=True)
+            every, keys = np.concatenate([sums, each]), found
+            sums = np.stack([np.bincount(at, every[:, j], len(found)) for j in range(width)], axis=1)
+        if len(keys):
+            key = (keys[:, None] * width + np.arange(width)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums.ravel())], ["key", "total"])
+
+    table = rows.mapInArrow(part, "key long, total double").groupBy("key").agg(F.sum("total").alias("total")).orderBy("key").toArrow()
+    first, total = table.column("key").to_numpy()[::width] // width, table.column("total").to_numpy().reshape(-1, width)
+    sides = [total[first % 2 == label] for label in (0, 1)]
+    return [(t[:, 0], t[:, 1], t[:, 2 : 2 + d], t[:, 2 + d :].reshape(-1, d, d)) for t in sides]
+
+
+def _slopes(rows: DataFrame, model: Ranking) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature over all pairs of a row labelled 1 and one labelled 0, at the weights of ``model``."""
+    (n0, s0, x0, xx0), (n1, s1, x1, xx1) = _cell_sums(rows, model)
+    p = 1 / (1 + np.exp(np.clip((s1 / n1)[:, None] - s0 / n0, -500, 500)))
+    q = p * (1 - p)
+    pairs = n1.sum() * n0.sum()
+    gradient = (p @ n0) @ x1 - (n1 @ p) @ x0
+    cross = x1.T @ q @ x0
+    curvature = np.tensordot(q @ n0, xx1, 1) + np.tensordot(n1 @ q, xx0, 1) - cross - cross.T
+    return gradient / pairs, curvature / pairs
+
+
+def _measured(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """``label, x`` of every labelled document. Features are measured before the join, so that no text is shuffled."""
+    known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1)").distinct()
+    chosen = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(features(texts)), pa.list_(pa.float64()))], ["at", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(texts)), pa.list_(pa.float64()))], ["key", "x"])
+
+    schema = T.StructType([chosen.schema["key"], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return chosen.mapInArrow(measure, schema).join(known, "key").select("label", "x")
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, penalty: float = 1e-3, steps: int = 50) -> Ranking | None:
+    """Fit on every labelled document and all pairs of them; only sums per cell of strength reach the driver.
 
-    rows = chosen.select(F.xxhash64("key").alias("at"), F.col("label").cast("int").alias("label"), "text").mapInArrow(measure, "at long, label int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["at"], r["label"], r["x"]))
-    x, y = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows])
-    if not (y == 1).any() or not (y == 0).any():
+    Rows of ``labels`` without a document do not count.
+    """
+    rows = settle(_measured(docs, labels, key, text, label))
+    moments = [f(F.col("x")[j]).alias(f"{name}{j}") for j in range(len(FEATURES)) for name, f in (("mean", F.avg), ("spread", F.stddev_pop))]
+    whole = rows.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("bad"), *moments).first()
+    if not 0 < whole["bad"] < whole["n"]:
         return None
-    centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = (x - centre) / spread
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    rng = np.random.default_rng(7)
-    worse = np.repeat(bad, rivals)
-    model = Ranking(centre, spread, fit_pairs(z[rng.choice(good, len(worse))], z[worse]), 0.0)
-    strength = model.strength(x)
-    weight = np.where(y == 1, counts[1] / len(good), counts[0] / len(bad))
-    order = np.argsort(strength)
-    share = np.cumsum(weight[order]) / weight.sum()
-    at = int(np.searchsorted(share, counts[0] / (counts[0] + counts[1]) - 1e-9))
-    model.threshold = float(strength[order[at : at + 2]].mean())
+    centre, spread = (np.array([whole[f"{name}{j}"] for j in range(len(FEATURES))]) for name in ("mean", "spread"))
+    model = Ranking(centre, np.maximum(spread, 1e-6), np.zeros(len(FEATURES)), 0.0)
+    at = lambda w: Ranking(model.centre, model.spread, w, 0.0)
+    # cells move with the weights, which leaves steps of about 1e-6 however long it goes on
+    model = at(_newton(len(FEATURES), lambda w: _slopes(rows, at(w)), penalty, steps, 1e-4))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.strength(x))], ["strength"])
+
+    strengths = rows.select("x").mapInArrow(rate, "strength double")
+    middle = (whole["bad"] - 0.5) / (whole["n"] - 1)
+    model.threshold = quantiles(strengths, [], {"threshold": ("strength", middle)}).first()["threshold"]
     return model
 
 

@@ -60,6 +60,41 @@ def test_quality_edges(spark):
     assert quality.score(df.limit(0), "text", model).count() == 0
 
 
+def test_quality_fits_on_every_row_and_pair(spark):
+    """The weights are those of all pairs written out, and the threshold lies between two of all strengths."""
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    words = np.array("the of a plain note on Some WORDS here 12 $$ !! more, all. fine BUY now x7".split())
+    texts = [" ".join(rng.choice(words, rng.integers(4, 40), p=None)) for _ in range(150)]
+    good = np.array([sum(c in "$!" for c in t) / len(t) + rng.normal() * 0.02 < 0.035 for t in texts])
+    df = spark.createDataFrame([(i, t, int(g)) for i, (t, g) in enumerate(zip(texts, good, strict=True))], "doc_id long, text string, quality int")
+    model = quality.fit(df, df.drop("text"), "doc_id", "text", "quality")
+    x = quality.features(pa.array(texts))
+    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6)
+    better, worse = np.repeat(z[good], (~good).sum(), axis=0), np.tile(z[~good], (good.sum(), 1))
+    assert 30 < good.sum() < 120 and np.abs(model.weights - quality.fit_pairs(better, worse)).max() < 2e-3
+    ranked = np.sort(model.strength(x))
+    assert np.isclose(model.threshold, ranked[(~good).sum() - 1 : (~good).sum() + 1].mean())
+
+
+def test_language_fits_on_every_text(spark):
+    """The weights are those of a ridge regression over all texts, also where one language has many."""
+    prepare(spark)
+    rng = np.random.default_rng(4)
+    words = {"aa": "kala mina tori vesa oli nata".split(), "bb": "kala wort stein oli baum nata".split()}
+    rows = [(i, " ".join(rng.choice(words[c], 6)), c) for i, c in enumerate(["aa"] * 900 + ["bb"] * 40)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    kernel = np.concatenate([model.kernel([t for _, t, _ in rows[i : i + 100]])[0] for i in range(0, len(rows), 100)]).astype(float)
+    value, vector = np.linalg.eigh((model.landmarks.T @ model.landmarks).astype(float))
+    keep = value > 1e-6 * value[-1]
+    root = vector[:, keep] / np.sqrt(value[keep])
+    target = np.array([[c == l for l in model.languages] for _, _, c in rows], float)
+    weight = (target / target.sum(axis=0)).sum(axis=1)[:, None]
+    x = kernel @ root
+    want = x @ np.linalg.solve(x.T @ (x * weight) + 1e-3 * np.eye(x.shape[1]), x.T @ (target * weight))
+    assert np.abs(kernel @ model.weights - want).max() < 1e-3
+
+
 def test_pair_weights_follow_the_preferences():
     rng = np.random.default_rng(0)
     x, w = rng.normal(size=(4000, 3)), np.array([1.5, -1.0, 0.0])
