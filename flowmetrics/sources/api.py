@@ -170,9 +170,11 @@ def read_landed_pages(
     records_key: str | None = None,
     first_only: bool = False,
     number: Callable[[Column], Column] = page_number,
+    lines: bool = False,
 ) -> DataFrame:
     """Records of a folder of page files (one JSON document each): every page, whole, in any order of names.
 
+    With ``lines`` a file holds many pages, one JSON document a line, as a file for every small page costs more than its rows.
     ``first_only`` mirrors a single request: only the pages with the smallest ``number`` of their path. ``schema`` is
     that of one record; without it columns and types come from all records, see :func:`typed`.
     """
@@ -180,7 +182,8 @@ def read_landed_pages(
         schema = T.StructType.fromDDL(schema)
     infer, schema = schema is None, schema or T.VariantType()
     array = T.ArrayType(schema)
-    pages = spark.read.text(path, wholetext=True).select(number(F.input_file_name()).alias("_page"), "value")
+    files = spark.read.text(path, lineSep="\n") if lines else spark.read.text(path, wholetext=True)
+    pages = files.select(number(F.input_file_name()).alias("_page"), "value")
     if first_only:
         first = pages.agg(F.min("_page").alias("_page"))
         pages = pages.join(F.broadcast(first), "_page")
@@ -205,11 +208,12 @@ def read_api_records(
     limit: int | None = None,
     fetch_all: bool = False,
     total: int | None = None,
+    lines: bool = False,
 ) -> DataFrame:
-    """Records from landed page files (a path: all of them) or from a fetcher; an error gives an empty table.
+    """Records from landed page files (a path: all of them; with ``lines`` one page a line) or from a fetcher; an error gives an empty table.
 
     Without ``schema`` the columns are those of the records, with types that hold every page's values. Fetched pages are written to the checkpoint folder first, so each page is asked for once.
     """
     if isinstance(source, str):
-        return read_landed_pages(spark, source, schema, records_key)
+        return read_landed_pages(spark, source, schema, records_key, lines=lines)
     return records_of(settle(fetch_pages(spark, source, records_key, limit, fetch_all, total)), schema, limit if fetch_all else None)

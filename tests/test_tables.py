@@ -262,6 +262,26 @@ def test_landed_pages(spark, tmp_path):
     assert sorted(r.id for r in first.collect()) == [3, 4, 5]
 
 
+def test_landed_pages_share_files(spark, tmp_path):
+    (tmp_path / "part-0").write_text("\n".join(json.dumps({"data": [{"id": x, "name": "a\nb"} for x in page]}) for page in [[1, 2], [], [3]]) + "\n", encoding="utf8")
+    got = api.read_api_records(spark, str(tmp_path), RECORD, "data", lines=True).collect()
+    assert sorted((r.id, r.name) for r in got) == [(i, "a\nb") for i in (1, 2, 3)]
+
+
+def test_pages_of_the_queries_land_in_few_files(spark, tmp_path, monkeypatch):
+    """Files grow with the rows, not with the pages; each page is still found by its offset."""
+    from suite import queries_tables
+    from suite.registry import QUERIES
+
+    spark.range(30_000).selectExpr("id as doc_id", "cast(id % 2 as int) quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(queries_tables, "checkpoint_dir", lambda _: str(tmp_path))
+    assert QUERIES["s1_landed_pages"](spark, str(tmp_path)).distinct().count() == 30_000
+    assert len(list(tmp_path.glob("pages-*/**/part-*"))) <= 8
+    fetch = queries_tables.label_pages(queries_tables.landed_labels(spark, str(tmp_path)))
+    assert [fetch(o, 100)["data"][0]["doc_id"] for o in (0, 29_900, 10_000, 9_900)] == [0, 29_900, 10_000, 9_900] and fetch(30_000, 100) == {"data": []}
+    assert len(list(tmp_path.glob("pages-*/**/part-*"))) <= 8 + 3
+
+
 def test_schema_comes_from_all_records(spark, tmp_path):
     from flowmetrics.sources import api
 
