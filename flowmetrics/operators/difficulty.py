@@ -114,13 +114,20 @@ def campaign_complexity(events: DataFrame, stations: Iterable[str] | None = None
 
 
 def station_features(difficulty: DataFrame, station_map: DataFrame) -> DataFrame:
-    """Median categories and rows per campaign and line station; boxes are matched by ``box_id`` alone."""
-    visited = line_stations_only(station_map.select("box_id", "tipo_estacion")).distinct()
-    joined = known_keys(difficulty.join(visited, "box_id"), ["campana"])
+    """Median categories and rows per campaign and line station; boxes are matched by ``box_id`` alone.
+
+    The stations of a box travel as bits, and equal boxes are counted before they are told apart by station.
+    """
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(LINE_STATIONS) for x in (c, 1 << i)]), F.col("tipo_estacion"))
+    visited = line_stations_only(station_map.select("box_id", "tipo_estacion")).groupBy("box_id").agg(F.bit_or(bit).alias("_at"))
+    values = ["n_categorias_en_caja", "n_filas_distintas"]
+    counted = known_keys(difficulty.join(visited, "box_id"), ["campana"]).groupBy("campana", "_at", *values).agg(F.count("*").alias("_boxes"))
+    stations = F.array_compact(F.array(*[F.when(F.col("_at").bitwiseAND(1 << i) != 0, F.lit(c)) for i, c in enumerate(LINE_STATIONS)]))
     return quantiles(
-        joined,
+        counted.select("campana", *values, "_boxes", F.explode(stations).alias("tipo_estacion")),
         ["campana", "tipo_estacion"],
         {"n_categorias_mediana": ("n_categorias_en_caja", 0.5), "n_filas_mediana": ("n_filas_distintas", 0.5)},
+        "_boxes",
     )
 
 

@@ -120,15 +120,15 @@ def positions(counts: DataFrame, wanted: str = "true") -> DataFrame:
     return reduce(DataFrame.unionByName, placed).selectExpr("_k", "_v", "_n", f"_off + {inside} - _n as _before", "_total")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float]], weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group; a row counts ``weight`` (a whole number) times.
 
     ``wanted`` maps output names to ``(column, p)``. NULL and NaN are skipped, NULL group keys form a
     group, and a group with no value at all has NULL quantiles.
     """
     cols = list(dict.fromkeys(c for c, _ in wanted.values()))
     probs = sorted({p for _, p in wanted.values()})
-    counts = value_counts(df, by, cols)
+    counts = value_counts(df, by, cols, weight)
 
     # 0-based positions around p*(n-1); only the cells that hold one of them go on
     at = {p: f"({p!r}D * (_total - 1))" for p in probs}

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmetrics.schemas import STATION_ORDER
@@ -32,7 +32,8 @@ def _element(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ops(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """Operations from one join of the raw tables; ``more`` are further columns from its rows."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q")
     )
@@ -52,6 +53,7 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
         _plus_seconds(F.col("o_orderdate"), start).alias("init_scan"),
         _plus_seconds(F.col("o_orderdate"), stop).alias("last_scan"),
         (F.col("q") % 10).alias("picks"),
+        *[c.alias(name) for name, c in more.items()],
     )
 
 

@@ -403,3 +403,27 @@ def test_keys_match_whatever_white_space_pads_them(spark):
     got = lifecycle.classify_campaigns(campaigns, tables.normalise_classification(sheet)).first()
     assert got.clasificacion_campana_trad_ext == 0
     assert spark.createDataFrame([(" calidad ",)], "e string").select(station_type(F.col("e"))).first()[0] == "Calidad"
+
+
+def test_campaign_models_join_the_raw_tables_once(spark, monkeypatch):
+    from suite import adapters, queries_tables
+
+    opened, table = [], adapters.table
+    monkeypatch.setattr(adapters, "table", lambda s, d, name: opened.append(name) or table(s, d, name))
+    queries_tables._campaign_models(spark, "/root/testdata/sf0.001")
+    assert sorted(opened) == ["customer", "lineitem", "orders"]
+
+
+def test_station_features_count_equal_boxes_once(spark):
+    """Medians over boxes equal the plain ones, and quantiles take a row as often as its weight says."""
+    from flowmetrics.operators import difficulty, order_stats
+
+    boxes = spark.createDataFrame([("A", str(i), i % 3, i % 5) for i in range(40)] + [(None, "1", 9, 9), ("B", "2", 7, 1)], "campana string, box_id string, n_categorias_en_caja long, n_filas_distintas long")
+    visits = [(str(i), s) for i in range(0, 40) for s in ("Azul", "Rojo", "Calidad")[: 1 + i % 3]] + [("2", "Azul"), (None, "Azul")]
+    got = {(r[0], r[1]): (r[2], r[3]) for r in difficulty.station_features(boxes, spark.createDataFrame(visits, "box_id string, tipo_estacion string")).collect()}
+    median = lambda values: (sorted(values)[(len(values) - 1) // 2] + sorted(values)[len(values) // 2]) / 2
+    red = [i for i in range(40) if i % 3]
+    want = {("A", s): (median([i % 3 for i in ids]), median([i % 5 for i in ids])) for s, ids in (("Azul", range(40)), ("Rojo", red))}
+    assert got == want | {("B", "Azul"): (7, 1), ("B", "Rojo"): (7, 1)}
+    weighted = spark.createDataFrame([(1.0, 3), (5.0, 2), (9.0, 1)], "v double, w long")
+    assert order_stats.quantiles(weighted, [], {"m": ("v", 0.5)}, "w").first()["m"] == 3.0
