@@ -4,7 +4,8 @@ Lines are compared by their words (cut at ASCII white space, case kept). Two lin
 added or left out turns one into the other (edit bound 1). A line goes if an earlier line (by key, then place) is equal
 or near to it, whether or not that one stays itself; the earliest of a group stays.
 
-* Equal lines meet by a hash of their words and count as one from there on.
+* Equal lines meet by a hash of their words, joined by one blank, and count as one from there on. This pass over all lines
+  works on strings in compiled code; arrays of words are made for the lines that go on.
 * Two near lines share their first or their last half, so only lines that share a half and a word count (or one less or
   more) with another line go on; ``n`` words at the pair of lengths ``q - 1, q`` have a half of ``(q - 2) // 2`` words.
 * Such a line emits every variant with one word left out, as hashed keys: with the place for replaced words, without for
@@ -33,9 +34,18 @@ SMALL_ROWS = 500_000
 LONG_WORDS = 64
 
 
+def _other_space(line: Column) -> Column:
+    return F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+
+
 def _words(line: Column) -> Column:
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
-    return F.filter(F.when(odd, F.split(line, r"\s")).otherwise(F.split(line, " ")), lambda w: w != "")
+    return F.filter(F.when(_other_space(line), F.split(line, r"\s")).otherwise(F.split(line, " ")), lambda w: w != "")
+
+
+def _plain(line: Column) -> Column:
+    """The words of a line with one blank between them. Most lines are so already; only the others go through a pattern."""
+    odd = line.startswith(" ") | line.endswith(" ") | F.contains(line, F.lit("  ")) | _other_space(line)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
 
 
 def _held(value: Column, name: str) -> Column:
@@ -57,32 +67,36 @@ def _id(key: str, text: str) -> Column:
     return F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("th"), F.length(f"`{text}`").alias("size"))
 
 
-def _units(text: Column, max_words: int | None, of_word) -> Column:
-    """The words (each through ``of_word``) of all lines of a text, or of their pieces."""
-    line_words = F.transform(F.split(text, "\n"), lambda l: F.transform(_words(l), of_word))
-    if max_words is None:
-        return line_words
+def _units(text: Column, max_words: int) -> Column:
+    """The words of all lines of a text, or of their pieces."""
 
     def cut(ws: Column) -> Column:
         last = F.floor((F.size(ws) - 1) / max_words).cast("int")
         return F.when(F.size(ws) <= max_words, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(ws, j * max_words + 1, F.lit(max_words))))
 
-    return F.flatten(F.transform(line_words, cut))
+    return F.flatten(F.transform(F.transform(F.split(text, "\n"), _words), cut))
+
 
+def _numbered(docs: DataFrame, key: str, text: str, max_words: int | None) -> DataFrame:
+    """``id`` (key and text hash), ``place``, ``line`` (its words with one blank between them), ``n`` (words) of every line with words."""
+    whole = F.col(f"`{text}`")
+    units = F.split(whole, "\n") if max_words is None else F.transform(_units(whole, max_words), lambda ws: F.array_join(ws, " "))
+    rows = docs.select(_id(key, text).alias("id"), F.posexplode(units).alias("place", "unit"))
+    rows = rows.select("id", "place", _held(_plain(F.col("unit")), "line")).where("line != ''")
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return rows.select("id", "place", "line", _held(blanks + 1, "n"))
 
-def _numbered(docs: DataFrame, key: str, text: str, max_words: int | None, of_word) -> DataFrame:
-    """``id`` (key and text hash), ``place``, ``words`` (each through ``of_word``) of every line with words."""
-    rows = docs.select(_id(key, text).alias("id"), F.posexplode(_units(F.col(f"`{text}`"), max_words, of_word)).alias("place", "words"))
-    return rows.where(F.size("words") > 0)
 
+def _halves(line: Column, n: Column, min_words: int) -> Column:
+    """Hashes of the first and the last half, as a shorter or equal line and as a longer or equal line of a pair.
 
-def _halves(words: Column, min_words: int) -> Column:
-    """Hashes of the first and the last half, as a shorter or equal line and as a longer or equal line of a pair."""
-    n = F.size(words)
+    Cut from the line itself, without an array of its words: every line of every text comes here.
+    """
 
     def half(q: Column) -> list[Column]:
         p = F.greatest(F.lit(1), F.floor((q - 2) / 2).cast("int"))
-        return [F.hash(F.lit(0), q, F.slice(words, F.lit(1), p)), F.hash(F.lit(1), q, F.slice(words, n - p + 1, p))]
+        first, last = (F.call_function("substring_index", line, F.lit(" "), count) for count in (p, -p))
+        return [F.hash(F.lit(0), q, first), F.hash(F.lit(1), q, last)]
 
     return F.when(n >= min_words, F.array(*half(n), *half(n + 1)))
 
@@ -141,7 +155,7 @@ def _words_of(docs: DataFrame, key: str, text: str, max_words: int | None, first
     wanted = F.struct(F.col("first.place").alias("place"), "h1", "h2", "last", "not_first")
     needed = settle(firsts.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(wanted).alias("wanted")))
     holders = docs.select(_id(key, text).alias("id"), F.col(f"`{text}`").alias("text")).join(small(needed, SMALL_ROWS), "id")
-    units = F.split("text", "\n") if max_words is None else _units(F.col("text"), max_words, lambda w: w)
+    units = F.split("text", "\n") if max_words is None else _units(F.col("text"), max_words)
     found = holders.select("id", "wanted", _held(units, "units")).select("id", "units", F.explode("wanted").alias("w"))
     unit = F.get("units", F.col("w.place"))
     spelt = found.select(F.struct("id", "w.place").alias("first"), "w.h1", "w.h2", "w.last", "w.not_first", (_words(unit) if max_words is None else unit).alias("words"))
@@ -186,8 +200,8 @@ def near_lines(docs: DataFrame, key: str, text: str, max_words: int | None, clas
 
 def dropped_lines(docs: DataFrame, key: str, text: str, min_words: int = 5, max_words: int | None = None) -> DataFrame:
     """``id, gone``: for every document that loses lines their places, ascending."""
-    hashed = _numbered(docs, key, text, max_words, lambda w: F.xxhash64(w))
-    hashed = settle(hashed.select("id", "place", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), _halves(F.col("words"), min_words).alias("halves")))
+    numbered = _numbered(docs, key, text, max_words)
+    hashed = settle(numbered.select("id", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _halves(F.col("line"), F.col("n"), min_words).alias("halves")))
     place = F.struct("id", "place")
     classes = settle(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies")))
     near = settle(near_lines(docs, key, text, max_words, classes))

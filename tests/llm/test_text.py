@@ -96,6 +96,46 @@ def test_long_lines_are_compared_whole(spark, monkeypatch):
     assert {r.doc_id for r in lines.dedup_lines(df, "doc_id", "text").collect() if r.gone} == want
 
 
+def test_every_line_is_hashed_without_a_step_per_word(spark, monkeypatch):
+    """The pass over all lines of all texts cuts and hashes strings in compiled code; interpreted lambdas are for needed lines only."""
+    plans = []
+    settle = lines.settle
+    monkeypatch.setattr(lines, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    df = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e g")], "doc_id long, text string")
+    assert {r.doc_id: r.gone for r in lines.dedup_lines(df, "doc_id", "text").collect()} == {1: [], 2: [0]}
+    passes = [p for p in plans if "halves" in p and "explode" in p and "text" in p]
+    assert passes and not any("lambda" in p for p in passes)
+
+
+def test_white_space_does_not_tell_lines_apart(spark):
+    rng = random.Random(9)
+    spaces = [" ", " ", "  ", "\t", "\r", "\x0b", "\f", " \t  "]
+    alphabet = ["ä", "b", "ßß", "d\u00a0d", "\U0001f600", "\u3000", "g", "\x1c"]
+    base = [[rng.choice(alphabet) for _ in range(n)] for n in (1, 2, 4, 5, 5, 6, 6, 7, 8, 9, 70, 71)]
+    rows = []
+    for i in range(90):
+        some = []
+        for _ in range(rng.randrange(4)):
+            line = list(rng.choice(base))
+            if rng.random() < 0.5:
+                at = rng.randrange(len(line))
+                line[at : at + rng.randrange(2)] = [rng.choice(alphabet)] * rng.randrange(2)
+            odd = rng.random() < 0.6
+            end = rng.choice(["", *spaces]) if odd else ""
+            some.append(end + "".join(w + (rng.choice(spaces) if odd else " ") for w in line[:-1]) + "".join(line[-1:]) + rng.choice(["", end]))
+        rows.append((i, "\n".join([*some, *rng.choice([[], [""], [" \t"]])])))
+    want, seen = {i: [] for i, _ in rows}, []
+    for i, text in rows:
+        for place, line in enumerate(text.split("\n")):
+            own = [w for w in re.split("[ \t\r\x0b\f]+", line) if w]
+            if own and any(own == w or (min(len(own), len(w)) >= 5 and edits(own, w) <= 1) for w in seen):
+                want[i].append(place)
+            if own:
+                seen.append(own)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.gone for r in lines.dedup_lines(df, "doc_id", "text").collect()} == want
+
+
 def test_no_python_in_the_native_plans(spark):
     df = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e g")], "doc_id long, text string")
     for plan in (lines.dedup_lines(df, "doc_id", "text"), fingerprints.compare_with_edit_and_next(df, "doc_id", "text")):
