@@ -15,8 +15,9 @@
   the sample bounds that in the whole, so the radius never exceeds it; where the sample is too small the last radius is
   infinite and every vector is verified. There is no cap on candidates.
 
-Queries travel in blocks of at most ``BLOCK`` to every shard by an equi-join on the shard's number; a task works on one
-shard and one block at a time. Only neighbours within the radius, at most ``k + 1`` a shard, leave it.
+Queries travel in blocks of at most ``BLOCK``, broadcast in parts of about ``SENT`` bytes one after the other: the driver holds
+a part, whatever the number of queries and shards, and nothing is copied per shard. A task reads its shards once a part and
+works on one shard and one block at a time. Only neighbours within the radius, at most ``k + 1`` a shard, leave it.
 
 Rows whose id or vector is null, or whose vector is empty, zero, of another length than most, or has null or non-finite
 components, take no part. Equal query rows (same id and vector) are one query, of which one copy is not its own
@@ -39,6 +40,8 @@ from flowmetrics.session import settle
 
 PROJECTIONS, WIDTH, MISS, SEED = 128, 1.5, 0.001, 20
 SHARD_ROWS, BLOCK, SAMPLE = 8_192, 2_048, 1_024
+#: Bytes of query vectors that are broadcast at a time.
+SENT = 16 << 20
 #: Windows first grow to the radius over this; growth of the radius from round to round, and rounds before the bound.
 STEP, LEAST_GROWTH, MOST_GROWTH, ROUNDS = 1.2, 1.1, 2.0, 3
 
@@ -114,8 +117,8 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return settle(groups.select(F.monotonically_increasing_id().alias("node"), "v", "ids"))
 
 
-def index_of(groups: DataFrame) -> tuple[DataFrame, int]:
-    """``shard, nodes, least, vectors, orders``: one row a shard, all columns but the first packed; and their number."""
+def index_of(groups: DataFrame) -> DataFrame:
+    """``shard, nodes, least, vectors, orders``: one row a shard, all columns but the first packed."""
     shards = parts_for(groups.sparkSession, groups.count(), SHARD_ROWS)
 
     def packed(table: pa.Table) -> pa.Table:
@@ -128,14 +131,21 @@ def index_of(groups: DataFrame) -> tuple[DataFrame, int]:
 
     dealt = groups.select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", F.col("ids")[0].alias("least"), "v")
     index = dealt.groupBy("shard").applyInArrow(packed, "shard int, nodes binary, least binary, vectors binary, orders binary")
-    return settle(index), shards
+    return settle(index)
+
+
+def thinned(groups: DataFrame, total: int) -> DataFrame:
+    """Of ``total`` groups those whose hash is among the first, a little more than ``SAMPLE``: each task sends the first of what
+    it reads to the driver, so that all tasks together must not read more."""
+    share = (1.5 * SAMPLE + 50) / max(1, total)
+    return groups.where(F.xxhash64("node", F.lit("sample")) < int((share - 0.5) * (1 << 64))) if share < 1 else groups
 
 
 def first_radius(queries: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """``queries`` (``node, v``) with ``radius`` to begin with, ``bound`` that suffices, and ``growth``, the exponent by which the
     number of neighbours grows with the distance, all from a sample of the groups by hash."""
     total = groups.count()
-    rows = groups.orderBy(F.xxhash64("node", F.lit("sample")), "node").limit(SAMPLE).select("node", "v").collect()
+    rows = thinned(groups, total).orderBy(F.xxhash64("node", F.lit("sample")), "node").limit(SAMPLE).select("node", "v").collect()
     sample, nodes = np.array([r["v"] for r in rows], np.float64), np.array([r["node"] for r in rows], np.int64)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +165,8 @@ def first_radius(queries: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     return queries.select("node", "v").mapInArrow(measure, f"node long, v {kind}, radius double, bound double, growth double")
 
 
-def _round(queries: DataFrame, index: DataFrame, shards: int, most: int) -> DataFrame:
-    """``query, node, least, away``: up to ``most`` neighbours within its radius of each query and shard."""
+def _round(queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
+    """``query, node, least, away, rank``: up to ``most`` neighbours within its radius of each query, nearest first."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,19 +195,27 @@ def _round(queries: DataFrame, index: DataFrame, shards: int, most: int) -> Data
                     query = np.repeat(asked[[f[0] for f in found]], [len(f[1]) for f in found])
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query, names[rows], least[rows], away)], ["query", "node", "least", "away"])
 
-    blocks = queries.select("node", "v", "radius").mapInArrow(packed, "queries binary, wanted binary, radius binary")
-    sent = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    return sent.join(index, "shard").mapInArrow(search, "query long, node long, least long, away double")
+    count, d = queries.agg(F.count("*"), F.max(F.size("v"))).head()
+    parts = -(-count * 8 * (d or 0) // SENT) or 1
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("away", "least", "node"))
+    found = None
+    for part in range(parts):
+        some = queries.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part).select("node", "v", "radius")
+        blocks = some.mapInArrow(packed, "queries binary, wanted binary, radius binary")
+        # Written before the next part is sent. The planner can only guess the size of packed rows, so it is told what to broadcast.
+        near = index.crossJoin(F.broadcast(blocks)).mapInArrow(search, "query long, node long, least long, away double")
+        near = settle(near.withColumn("rank", rank).where(F.col("rank") <= most))
+        found = near if found is None else found.unionByName(near)
+    return found if parts == 1 else settle(found)
 
 
 def nearest_nodes(queries: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """``query, node, away``: of each query (``node, v``) the ``k + 1`` nearest groups found, its own among them."""
-    index, shards = index_of(groups)
+    index = index_of(groups)
     waiting = settle(first_radius(queries, groups, k))
     done = None
-    best = Window.partitionBy("query").orderBy("away", "least", "node")
     for turn in range(ROUNDS + 1):
-        found = settle(_round(waiting, index, shards, k + 1).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1))
+        found = _round(waiting, index, k + 1)
         got = found.groupBy("query").agg(F.count("*").alias("got"))
         joined = waiting.join(got, F.col("node") == F.col("query"), "left").drop("query").withColumn("got", F.coalesce("got", F.lit(0)))
         enough = (F.col("got") > k) | (F.col("radius") >= F.col("bound"))

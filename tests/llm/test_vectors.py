@@ -204,6 +204,37 @@ def test_recall_over_several_shards_and_rounds(spark, monkeypatch):
     assert len(got) == 400 and len(set(got) & set(want)) >= 0.97 * len(want)
 
 
+def test_queries_are_sent_in_parts_and_not_once_a_shard(spark, monkeypatch):
+    """What a search broadcasts is a part of the queries, however many shards read it; the parts together find all."""
+    prepare(spark)
+    rng = np.random.default_rng(11)
+    vectors = (rng.normal(0, 1, (12, 8))[rng.integers(0, 12, 600)] + rng.normal(0, 0.3, (600, 8))).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    plans, settle = [], collision_search.settle
+
+    def seen(table):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        plans.extend([plan] if "MapInArrow search" in plan else [])
+        return settle(table)
+
+    monkeypatch.setattr(collision_search, "settle", seen)
+    monkeypatch.setattr(collision_search, "SHARD_ROWS", 100)
+    monkeypatch.setattr(collision_search, "SENT", 25 * 8 * 8, raising=False)
+    got, want = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10), plain_neighbours(rows, 10, 10)
+    assert len(got) == 600 and len(set(got) & set(want)) >= 0.97 * len(want)
+    assert not any("explode" in plan for plan in plans), "a copy of the queries for each shard"
+    assert len(plans) >= 3
+
+
+def test_few_rows_of_the_sample_reach_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(collision_search, "SAMPLE", 100)
+    groups, order = spark.range(40_000, numPartitions=40).withColumnRenamed("id", "node"), F.xxhash64("node", F.lit("sample"))
+    few = collision_search.thinned(groups, 40_000)
+    assert 100 <= few.count() <= 300
+    assert few.orderBy(order).limit(100).collect() == groups.orderBy(order).limit(100).collect()
+    assert collision_search.thinned(groups.where("node < 120"), 120).count() == 120
+
+
 def test_fewer_rows_than_neighbours_and_rows_that_take_no_part(spark):
     schema = "vec_id long, embedding array<double>, rank int"
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.5], 1), (0, [1.0, 0.0], 2), (2, None, 1), (3, [0.0, 0.0], 1), (4, [None, 1.0], 1), (5, [float("nan"), 1.0], 1), (None, [1.0, 1.0], 1), (6, [1.0], 1), (7, [], 1)]
